@@ -1,5 +1,10 @@
-"""Arrow batch functions for the two jobs built-in expressions cannot do: the minimum-area rectangle
-of a large ring, and well-known binary.  Both see one Arrow batch at a time."""
+"""Arrow batch functions over whole columns of geometry: area, centroid, minimum-area rectangle and
+well-known binary.
+
+Built-in higher-order functions could express area and centroid, but are interpreted per vertex:
+measured at about 160 microseconds of core time per footprint, against about 2 with numpy over the
+flat vertex arrays of an Arrow batch.
+"""
 
 from __future__ import annotations
 
@@ -64,35 +69,26 @@ def _convex_hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(points) + chain(points[::-1]))
 
 
-def minimum_rectangles(xs: pa.Array, ys: pa.Array) -> pa.Array:
-    """Per row of coordinate lists, the 8 corner coordinates of the minimum-area rectangle."""
-    offsets = xs.offsets.to_numpy()
-    starts, counts = offsets[:-1], np.diff(offsets)
-    flat_x = xs.values.to_numpy(zero_copy_only=False)
-    flat_y = ys.values.to_numpy(zero_copy_only=False)
-    out = np.full((len(xs), 8), np.nan)
-    present = np.asarray(xs.is_valid())
-    for n in np.unique(counts[present]):
-        members = np.flatnonzero(present & (counts == n))
-        if n == 0:
-            continue
+def _corners(x: np.ndarray, y: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(rows, 8) corners of the minimum-area rectangle of each row's vertices; NaN where undefined."""
+    out = np.full((len(counts), 8), np.nan)
+    for n in np.unique(counts[counts > 1]):
+        members = np.flatnonzero(counts == n)
         if n <= _ALL_PAIRS_LIMIT:
             i, j = np.triu_indices(n, 1)
-            step = max(1, _WORK_LIMIT // max(1, len(i) * n))
+            step = max(1, _WORK_LIMIT // (len(i) * n))
             for k in range(0, len(members), step):
                 part = members[k : k + step]
                 index = starts[part][:, None] + np.arange(n)
-                px, py = flat_x[index], flat_y[index]
+                px, py = x[index], y[index]
                 base = np.stack([px[:, 0], py[:, 0]], axis=1)
                 px, py = px - base[:, :1], py - base[:, 1:]
-                if len(i) == 0:
-                    continue
                 found = _best_rectangles(px, py, px[:, j] - px[:, i], py[:, j] - py[:, i])
                 out[part] = found + np.tile(base, 4)
         else:
             for row in members:
                 cut = slice(starts[row], starts[row] + n)
-                points = np.stack([flat_x[cut], flat_y[cut]], axis=1)
+                points = np.stack([x[cut], y[cut]], axis=1)
                 base = points[0].copy()
                 hull = _convex_hull(points - base)
                 if len(hull) < 2:
@@ -102,20 +98,114 @@ def minimum_rectangles(xs: pa.Array, ys: pa.Array) -> pa.Array:
                     hull[None, :, 0], hull[None, :, 1], edges[None, :, 0], edges[None, :, 1]
                 )
                 out[row] = found[0] + np.tile(base, 4)
-    valid = np.isfinite(out).all(axis=1)
-    ends = np.concatenate([[0], np.cumsum(np.where(valid, 8, 0))]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(out[valid].ravel()))
-    return lists if valid.all() else pa.compute.if_else(pa.array(valid), lists, pa.scalar(None, lists.type))
-
-
-def minimum_rectangle(geom: Column) -> Column:
-    """Four corners (counter-clockwise) of the minimum-area rectangle around all shells."""
-    vertices = F.flatten(F.transform(geom, lambda poly: F.get(poly, F.lit(0))))
-    batch = F.arrow_udf(minimum_rectangles, "array<double>")
-    corners = batch(
-        F.transform(vertices, lambda p: p["x"]), F.transform(vertices, lambda p: p["y"])
+    return out
+
+
+class _Flat:
+    """Vertices of a batch of geometries with the ring and row each belongs to."""
+
+    def __init__(self, geoms: pa.Array) -> None:
+        rows = geoms.offsets.to_numpy().astype(np.int64)
+        polygons = geoms.values
+        parts = polygons.offsets.to_numpy().astype(np.int64)
+        rings = polygons.values
+        ends = rings.offsets.to_numpy().astype(np.int64)
+        points = rings.values
+        self.rows = len(geoms)
+        row_of_part = np.full(len(parts) - 1, -1)
+        row_of_part[rows[0] : rows[-1]] = np.repeat(np.arange(self.rows), np.diff(rows))
+        part_of_ring = np.full(len(ends) - 1, -1)
+        part_of_ring[parts[0] : parts[-1]] = np.repeat(np.arange(len(parts) - 1), np.diff(parts))
+        self.row_of_ring = np.where(part_of_ring >= 0, row_of_part[part_of_ring], -1)
+        self.is_shell = np.zeros(len(ends) - 1, dtype=bool)
+        self.is_shell[parts[:-1][np.diff(parts) > 0]] = True
+        self.ring = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        cut = slice(ends[0], ends[-1])
+        self.x = points.field("x").to_numpy(zero_copy_only=False)[cut]
+        self.y = points.field("y").to_numpy(zero_copy_only=False)[cut]
+        self.row = self.row_of_ring[self.ring] if len(self.ring) else self.ring
+        used = self.row >= 0
+        if not used.all():
+            self.x, self.y, self.ring, self.row = self.x[used], self.y[used], self.ring[used], self.row[used]
+
+    def measures(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Area and centroid per row, by the shoelace formula relative to the row's first vertex.
+
+        Projected coordinates are about 1e6; without the shift their products would cancel badly.
+        """
+        seen, first = np.unique(self.row, return_index=True)
+        origin_x, origin_y = np.full(self.rows, np.nan), np.full(self.rows, np.nan)
+        origin_x[seen], origin_y[seen] = self.x[first], self.y[first]
+        if len(self.x) < 2:
+            return np.full(self.rows, np.nan), origin_x * np.nan, origin_y * np.nan
+        x, y = self.x - origin_x[self.row], self.y - origin_y[self.row]
+        same = self.ring[1:] == self.ring[:-1]
+        ring = self.ring[:-1][same]
+        x0, y0, x1, y1 = x[:-1][same], y[:-1][same], x[1:][same], y[1:][same]
+        cross = x0 * y1 - x1 * y0
+        n = len(self.row_of_ring)
+        doubled, mx, my = (
+            np.bincount(ring, w, n) for w in (cross, (x0 + x1) * cross, (y0 + y1) * cross)
+        )
+        # Shells count positive and holes negative, whichever way they run.
+        side = np.where(self.is_shell, 1.0, -1.0) * np.sign(doubled)
+        inside = self.row_of_ring >= 0
+        rows = self.row_of_ring[inside]
+        doubled, mx, my = (np.bincount(rows, (v * side)[inside], self.rows) for v in (doubled, mx, my))
+        doubled = np.where(np.isnan(origin_x), np.nan, doubled)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return doubled / 2, origin_x + mx / (3 * doubled), origin_y + my / (3 * doubled)
+
+    def rectangles(self) -> np.ndarray:
+        shell = self.is_shell[self.ring]
+        # The closing vertex of a ring repeats the first one.
+        last = np.ones(len(self.ring), dtype=bool)
+        last[:-1] = self.ring[1:] != self.ring[:-1]
+        keep = shell & ~last
+        row = self.row[keep]
+        counts = np.bincount(row, minlength=self.rows)
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        return _corners(self.x[keep], self.y[keep], starts, counts)
+
+
+def _nullable(values: np.ndarray) -> pa.Array:
+    return pa.array(values, pa.float64(), from_pandas=True)
+
+
+_MEASURES = "struct<area:double,x:double,y:double>"
+_SHAPE = "struct<area:double,x:double,y:double,corners:array<double>>"
+
+
+def _measure_batch(geoms: pa.Array) -> pa.Array:
+    columns = [_nullable(np.where(np.isfinite(v), v, np.nan)) for v in _Flat(geoms).measures()]
+    return pa.StructArray.from_arrays(columns, ["area", "x", "y"])
+
+
+def _shape_batch(geoms: pa.Array) -> pa.Array:
+    flat = _Flat(geoms)
+    columns = [_nullable(np.where(np.isfinite(v), v, np.nan)) for v in flat.measures()]
+    corners = flat.rectangles()
+    valid = np.isfinite(corners).all(axis=1)
+    ends = np.concatenate([[0], np.cumsum(np.where(valid, 8, 0))])
+    lists = pa.ListArray.from_arrays(
+        pa.array(ends.astype(np.int32)), pa.array(corners[valid].ravel()), mask=pa.array(~valid)
     )
-    return corners
+    return pa.StructArray.from_arrays([*columns, lists], ["area", "x", "y", "corners"])
+
+
+def measures(geom: Column) -> Column:
+    """struct(area, x, y): planar area and centroid; the centroid of a zero-area shape is NULL."""
+    return F.arrow_udf(_measure_batch, _MEASURES)(geom)
+
+
+def area(geom: Column) -> Column:
+    return measures(geom)["area"]
+
+
+def shape(geom: Column) -> Column:
+    """struct(area, x, y, corners): measures plus the eight corner coordinates (counter-clockwise) of
+    the minimum-area rectangle around all shells, in one trip of the geometry to Python."""
+    return F.arrow_udf(_shape_batch, _SHAPE)(geom)
 
 
 def corners_to_points(corners: Column) -> Column:

@@ -1,22 +1,29 @@
 """Planar geometry on ``array<array<array<struct<x,y>>>>`` columns (polygons > rings > vertices).
 
 Rings are closed (first vertex repeated last); the first ring of a polygon is its shell, the others
-are holes.  Everything here is built-in expressions, so it stays in the JVM.
+are holes.  Everything here is built-in expressions; measures over many vertices are in ``arrow``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_MOMENTS_ZERO = (
-    "named_struct('a', cast(0 as double), 'mx', cast(0 as double), 'my', cast(0 as double))"
-)
 _EMPTY_TOLERANCE = 1e-9  # metres
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body refers to it.
+
+    Expressions are trees: a costly argument used inside a lambda would otherwise be evaluated again
+    for every element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
@@ -26,78 +33,28 @@ def shell(geom: Column) -> Column:
     return F.get(F.get(geom, F.lit(0)), F.lit(0))
 
 
-def _sum_moments(parts: Column) -> Column:
-    return F.aggregate(
-        parts,
-        F.expr(_MOMENTS_ZERO),
-        lambda acc, m: F.struct(
-            (acc["a"] + m["a"]).alias("a"),
-            (acc["mx"] + m["mx"]).alias("mx"),
-            (acc["my"] + m["my"]).alias("my"),
-        ),
-    )
-
-
-def _ring_moments(ring: Column, origin: Column, position: Column) -> Column:
-    """Twice the area and six times the first moments; shells count positive, holes negative.
-
-    Coordinates are taken relative to ``origin``: projected coordinates are about 1e6, and their
-    products would cancel badly otherwise.
-    """
-    ox, oy = origin["x"], origin["y"]
-
-    def step(p: Column, q: Column) -> Column:
-        px, py, qx, qy = p["x"] - ox, p["y"] - oy, q["x"] - ox, q["y"] - oy
-        cross = px * qy - qx * py
-        return F.struct(
-            cross.alias("a"), ((px + qx) * cross).alias("mx"), ((py + qy) * cross).alias("my")
-        )
-
+def _ring_area(ring: Column) -> Column:
     count = F.greatest(F.size(ring) - 1, F.lit(0))
-    signed = _sum_moments(
-        F.zip_with(F.slice(ring, F.lit(1), count), F.slice(ring, F.lit(2), count), step)
-    )
-    side = F.when(position == 0, F.lit(1.0)).otherwise(F.lit(-1.0)) * F.signum(signed["a"])
-    return F.struct(
-        (signed["a"] * side).alias("a"),
-        (signed["mx"] * side).alias("mx"),
-        (signed["my"] * side).alias("my"),
-    )
-
-
-def moments(geom: Column) -> Column:
-    """struct(a, mx, my): twice the area, six times the moments about the first vertex."""
-    origin = F.get(shell(geom), F.lit(0))
-    per_ring = F.flatten(
-        F.transform(
-            geom,
-            lambda poly: F.transform(poly, lambda ring, i: _ring_moments(ring, origin, i)),
-        )
+    ox, oy = ring[0]["x"], ring[0]["y"]
+    crosses = F.zip_with(
+        F.slice(ring, F.lit(1), count),
+        F.slice(ring, F.lit(2), count),
+        lambda p, q: (p["x"] - ox) * (q["y"] - oy) - (q["x"] - ox) * (p["y"] - oy),
     )
-    return F.when(F.size(F.coalesce(shell(geom), F.array())) > 0, _sum_moments(per_ring))
-
+    return F.abs(F.aggregate(crosses, F.lit(0.0), lambda s, c: s + c)) / 2
 
-def area(geom: Column) -> Column:
-    """Planar area: holes subtract, parts of a multipolygon add."""
-    return moments(geom)["a"] / 2
 
-
-def centroid(geom: Column) -> Column:
-    """Area-weighted centroid as struct(x, y); NULL for zero-area geometry."""
-    m = moments(geom)
-    first = F.get(shell(geom), F.lit(0))
-    return point(
-        first["x"] + F.try_divide(m["mx"], m["a"] * 3),
-        first["y"] + F.try_divide(m["my"], m["a"] * 3),
-    )
+def _polygon_area(poly: Column) -> Column:
+    holes = F.transform(F.slice(poly, F.lit(2), F.size(poly)), _ring_area)
+    return _ring_area(poly[0]) - F.aggregate(holes, F.lit(0.0), lambda s, h: s + h)
 
 
 def largest_part(geom: Column) -> Column:
     """The polygon with the largest area; the first of equals."""
     ranked = F.transform(
-        geom, lambda poly, i: F.struct(area(F.array(poly)).alias("a"), (-i).alias("i"), poly.alias("p"))
+        geom, lambda poly, i: F.struct(_polygon_area(poly).alias("a"), (-i).alias("i"), poly.alias("p"))
     )
-    return F.array_max(ranked)["p"]
+    return F.when(F.size(geom) == 1, geom[0]).otherwise(F.array_max(ranked)["p"])
 
 
 # --- rectangles -----------------------------------------------------------------------------
@@ -105,15 +62,18 @@ def largest_part(geom: Column) -> Column:
 
 def rectangle_ring(cx: Column, cy: Column, width: Column, depth: Column, angle: Column) -> Column:
     """Closed ring of a rotated rectangle given by centre, sides and angle."""
-    ux, uy = F.cos(angle), F.sin(angle)
+    sides = [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5), (-0.5, -0.5)]
+    corners = F.array(*[point(F.lit(a), F.lit(b)) for a, b in sides])
+    frame = F.struct(
+        cx.alias("x"), cy.alias("y"), F.cos(angle).alias("c"), F.sin(angle).alias("s"),
+        width.alias("w"), depth.alias("d"),
+    )
 
-    def corner(a: float, b: float) -> Column:
-        return point(
-            cx + width * (a / 2) * ux - depth * (b / 2) * uy,
-            cy + width * (a / 2) * uy + depth * (b / 2) * ux,
-        )
+    def corner(f: Column, p: Column) -> Column:
+        along, across = f["w"] * p["x"], f["d"] * p["y"]
+        return point(f["x"] + along * f["c"] - across * f["s"], f["y"] + along * f["s"] + across * f["c"])
 
-    return F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1))
+    return bound(frame, lambda f: F.transform(corners, lambda p: corner(f, p)))
 
 
 def _edge(rect: Column, i: int) -> tuple[Column, Column]:
@@ -140,18 +100,31 @@ def rectangle_angle(rect: Column) -> Column:
     return F.when(turn - folded < 1e-9, F.lit(0.0)).otherwise(folded)
 
 
-def oriented_box(rect: Column) -> Column:
-    """struct(cx, cy, ux, uy, hu, hv): centre, unit vector of the first edge, half extents."""
-    e1, e2 = _edge(rect, 0), _edge(rect, 1)
-    d1, d2 = _length(e1), _length(e2)
-    return F.struct(
-        ((rect[0]["x"] + rect[2]["x"]) / 2).alias("cx"),
-        ((rect[0]["y"] + rect[2]["y"]) / 2).alias("cy"),
-        F.coalesce(F.try_divide(e1[0], d1), F.try_divide(e2[1], d2), F.lit(1.0)).alias("ux"),
-        F.coalesce(F.try_divide(e1[1], d1), F.try_divide(-e2[0], d2), F.lit(0.0)).alias("uy"),
-        (d1 / 2).alias("hu"),
-        (d2 / 2).alias("hv"),
+def with_oriented_box(df: DataFrame, rect_col: str = "rect", target: str = "box") -> DataFrame:
+    """Adds struct(cx, cy, ux, uy, hu, hv): centre, unit vector of the first edge, half extents.
+
+    Built in steps, so that each step is computed once and the formulas do not nest.
+    """
+    rect = F.col(rect_col)
+    (ax, ay), (bx, by) = _edge(rect, 0), _edge(rect, 1)
+    df = df.withColumns({"_ax": ax, "_ay": ay, "_bx": bx, "_by": by})
+    df = df.withColumns(
+        {"_a": _length((F.col("_ax"), F.col("_ay"))), "_b": _length((F.col("_bx"), F.col("_by")))}
     )
+    ux = F.coalesce(F.try_divide("_ax", "_a"), F.try_divide("_by", "_b"), F.lit(1.0))
+    uy = F.coalesce(F.try_divide("_ay", "_a"), F.try_divide(-F.col("_bx"), "_b"), F.lit(0.0))
+    df = df.withColumn(
+        target,
+        F.struct(
+            ((rect[0]["x"] + rect[2]["x"]) / 2).alias("cx"),
+            ((rect[0]["y"] + rect[2]["y"]) / 2).alias("cy"),
+            ux.alias("ux"),
+            uy.alias("uy"),
+            (F.col("_a") / 2).alias("hu"),
+            (F.col("_b") / 2).alias("hv"),
+        ),
+    )
+    return df.drop("_ax", "_ay", "_bx", "_by", "_a", "_b")
 
 
 def boxes_intersect(a: Column, b: Column, tolerance: float = _EMPTY_TOLERANCE) -> Column:
@@ -218,7 +191,7 @@ def geometry_from_wkt(text: Column) -> Column:
         F.split(body, r"\)\s*\)\s*,\s*\(\s*\("),
         lambda poly: F.transform(F.split(poly, r"\)\s*,\s*\("), ring),
     )
-    return F.when(is_valid(parsed), parsed)
+    return bound(parsed, lambda g: F.when(is_valid(g), g))
 
 
 def is_valid(geom: Column) -> Column:
@@ -235,8 +208,9 @@ def is_valid(geom: Column) -> Column:
 
 def exterior_from_wkt(text: Column) -> Column:
     """Exterior ring of the polygon, or of the largest part of a multipolygon."""
-    geom = geometry_from_wkt(text)
-    return F.when(geom.isNotNull(), F.get(largest_part(geom), F.lit(0)))
+    return bound(
+        geometry_from_wkt(text), lambda g: F.when(g.isNotNull(), F.get(largest_part(g), F.lit(0)))
+    )
 
 
 def geometry_from_geojson(kind: Column, coordinates: Column) -> Column:

@@ -25,8 +25,9 @@ _CHUNK_HOURS = 24 * 28
 
 
 def hour_number(ts: Column) -> Column:
-    """Whole hours since the epoch."""
-    return F.floor(F.unix_timestamp(ts) / 3600)
+    """Whole hours since the epoch, by the clock of the timestamp."""
+    day = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return day * 24 + F.hour(ts)
 
 
 def basic_overheating(

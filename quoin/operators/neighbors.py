@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoin.functions.geometry import boxes_intersect, oriented_box
+from quoin.functions.geometry import boxes_intersect, with_oriented_box
 from quoin.operators.skew import hot_keys, part_of, salted_join
 
 # Points of one cell handled by one task; denser cells are split.
@@ -86,8 +86,7 @@ def neighbor_edges(
     own_x, own_y (centre of src), rect, height, floors (of dst).  A missing neighbour height becomes
     ``default_height``; floors are whole floors of ``floor_height``.
     """
-    box = oriented_box(F.col("rect"))
-    boxed = buildings.select("building_id", "rect", "height_m", box.alias("box"))
+    boxed = with_oriented_box(buildings.select("building_id", "rect", "height_m"))
     points = boxed.withColumns({"x": F.col("box.cx"), "y": F.col("box.cy")})
     payload = F.struct("box", "rect", F.col("height_m").alias("height"))
     edges = within_distance(points, radius, payload, F.struct("box"), tolerance)

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.functions.geometry import centroid
+from quoin.functions.arrow import measures
 from quoin.sources.footprints import read_geoparquet
 
 
@@ -16,7 +16,7 @@ def locations(df: DataFrame, geom_col: str = "geom") -> DataFrame:
     is dropped."""
     has_geom = geom_col in df.columns
     if has_geom:
-        df = df.withColumn("_c", centroid(F.col(geom_col)))
+        df = df.withColumn("_c", measures(F.col(geom_col)))
     both = "lat" in df.columns and "lon" in df.columns
     fallback = {"lat": F.col("_c.y"), "lon": F.col("_c.x")} if has_geom else {}
     columns = {}

@@ -259,8 +259,8 @@ def map_polygons(spark: SparkSession, sf: str) -> DataFrame:
 # --- shading --------------------------------------------------------------------------------
 
 
-def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbors.neighbor_edges(V.cleaned(spark, sf), CONFIG.neighbor_threshold, CONFIG.default_height, CONFIG.f2f_height)
+def _edges_of(df: DataFrame) -> DataFrame:
+    return neighbors.neighbor_edges(df, CONFIG.neighbor_threshold, CONFIG.default_height, CONFIG.f2f_height)
 
 
 _MASK = """corner2 AS (SELECT building_id, k, vx, vy FROM corners),
@@ -281,7 +281,8 @@ def _mask_oracle(body: str) -> str:
 
 @query(_mask_oracle("SELECT building_id, bin, round(elevation, 6) AS elevation FROM mask"))
 def shading_mask(spark: SparkSession, sf: str) -> DataFrame:
-    masks = shading.shading_mask(V.cleaned(spark, sf), _edges(spark, sf))
+    df = V.stored(spark, sf)
+    masks = shading.shading_mask(df, _edges_of(df))
     return shading.mask_bins(masks).select("building_id", "bin", r6("elevation"))
 
 
@@ -290,7 +291,8 @@ SELECT building_id, bin, round(a, 6) AS azimuth, round(100 * cos(a) + h * sin(a)
   round(100 * cos(a) - h * sin(a), 6) + 0.0 AS x1, round(100 * sin(a) + h * cos(a), 6) + 0.0 AS y1, round(100 * tan(elevation), 4) AS fence_height, round(2 * h, 6) AS fence_width
 FROM (SELECT *, 2 * pi() * bin / 48 AS a, 100 * tan(pi() / 48) AS h FROM mask)"""))
 def shading_fence(spark: SparkSession, sf: str) -> DataFrame:
-    masks = shading.shading_mask(V.cleaned(spark, sf), _edges(spark, sf))
+    df = V.stored(spark, sf)
+    masks = shading.shading_mask(df, _edges_of(df))
     fence = shading.shading_fence(masks, 100.0)
     return fence.select(
         "building_id", "bin", *[r6(c) for c in ("azimuth", "x0", "y0", "x1", "y1")],
@@ -306,8 +308,8 @@ FROM (SELECT *, 2 * pi() * bin / 48 AS a, 100 * tan(pi() / 48) AS h FROM mask) m
 def fence_polygons(spark: SparkSession, sf: str) -> DataFrame:
     from quoin.plans.preprocess import rectangle_centres
 
-    df = V.cleaned(spark, sf)
-    fence = shading.shading_fence(shading.shading_mask(df, _edges(spark, sf)), 100.0)
+    df = V.stored(spark, sf)
+    fence = shading.shading_fence(shading.shading_mask(df, _edges_of(df)), 100.0)
     quads = shading.fence_polygons(fence, rectangle_centres(df), CONFIG.f2f_height)
     corner = [F.col("quad")[i] for i in (2, 3)]
     return quads.select(

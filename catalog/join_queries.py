@@ -15,7 +15,7 @@ from quoin.operators import components, neighbors, results, specs, stations
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
-    return V.cleaned(spark, sf).withColumns({"x": F.col("cx"), "y": F.col("cy")})
+    return V.stored(spark, sf).withColumns({"x": F.col("cx"), "y": F.col("cy")})
 
 
 @query(oracle("SELECT src, dst, round(distance, 6) AS distance FROM near", "near"))
@@ -42,13 +42,13 @@ def touching_rectangles(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("src", "dst", boxes_intersect(F.col("own.box"), F.col("neighbor.box")).alias("touching"))
 
 
-def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbors.neighbor_edges(V.cleaned(spark, sf), CONFIG.neighbor_threshold, CONFIG.default_height, CONFIG.f2f_height)
+def _edges_of(df: DataFrame) -> DataFrame:
+    return neighbors.neighbor_edges(df, CONFIG.neighbor_threshold, CONFIG.default_height, CONFIG.f2f_height)
 
 
 @query(oracle("SELECT src, dst, round(distance, 6) AS distance FROM apart", "apart"))
 def separate_neighbors(spark: SparkSession, sf: str) -> DataFrame:
-    return _edges(spark, sf).select("src", "dst", r6("distance"))
+    return _edges_of(V.stored(spark, sf)).select("src", "dst", r6("distance"))
 
 
 @query(oracle("""
@@ -56,8 +56,9 @@ SELECT c.building_id, CAST(count(n.dst) AS BIGINT) AS n_neighbors, coalesce(stri
   coalesce(sum(n.b_height), 0.0) AS height_sum, CAST(coalesce(sum(trunc(n.b_height / 3.0)), 0) AS BIGINT) AS floor_sum
 FROM cleaned c LEFT JOIN apart n ON n.src = c.building_id GROUP BY 1""", "apart"))
 def neighbor_attributes(spark: SparkSession, sf: str) -> DataFrame:
-    lists = neighbors.gather_neighbors(_edges(spark, sf))
-    df = neighbors.attach_neighbors(V.cleaned(spark, sf).select("building_id"), lists)
+    table = V.stored(spark, sf)
+    lists = neighbors.gather_neighbors(_edges_of(table))
+    df = neighbors.attach_neighbors(table.select("building_id"), lists)
     items = F.col("neighbors")
     return df.groupBy("building_id").agg(
         F.sum(F.size(items)).alias("n_neighbors"),
@@ -71,7 +72,7 @@ def neighbor_attributes(spark: SparkSession, sf: str) -> DataFrame:
 FROM apart JOIN buildings ON building_id = dst""", "apart"))
 def neighbor_heights_filled(spark: SparkSession, sf: str) -> DataFrame:
     """Missing neighbour heights become the default; floors are cut to whole floors."""
-    df = V.cleaned(spark, sf).withColumn("height_m", F.col("num_storeys") * 3.0)
+    df = V.stored(spark, sf).withColumn("height_m", F.col("num_storeys") * 3.0)
     edges = neighbors.neighbor_edges(df, CONFIG.neighbor_threshold, CONFIG.default_height, CONFIG.f2f_height)
     return edges.select(F.col("src").alias("building_id"), F.col("dst").alias("neighbor_id"), "height", "floors")
 
@@ -98,14 +99,16 @@ def nearest_station_in_reach(spark: SparkSession, sf: str) -> DataFrame:
 FROM cleaned c LEFT JOIN closest n ON n.building_id = c.building_id""", "closest"))
 def weather_assignment(spark: SparkSession, sf: str) -> DataFrame:
     sites = stations.valid_stations(V.stations(spark, sf), CONFIG.station_filter)
-    df = stations.assign_weather(V.cleaned(spark, sf), _points(spark, sf), sites)
+    df = _points(spark, sf)
+    df = stations.assign_weather(df, df, sites)
     return df.select("building_id", "weather_file")
 
 
 @query(oracle("SELECT building_id, coalesce(weather_file, 'city.zip') AS weather_file FROM cleaned", "cleaned"))
 def weather_from_config(spark: SparkSession, sf: str) -> DataFrame:
     """A configured file leaves nothing to search for."""
-    df = stations.assign_weather(V.cleaned(spark, sf), _points(spark, sf), V.stations(spark, sf), "city.zip")
+    df = _points(spark, sf)
+    df = stations.assign_weather(df, df, V.stations(spark, sf), "city.zip")
     return df.select("building_id", "weather_file")
 
 

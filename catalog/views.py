@@ -12,6 +12,7 @@ from quoin.config import PreprocessConfig
 from quoin.functions import geometry as G
 from quoin.operators import clean
 from quoin.schema import FieldSpec
+from quoin.session import durable
 
 CONFIG = PreprocessConfig()
 
@@ -172,6 +173,11 @@ def cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return clean.kept(assessed(spark, folder))
 
 
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Kept buildings as a written table, for operators that start from them several times."""
+    return durable(cleaned(spark, folder))
+
+
 def library(spark: SparkSession, folder: str) -> DataFrame:
     """Component library with one combination missing."""
     return (

@@ -9,12 +9,17 @@ flat vertex arrays of an Arrow batch.
 from __future__ import annotations
 
 import struct
+import sys
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Ship this module's code with the tasks, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Rings up to this many vertices are solved together, by trying every vertex pair as a direction;
 # the flat side of the best rectangle lies on a hull edge, which is one of those pairs.
 _ALL_PAIRS_LIMIT = 12

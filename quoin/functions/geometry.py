@@ -34,14 +34,14 @@ def shell(geom: Column) -> Column:
 
 
 def _ring_area(ring: Column) -> Column:
+    """Sum of trapezoids: needs no common origin to stay accurate for large coordinates."""
     count = F.greatest(F.size(ring) - 1, F.lit(0))
-    ox, oy = ring[0]["x"], ring[0]["y"]
-    crosses = F.zip_with(
+    trapezoids = F.zip_with(
         F.slice(ring, F.lit(1), count),
         F.slice(ring, F.lit(2), count),
-        lambda p, q: (p["x"] - ox) * (q["y"] - oy) - (q["x"] - ox) * (p["y"] - oy),
+        lambda p, q: (p["x"] + q["x"]) * (q["y"] - p["y"]),
     )
-    return F.abs(F.aggregate(crosses, F.lit(0.0), lambda s, c: s + c)) / 2
+    return F.abs(F.aggregate(trapezoids, F.lit(0.0), lambda s, t: s + t)) / 2
 
 
 def _polygon_area(poly: Column) -> Column:
@@ -62,18 +62,20 @@ def largest_part(geom: Column) -> Column:
 
 def rectangle_ring(cx: Column, cy: Column, width: Column, depth: Column, angle: Column) -> Column:
     """Closed ring of a rotated rectangle given by centre, sides and angle."""
-    sides = [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5), (-0.5, -0.5)]
-    corners = F.array(*[point(F.lit(a), F.lit(b)) for a, b in sides])
     frame = F.struct(
         cx.alias("x"), cy.alias("y"), F.cos(angle).alias("c"), F.sin(angle).alias("s"),
-        width.alias("w"), depth.alias("d"),
+        (width / 2).alias("w"), (depth / 2).alias("d"),
     )
 
-    def corner(f: Column, p: Column) -> Column:
-        along, across = f["w"] * p["x"], f["d"] * p["y"]
-        return point(f["x"] + along * f["c"] - across * f["s"], f["y"] + along * f["s"] + across * f["c"])
+    def ring(f: Column) -> Column:
+        ux, uy, vx, vy = f["w"] * f["c"], f["w"] * f["s"], f["d"] * f["s"], f["d"] * f["c"]
+        x, y = f["x"], f["y"]
+        first = point(x - ux + vx, y - uy - vy)
+        return F.array(
+            first, point(x + ux + vx, y + uy - vy), point(x + ux - vx, y + uy + vy), point(x - ux - vx, y - uy + vy), first
+        )
 
-    return bound(frame, lambda f: F.transform(corners, lambda p: corner(f, p)))
+    return bound(frame, ring)
 
 
 def _edge(rect: Column, i: int) -> tuple[Column, Column]:

@@ -20,8 +20,7 @@ Rule = tuple[str, Column]
 
 def _number(name: str) -> Column:
     """The column as double, with NaN read as missing."""
-    value = F.col(name).cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
 
 
 # --- imputation -----------------------------------------------------------------------------

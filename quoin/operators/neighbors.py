@@ -83,7 +83,7 @@ def neighbor_edges(
     """Edge table with everything later steps need.
 
     ``buildings`` has building_id, rect (four corners) and height_m.  Columns: src, dst, distance,
-    own_x, own_y (centre of src), rect, height, floors (of dst).  A missing neighbour height becomes
+    own_x, own_y (centre of src), rect, box, height, floors (of dst).  A missing neighbour height becomes
     ``default_height``; floors are whole floors of ``floor_height``.
     """
     boxed = with_oriented_box(buildings.select("building_id", "rect", "height_m"))
@@ -93,11 +93,11 @@ def neighbor_edges(
     if remove_touching:
         edges = drop_touching(edges)
     height = F.col("neighbor.height")
-    filled = F.coalesce(F.when(~F.isnan(height), height), F.lit(float(default_height)))
+    filled = F.coalesce(F.nanvl(height, F.lit(None).cast("double")), F.lit(float(default_height)))
     return edges.select(
         "src", "dst", "distance",
         F.col("own.box.cx").alias("own_x"), F.col("own.box.cy").alias("own_y"),
-        F.col("neighbor.rect").alias("rect"), filled.alias("height"),
+        F.col("neighbor.rect").alias("rect"), F.col("neighbor.box").alias("box"), filled.alias("height"),
     ).withColumn("floors", (F.col("height") / floor_height).cast("int"))
 
 

@@ -23,7 +23,7 @@ METRICS = ("energy_usage", "peak_power", "percent_change", "eui", "custom")
 
 
 def _value() -> Column:
-    return F.when(~F.isnan("value"), F.col("value"))
+    return F.nanvl("value", F.lit(None).cast("double"))
 
 
 def _filled_sum() -> Column:

@@ -15,50 +15,60 @@ BINS = 48
 _GRAZE = 1e-9
 
 
-def _bin_range(vertices: list[tuple[Column, Column]], bins: int) -> Column:
-    """Bins whose ray can meet a rectangle: the angle it covers, seen from the origin."""
+def _bin_range(bins: int) -> Column:
+    """Bins whose ray can meet the box: those within the angle its circumscribed circle covers.
+
+    The exact test follows; this only spares it for the many rays that look elsewhere.
+    """
     step = 2 * math.pi / bins
-    mid_x = (vertices[0][0] + vertices[2][0]) / 2
-    mid_y = (vertices[0][1] + vertices[2][1]) / 2
-    middle = F.atan2(mid_y, mid_x)
-    # Angle of a vertex relative to the middle, in (-pi, pi).
-    turns = [F.atan2(mid_x * y - mid_y * x, mid_x * x + mid_y * y) for x, y in vertices]
-    low, high = F.least(*turns), F.greatest(*turns)
-    first = F.ceil((middle + low) / step - _GRAZE)
-    last = F.floor((middle + high) / step + _GRAZE)
+    middle, half = F.atan2("_my", "_mx"), F.asin(F.try_divide("_r", "_d"))
+    first = F.ceil((middle - half) / step - _GRAZE)
+    last = F.floor((middle + half) / step + _GRAZE)
     around = F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))
-    return F.when(high - low > math.pi - _GRAZE, around).when(first <= last, F.sequence(first, last))
+    return F.when(F.col("_d") <= F.col("_r"), around).when(first <= last, F.sequence(first, last))
 
 
 def obstructions(edges: DataFrame, bins: int = BINS) -> DataFrame:
     """(building_id, bin, elevation) of every bin an individual neighbour obstructs.
 
-    ``edges`` has src, own_x, own_y, rect (four corners of the neighbour) and height.
+    ``edges`` has src, own_x, own_y, box (of the neighbour) and height.  Rays are cut with the box in
+    the box's own axes, where its sides are two pairs of parallel lines.  Kept in small steps: one
+    large expression would exceed the method size the JVM still compiles.
     """
-    flat = edges.select(
-        F.col("src").alias("building_id"),
-        "height",
-        *[(F.col("rect")[i]["x"] - F.col("own_x")).alias(f"x{i}") for i in range(4)],
-        *[(F.col("rect")[i]["y"] - F.col("own_y")).alias(f"y{i}") for i in range(4)],
+    box = {name: F.col(f"box.{name}") for name in ("cx", "cy", "ux", "uy", "hu", "hv")}
+    rays = edges.select(
+        F.col("src").alias("building_id"), "height",
+        (box["cx"] - F.col("own_x")).alias("_mx"), (box["cy"] - F.col("own_y")).alias("_my"),
+        *[box[n].alias(f"_{n}") for n in ("ux", "uy", "hu", "hv")],
     )
-    vertices = [(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)]
-    rays = flat.withColumn("ray", F.explode(_bin_range(vertices, bins)))
-    rays = rays.withColumn("ray", F.pmod("ray", F.lit(bins)).cast("int"))
+    rays = rays.withColumns({"_d": F.hypot("_mx", "_my"), "_r": F.hypot("_hu", "_hv")})
+    rays = rays.withColumn("ray", F.explode(_bin_range(bins)))
+    mx, my, ux, uy = (F.col(c) for c in ("_mx", "_my", "_ux", "_uy"))
     azimuth = F.col("ray") * (2 * math.pi / bins)
-    rays = rays.withColumns({"dx": F.cos(azimuth), "dy": F.sin(azimuth)})
-    dx, dy = F.col("dx"), F.col("dy")
-    hits = []
-    for i in range(4):
-        (px, py), (qx, qy) = vertices[i], vertices[(i + 1) % 4]
-        ex, ey = qx - px, qy - py
-        across = dx * ey - dy * ex
-        distance = F.try_divide(px * ey - py * ex, across)
-        along = F.try_divide(px * dy - py * dx, across)
-        hits.append(F.when((distance > 0) & along.between(-_GRAZE, 1 + _GRAZE), distance))
-    return (
-        rays.withColumn("_at", F.least(*hits))
-        .where(F.col("_at").isNotNull())
-        .select("building_id", F.col("ray").alias("bin"), F.atan(F.col("height") / F.col("_at")).alias("elevation"))
+    rays = rays.withColumns({"_c": F.cos(azimuth), "_s": F.sin(azimuth)})
+
+    def sloped(value: Column) -> Column:
+        # A ray along a side: tilt it by less than anything measurable instead of dividing by zero.
+        return F.when(F.abs(value) < 1e-15, F.lit(1e-15)).otherwise(value)
+
+    rays = rays.select(
+        "building_id", "height", "ray",
+        # Along / across the box: distance to its middle, direction of the ray, half extent.
+        F.try_divide(mx * ux + my * uy, sloped(F.col("_c") * ux + F.col("_s") * uy)).alias("_u"),
+        F.abs(F.try_divide("_hu", sloped(F.col("_c") * ux + F.col("_s") * uy))).alias("_wu"),
+        F.try_divide(my * ux - mx * uy, sloped(F.col("_s") * ux - F.col("_c") * uy)).alias("_v"),
+        F.abs(F.try_divide("_hv", sloped(F.col("_s") * ux - F.col("_c") * uy))).alias("_wv"),
+    )
+    enters = F.greatest(F.col("_u") - F.col("_wu"), F.col("_v") - F.col("_wv"))
+    leaves = F.least(F.col("_u") + F.col("_wu"), F.col("_v") + F.col("_wv"))
+    rays = rays.select("building_id", "height", "ray", enters.alias("_in"), leaves.alias("_out"))
+    met = rays.where((F.col("_out") > 0) & (F.col("_in") <= F.col("_out") + _GRAZE))
+    # From inside the box the nearest side is the one the ray leaves through.
+    distance = F.when(F.col("_in") > 0, F.col("_in")).otherwise(F.col("_out"))
+    return met.select(
+        "building_id",
+        F.pmod("ray", F.lit(bins)).cast("int").alias("bin"),
+        F.atan(F.try_divide("height", distance)).alias("elevation"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,15 +24,24 @@ def local_session(app: str = "quoin", cores: int | str = 8, memory: str = "12g")
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(named)
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
+    """Write ``df`` as a table in the shared folder and read it from there.
 
-    Executors may be lost at any time, so expensive intermediates go to reliable storage, never to
-    executor disks.  The folder is the one named by ``spark.checkpoint.dir``; only where that is
-    unset (tests) a temporary one is used.
+    Executors may be lost at any time, so expensive intermediates that several steps start from go to
+    reliable storage, never to executor disks.  A columnar table also lets later steps read only the
+    columns they need, tells Spark its size, and keeps their plans short.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoin.functions.geometry import bound
 from quoin.operators.checks import require_columns
 from quoin.schema import NUMERIC_TYPES
 
@@ -49,15 +50,17 @@ def quantiles(values: DataFrame, probabilities: Sequence[float], accuracy: int =
     bracket = sketch.select(F.struct("cuts", "n")).scalar()
     cuts, n = bracket["cuts"], bracket["n"]
     # Per probability: rank = p * (n - 1), between the order statistics floor(rank) and ceil(rank).
+    # Every value reports, per zone, "below" (folded into one group) or itself.
     zones = F.array(
         *[
             F.struct(F.lit(i).alias("which"), F.lit(float(p)).alias("p"), cuts[2 * i].alias("low"), cuts[2 * i + 1].alias("high"))
             for i, p in enumerate(probabilities)
         ]
     )
-    # Every value reports, per zone, "below" (folded into one group) or itself.
-    placed = values.where(F.col("value").isNotNull()).select(
-        "value", F.explode(F.filter(zones, lambda z: F.col("value") <= z["high"])).alias("z")
+    placed = (
+        values.where(F.col("value").isNotNull())
+        .select("value", F.explode(zones).alias("z"))
+        .where(F.col("value") <= F.col("z.high"))
     )
     inside = F.col("z.low") <= F.col("value")
     tally = placed.groupBy(
@@ -94,70 +97,87 @@ def describe(df: DataFrame, column: str) -> DataFrame:
 # --- axis, histogram, density ---------------------------------------------------------------
 
 
-def _tick(span: Column, count: int) -> tuple[Column, Column]:
-    """A step of 1, 2 or 5 times a power of ten that cuts ``span`` into about ``count``.
+def _tick(span: Column, count: int) -> Column:
+    """struct(m, d): a step m / d of 1, 2 or 5 times a power of ten that cuts ``span`` into about
+    ``count``.  One of m and d is 1, so that a tick is index * m / d with a single rounding."""
 
-    Returned as (multiple, divisor), one of them 1, so that a tick is index * multiple / divisor with
-    a single rounding.
-    """
-    raw = span / count
-    power = F.floor(F.log10(raw))
-    lead = raw / F.pow(F.lit(10.0), power)
-    factor = (
-        F.when(lead >= math.sqrt(50), 10.0).when(lead >= math.sqrt(10), 5.0).when(lead >= math.sqrt(2), 2.0).otherwise(1.0)
-    )
-    small = power < 0
-    multiple = F.when(small, F.lit(1.0)).otherwise(F.pow(F.lit(10.0), power) * factor)
-    divisor = F.when(small, F.pow(F.lit(10.0), -power) / factor).otherwise(F.lit(1.0))
-    return multiple, divisor
+    def scaled(raw: Column) -> Column:
+        return bound(F.floor(F.log10(raw)), lambda power: step(raw, power))
+
+    def step(raw: Column, power: Column) -> Column:
+        lead = raw / F.pow(F.lit(10.0), power)
+        factor = (
+            F.when(lead >= math.sqrt(50), 10.0)
+            .when(lead >= math.sqrt(10), 5.0)
+            .when(lead >= math.sqrt(2), 2.0)
+            .otherwise(1.0)
+        )
+        return F.struct(
+            F.when(power < 0, F.lit(1.0)).otherwise(F.pow(F.lit(10.0), power) * factor).alias("m"),
+            F.when(power < 0, F.pow(F.lit(10.0), -power) / factor).otherwise(F.lit(1.0)).alias("d"),
+        )
+
+    return F.when(span > 0, bound(span / count, scaled))
+
+
+def _rounded_out(a: Column) -> Column:
+    """struct(low, high) moved outwards to the ticks of its own range; a single point stays."""
+
+    def widen(t: Column) -> Column:
+        low = F.floor(a["low"] * t["d"] / t["m"]) * t["m"] / t["d"]
+        high = F.ceil(a["high"] * t["d"] / t["m"]) * t["m"] / t["d"]
+        return F.struct(F.coalesce(low, a["low"]).alias("low"), F.coalesce(high, a["high"]).alias("high"))
+
+    return bound(_tick(a["high"] - a["low"], AXIS_TICKS), widen)
 
 
 def axis(values: DataFrame, rounds: int = 3) -> DataFrame:
-    """One row (low, high): the range rounded outwards to ticks until it settles; NULL if empty."""
-    row = values.agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    """One row with ``axis``: struct(low, high), the range rounded outwards until it settles."""
+    row = values.agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high")).alias("axis"))
+    out = F.col("axis")
     for _ in range(rounds):
-        multiple, divisor = _tick(F.col("high") - F.col("low"), AXIS_TICKS)
-        spread = F.col("high") > F.col("low")
-        row = row.select("low", "high", F.when(spread, multiple).alias("m"), F.when(spread, divisor).alias("d"))
-        row = row.select(
-            F.coalesce(F.floor(F.col("low") * F.col("d") / F.col("m")) * F.col("m") / F.col("d"), F.col("low")).alias("low"),
-            F.coalesce(F.ceil(F.col("high") * F.col("d") / F.col("m")) * F.col("m") / F.col("d"), F.col("high")).alias("high"),
+        out = bound(out, _rounded_out)
+    return row.select(out.alias("axis"))
+
+
+def _bin_frame(a: Column, bins: int) -> Column:
+    """struct(low, high, m, d, first, top): axis, bin step, index of the first inner edge, last bin."""
+
+    def frame(t: Column) -> Column:
+        first = F.floor(a["low"] * t["d"] / t["m"]) + 1
+        last = F.ceil(a["high"] * t["d"] / t["m"]) - 1
+        top = F.coalesce(F.greatest(last - first + 1, F.lit(0)), F.lit(0))
+        return F.struct(
+            a["low"].alias("low"), a["high"].alias("high"), t["m"].alias("m"), t["d"].alias("d"),
+            first.alias("first"), F.when(a["low"].isNotNull(), top).alias("top"),
         )
-    return row
+
+    return bound(_tick(a["high"] - a["low"], bins), frame)
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """(bin, x0, x1, n): bins [x0, x1), the last one closed; empty bins included.
 
     The axis is rounded outwards; inside it the bin edges are the multiples of a 1/2/5 step.  All
-    equal values make one bin.  Only (bin, count) pairs are shuffled.
+    equal values make one bin, no values none.  Only (bin, count) pairs are shuffled.
     """
     values = finite(df, column)
-    spread = F.col("high") > F.col("low")
-    multiple, divisor = _tick(F.col("high") - F.col("low"), bins)
-    row = axis(values).where(F.col("low").isNotNull()).select(
-        "low", "high", F.when(spread, multiple).alias("m"), F.when(spread, divisor).alias("d")
-    )
-    # Index of the first multiple above low and of the last one below high.
-    frame = row.select(
-        "low", "high", "m", "d",
-        (F.floor(F.col("low") * F.col("d") / F.col("m")) + 1).alias("first"),
-        (F.ceil(F.col("high") * F.col("d") / F.col("m")) - 1).alias("last"),
-    )
-    one = frame.select(F.struct("low", "high", "m", "d", "first", "last")).scalar()
+    frame = axis(values).select(bound(F.col("axis"), lambda a: _bin_frame(a, bins)).alias("f"))
+    one = frame.scalar()
     cut = F.floor(F.col("value") * one["d"] / one["m"]) - one["first"] + 1
-    position = F.coalesce(F.least(F.greatest(cut, F.lit(0)), one["last"] - one["first"] + 1), F.lit(0))
+    position = F.coalesce(F.least(F.greatest(cut, F.lit(0)), one["top"]), F.lit(0).cast("bigint"))
     counts = values.groupBy(position.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
-    top = F.coalesce(F.greatest(F.col("last") - F.col("first") + 1, F.lit(0)), F.lit(0))
-    edges = frame.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), top))).withColumn("top", top)
-    step = F.col("m") / F.col("d")
-    left = (F.col("first") + F.col("bin") - 1) * F.col("m") / F.col("d")
-    right = (F.col("first") + F.col("bin")) * F.col("m") / F.col("d")
-    edges = edges.select(
+    slots = frame.select("f", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("f.top"))).alias("bin"))
+
+    def edge(index: Column) -> Column:
+        return (F.col("f.first") + index) * F.col("f.m") / F.col("f.d")
+
+    inner = F.col("f.m").isNotNull()
+    edges = slots.select(
         "bin",
-        F.when((F.col("bin") == 0) | step.isNull(), F.col("low")).otherwise(left).alias("x0"),
-        F.when((F.col("bin") == F.col("top")) | step.isNull(), F.col("high")).otherwise(right).alias("x1"),
+        F.when((F.col("bin") > 0) & inner, edge(F.col("bin") - 1)).otherwise(F.col("f.low")).alias("x0"),
+        F.when((F.col("bin") < F.col("f.top")) & inner, edge(F.col("bin"))).otherwise(F.col("f.high")).alias("x1"),
     )
     joined = edges.join(counts, "bin", "left")
     return joined.select("bin", "x0", "x1", F.coalesce("n", F.lit(0)).alias("n"))
@@ -170,7 +190,7 @@ def kernel_density(df: DataFrame, column: str, steps: int = DENSITY_STEPS) -> Da
     task are shuffled.
     """
     values = finite(df, column)
-    row = axis(values).select(F.struct("low", "high").alias("a")).scalar()
+    row = axis(values).scalar()
     width = row["high"] - row["low"]
     bandwidth = F.when(width > 0, width / BANDWIDTH_DIVISOR).otherwise(F.lit(1.0))
     placed = values.select(

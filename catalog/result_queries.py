@@ -333,7 +333,7 @@ def row_index(spark: SparkSession, sf: str) -> DataFrame:
     return ordering.add_row_index(V.cleaned(spark, sf).select("building_id", "typology"))
 
 
-_PAYLOAD = """SELECT building_id, row_number() OVER (ORDER BY md5(building_id || '|order'), building_id) - 1 AS at,
+_PAYLOAD = """SELECT building_id, row_number() OVER (ORDER BY md5(building_id || '|order'), building_id) - 1 AS seq,
   strlen('{"building_id":"' || building_id || '","typology":"' || typology || '","region":"' || region || '"}') AS b FROM cleaned"""
 
 
@@ -344,7 +344,7 @@ def payload_plan(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("n_specs", r6("mean_bytes"), "specs_per_batch", "n_batches")
 
 
-@query(oracle(f"SELECT building_id, CAST(floor(at / floor(2000 / (SELECT avg(b) FROM ({_PAYLOAD})))) AS BIGINT) AS batch_id FROM ({_PAYLOAD})", "cleaned"))
+@query(oracle(f"SELECT building_id, CAST(floor(seq / floor(2000 / (SELECT avg(b) FROM ({_PAYLOAD})))) AS BIGINT) AS batch_id FROM ({_PAYLOAD})", "cleaned"))
 def payload_batches(spark: SparkSession, sf: str) -> DataFrame:
     df = ordering.assign_batches(V.cleaned(spark, sf).select("building_id", "typology", "region"), budget=2000)
     return df.select("building_id", "batch_id")

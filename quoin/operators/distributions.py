@@ -37,8 +37,8 @@ def quantiles(values: DataFrame, probabilities: Sequence[float], accuracy: int =
     """Exact quantiles (linear between ranks) of column ``value`` as one row q0, q1, ...
 
     The built-in exact percentile keeps all distinct values in one task.  Here an approximate sketch
-    gives a bracket certain to hold the wanted ranks; one more pass counts the values below it and
-    tallies the few inside.  Only a ~``10 / accuracy`` share of the values is ever ordered.
+    gives a bracket certain to hold the wanted ranks; one more pass counts the values on either side
+    and tallies the few inside.  Only a ~``10 / accuracy`` share of the values is ever ordered.
     """
     slack = 5.0 / accuracy
     bounds = []
@@ -50,30 +50,38 @@ def quantiles(values: DataFrame, probabilities: Sequence[float], accuracy: int =
     bracket = sketch.select(F.struct("cuts", "n")).scalar()
     cuts, n = bracket["cuts"], bracket["n"]
     # Per probability: rank = p * (n - 1), between the order statistics floor(rank) and ceil(rank).
-    # Every value reports, per zone, "below" (folded into one group) or itself.
     zones = F.array(
         *[
-            F.struct(F.lit(i).alias("which"), F.lit(float(p)).alias("p"), cuts[2 * i].alias("low"), cuts[2 * i + 1].alias("high"))
+            F.struct(
+                F.lit(i).alias("which"), F.lit(float(p)).alias("p"),
+                cuts[2 * i].alias("low"), cuts[2 * i + 1].alias("high"),
+            )
             for i, p in enumerate(probabilities)
         ]
     )
-    placed = (
-        values.where(F.col("value").isNotNull())
-        .select("value", F.explode(zones).alias("z"))
-        .where(F.col("value") <= F.col("z.high"))
+    # Values outside a zone are folded into one group per side, of which only the member next to the
+    # zone matters: the ranks between which a quantile is interpolated may lie one step outside.
+    placed = values.where(F.col("value").isNotNull()).select("value", F.explode(zones).alias("z"))
+    side = F.when(F.col("value") < F.col("z.low"), -1).when(F.col("value") > F.col("z.high"), 1).otherwise(0)
+    tally = (
+        placed.select("value", "z.which", "z.p", side.alias("side"))
+        .groupBy("which", "p", "side", F.when(F.col("side") == 0, F.col("value")).alias("inner"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min("value").alias("least"), F.max("value").alias("most"))
+        .withColumn("value", F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least")))
     )
-    inside = F.col("z.low") <= F.col("value")
-    tally = placed.groupBy(
-        F.col("z.which").alias("which"), F.col("z.p").alias("p"), F.when(inside, F.col("value")).alias("value")
-    ).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy("which").orderBy(F.col("value").asc_nulls_first())
+    upto = Window.partitionBy("which").orderBy("side", "value")
     ranked = tally.withColumn("last", F.sum("c").over(upto)).withColumn("first", F.col("last") - F.col("c"))
     rank = F.col("p") * (n - 1)
     lower, upper = F.floor(rank), F.ceil(rank)
 
     def statistic(position: Column) -> Column:
-        here = (F.col("first") <= position) & (position < F.col("last"))
-        return F.max(F.when(here, F.col("value")))
+        inside = (F.col("first") <= position) & (position < F.col("last"))
+        known = (
+            F.when(F.col("side") < 0, position == F.col("last") - 1)
+            .when(F.col("side") > 0, position == F.col("first"))
+            .otherwise(inside)
+        )
+        return F.max(F.when(known, F.col("value")))
 
     pairs = ranked.groupBy("which").agg(
         statistic(lower).alias("a"), statistic(upper).alias("b"), F.max(rank - lower).alias("w")

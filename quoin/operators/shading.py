@@ -15,26 +15,15 @@ BINS = 48
 _GRAZE = 1e-9
 
 
-def _bin_range(bins: int) -> Column:
-    """Bins whose ray can meet the box: those within the angle its circumscribed circle covers.
+def _looks(edges: DataFrame, bins: int) -> DataFrame:
+    """(building_id, bin, elevation) per neighbour and candidate ray; NULL where the ray misses.
 
-    The exact test follows; this only spares it for the many rays that look elsewhere.
+    Rays are cut with the neighbour's box in the box's own axes, where its sides are two pairs of
+    parallel lines.  Candidate rays are those within the angle the box's circumscribed circle covers.
+    Written in small steps that are each used once or materialised: as one expression the generated
+    method would be larger than the JVM is willing to compile, and run many times slower.
     """
     step = 2 * math.pi / bins
-    middle, half = F.atan2("_my", "_mx"), F.asin(F.try_divide("_r", "_d"))
-    first = F.ceil((middle - half) / step - _GRAZE)
-    last = F.floor((middle + half) / step + _GRAZE)
-    around = F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))
-    return F.when(F.col("_d") <= F.col("_r"), around).when(first <= last, F.sequence(first, last))
-
-
-def obstructions(edges: DataFrame, bins: int = BINS) -> DataFrame:
-    """(building_id, bin, elevation) of every bin an individual neighbour obstructs.
-
-    ``edges`` has src, own_x, own_y, box (of the neighbour) and height.  Rays are cut with the box in
-    the box's own axes, where its sides are two pairs of parallel lines.  Kept in small steps: one
-    large expression would exceed the method size the JVM still compiles.
-    """
     box = {name: F.col(f"box.{name}") for name in ("cx", "cy", "ux", "uy", "hu", "hv")}
     rays = edges.select(
         F.col("src").alias("building_id"), "height",
@@ -42,43 +31,70 @@ def obstructions(edges: DataFrame, bins: int = BINS) -> DataFrame:
         *[box[n].alias(f"_{n}") for n in ("ux", "uy", "hu", "hv")],
     )
     rays = rays.withColumns({"_d": F.hypot("_mx", "_my"), "_r": F.hypot("_hu", "_hv")})
-    rays = rays.withColumn("ray", F.explode(_bin_range(bins)))
+    # Standing inside the circle: half a turn to either side is everything.
+    half = F.when(F.col("_d") > F.col("_r"), F.asin(F.try_divide("_r", "_d"))).otherwise(F.lit(math.pi - step / 2))
+    rays = rays.withColumns({"_mid": F.atan2("_my", "_mx"), "_half": half}).drop("_d", "_r")
+    rays = rays.withColumns(
+        {
+            "_first": F.ceil((F.col("_mid") - F.col("_half")) / step - _GRAZE),
+            "_last": F.floor((F.col("_mid") + F.col("_half")) / step + _GRAZE),
+        }
+    ).drop("_mid", "_half")
+    candidates = F.when(F.col("_first") <= F.col("_last"), F.sequence("_first", "_last"))
+    rays = rays.withColumn("ray", F.explode(candidates)).drop("_first", "_last")
+    azimuth = F.col("ray") * step
     mx, my, ux, uy = (F.col(c) for c in ("_mx", "_my", "_ux", "_uy"))
-    azimuth = F.col("ray") * (2 * math.pi / bins)
     rays = rays.withColumns({"_c": F.cos(azimuth), "_s": F.sin(azimuth)})
+    # Along and across the box: distance to its middle and slope of the ray.
+    rays = rays.select(
+        "building_id", "height", "ray", "_hu", "_hv",
+        (mx * ux + my * uy).alias("_u"), (my * ux - mx * uy).alias("_v"),
+        (F.col("_c") * ux + F.col("_s") * uy).alias("_du"), (F.col("_s") * ux - F.col("_c") * uy).alias("_dv"),
+    )
 
-    def sloped(value: Column) -> Column:
-        # A ray along a side: tilt it by less than anything measurable instead of dividing by zero.
-        return F.when(F.abs(value) < 1e-15, F.lit(1e-15)).otherwise(value)
+    def inverse(slope: str) -> Column:
+        # A ray along a side is tilted by less than anything measurable.
+        return F.lit(1.0) / F.when(F.abs(slope) < 1e-15, F.lit(1e-15)).otherwise(F.col(slope))
 
+    rays = rays.withColumns({"_iu": inverse("_du"), "_iv": inverse("_dv")})
     rays = rays.select(
         "building_id", "height", "ray",
-        # Along / across the box: distance to its middle, direction of the ray, half extent.
-        F.try_divide(mx * ux + my * uy, sloped(F.col("_c") * ux + F.col("_s") * uy)).alias("_u"),
-        F.abs(F.try_divide("_hu", sloped(F.col("_c") * ux + F.col("_s") * uy))).alias("_wu"),
-        F.try_divide(my * ux - mx * uy, sloped(F.col("_s") * ux - F.col("_c") * uy)).alias("_v"),
-        F.abs(F.try_divide("_hv", sloped(F.col("_s") * ux - F.col("_c") * uy))).alias("_wv"),
+        (F.col("_u") * F.col("_iu")).alias("_u"), F.abs(F.col("_hu") * F.col("_iu")).alias("_wu"),
+        (F.col("_v") * F.col("_iv")).alias("_v"), F.abs(F.col("_hv") * F.col("_iv")).alias("_wv"),
+    )
+    rays = rays.select(
+        "building_id", "height", "ray",
+        F.greatest(F.col("_u") - F.col("_wu"), F.col("_v") - F.col("_wv")).alias("_in"),
+        F.least(F.col("_u") + F.col("_wu"), F.col("_v") + F.col("_wv")).alias("_out"),
     )
-    enters = F.greatest(F.col("_u") - F.col("_wu"), F.col("_v") - F.col("_wv"))
-    leaves = F.least(F.col("_u") + F.col("_wu"), F.col("_v") + F.col("_wv"))
-    rays = rays.select("building_id", "height", "ray", enters.alias("_in"), leaves.alias("_out"))
-    met = rays.where((F.col("_out") > 0) & (F.col("_in") <= F.col("_out") + _GRAZE))
     # From inside the box the nearest side is the one the ray leaves through.
     distance = F.when(F.col("_in") > 0, F.col("_in")).otherwise(F.col("_out"))
-    return met.select(
+    met = (F.col("_out") > 0) & (F.col("_in") <= F.col("_out") + _GRAZE)
+    return rays.select(
         "building_id",
         F.pmod("ray", F.lit(bins)).cast("int").alias("bin"),
-        F.atan(F.try_divide("height", distance)).alias("elevation"),
+        F.when(met, F.atan2("height", distance)).alias("elevation"),
     )
 
 
+def obstructions(edges: DataFrame, bins: int = BINS) -> DataFrame:
+    """(building_id, bin, elevation) of every bin an individual neighbour obstructs.
+
+    ``edges`` has src, own_x, own_y, box (of the neighbour) and height.
+    """
+    rows = _looks(edges, bins)
+    # A generator instead of a filter, which would be pushed down and repeat the whole computation.
+    seen = F.when(F.col("elevation").isNotNull(), F.array("elevation"))
+    return rows.select("building_id", "bin", F.explode(seen).alias("elevation"))
+
+
 def shading_mask(buildings: DataFrame, edges: DataFrame, bins: int = BINS) -> DataFrame:
     """(building_id, mask): one array of ``bins`` elevations per building.
 
     A single shuffle by building: per-bin maxima are partially aggregated first, so a building with
     very many neighbours costs each task one row.
     """
-    rows = obstructions(edges, bins)
+    rows = _looks(edges, bins)
     tops = [F.max(F.when(F.col("bin") == k, F.col("elevation"))).alias(f"m{k}") for k in range(bins)]
     peaks = rows.groupBy("building_id").agg(*tops)
     values = [F.coalesce(f"m{k}", F.lit(0.0)) for k in range(bins)]

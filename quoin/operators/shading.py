@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 BINS = 48
 _GRAZE = 1e-9
+_ENDLESS = 1e18
 
 
 def _looks(edges: DataFrame, bins: int) -> DataFrame:
@@ -53,14 +54,18 @@ def _looks(edges: DataFrame, bins: int) -> DataFrame:
     )
 
     def inverse(slope: str) -> Column:
-        # A ray along a side is tilted by less than anything measurable.
-        return F.lit(1.0) / F.when(F.abs(slope) < 1e-15, F.lit(1e-15)).otherwise(F.col(slope))
+        return F.when(F.abs(slope) < _GRAZE, F.lit(0.0)).otherwise(F.lit(1.0) / F.col(slope))
 
-    rays = rays.withColumns({"_iu": inverse("_du"), "_iv": inverse("_dv")})
+    def reach(middle: str, half: str, inverted: str) -> Column:
+        # A ray along a pair of sides is between them all the way or nowhere.
+        between = F.when(F.abs(middle) <= F.col(half) + _GRAZE, F.lit(_ENDLESS)).otherwise(F.lit(-1.0))
+        return F.when(F.col(inverted) == 0, between).otherwise(F.abs(F.col(half) * F.col(inverted)))
+
+    rays = rays.withColumns({"_iu": inverse("_du"), "_iv": inverse("_dv")}).drop("_du", "_dv")
     rays = rays.select(
         "building_id", "height", "ray",
-        (F.col("_u") * F.col("_iu")).alias("_u"), F.abs(F.col("_hu") * F.col("_iu")).alias("_wu"),
-        (F.col("_v") * F.col("_iv")).alias("_v"), F.abs(F.col("_hv") * F.col("_iv")).alias("_wv"),
+        (F.col("_u") * F.col("_iu")).alias("_u"), reach("_u", "_hu", "_iu").alias("_wu"),
+        (F.col("_v") * F.col("_iv")).alias("_v"), reach("_v", "_hv", "_iv").alias("_wv"),
     )
     rays = rays.select(
         "building_id", "height", "ray",

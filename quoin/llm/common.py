@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +24,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` text bytes at most (one row at least)."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         ends, begin = np.cumsum(sizes), 0
         while begin < batch.num_rows:
             base = ends[begin - 1] if begin else 0
@@ -35,7 +36,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE) ->
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each row begins (one entry more than rows); null is empty."""
     if column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = pc.fill_null(column, "")
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     _, offsets, data = column.buffers()
     if len(column) == 0 or offsets is None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quoin.llm.common import table
 from quoin.llm.decontaminate import contamination
+from quoin.llm.minhash import near_duplicates
 from quoin.llm.registry import query
 
 
@@ -22,3 +23,10 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query()
+def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all documents: three-word shingles, similarity 0.85."""
+    out = near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")

@@ -9,6 +9,7 @@ from quoin.llm.common import table
 from quoin.llm.decontaminate import contamination
 from quoin.llm.minhash import near_duplicates
 from quoin.llm.registry import query
+from quoin.llm.suffixes import without_repeats
 
 
 @query()
@@ -30,3 +31,16 @@ def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, similarity 0.85."""
     out = near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+@query()
+def op8_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of all documents under 100-byte strings that begin earlier."""
+    out = without_repeats(table(spark, folder, "documents"), 100)
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

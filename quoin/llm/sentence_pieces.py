@@ -20,7 +20,9 @@ from quoin.llm.common import list_array, slices
 from quoin.llm.pieces import MARK, Model, model, model_bytes
 
 #: Stretches that a worker remembers before it begins anew; bounds its memory.
-MEMORY = 400_000
+MEMORY = 250_000
+#: Texts of a slice in bytes, and new stretches merged at a time; bound the working memory.
+SLICE, ROUND = 1 << 20, 8192
 _STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 _ENCODED = T.StructType([T.StructField(name, T.ArrayType(T.IntegerType(), False), False) for name in ("ids", "starts", "ends")])
@@ -67,14 +69,14 @@ class Encoder:
         first, count = np.zeros(len(stretches), np.int64), np.full(len(stretches), -1, np.int64)
         size = np.fromiter(map(len, stretches), np.int64, len(stretches))
         for low, high in ((0, 6), (6, 9), (9, 13), (13, 32)):
-            some = np.flatnonzero((size > low) & (size <= high))
-            if len(some):
+            group = np.flatnonzero((size > low) & (size <= high))
+            for some in np.split(group, range(ROUND, len(group), ROUND)) if len(group) else ():
                 ids, ends, firsts = self.model.cut([stretches[k] for k in some])
                 starts = np.concatenate([[0], ends[:-1]])
                 starts[firsts[:-1]] = 0
                 first[some] = base + firsts[:-1]
                 count[some] = np.where(np.logical_or.reduceat(ids < 0, firsts[:-1]), -1, np.diff(firsts))
-                new.append((ids, starts, ends))
+                new.append(tuple(x.astype(np.int32) for x in (ids, starts, ends)))
                 base += len(ids)
         for k in np.flatnonzero(count < 0):
             part = self._slowly(stretches[k])
@@ -134,7 +136,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", keep: Sequence[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model(data))
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             texts = [value or "" for value in batch.column(text).to_pylist()]
             *columns, sizes = encoder.encode(texts)
             offsets = np.concatenate([[0], np.cumsum(sizes)])

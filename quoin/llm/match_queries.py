@@ -9,7 +9,12 @@ from quoin.llm.common import table
 from quoin.llm.decontaminate import contamination
 from quoin.llm.minhash import near_duplicates
 from quoin.llm.registry import query
+from quoin.llm.simhash import compared, likeness, within
 from quoin.llm.suffixes import without_repeats
+from quoin.session import durable
+
+#: Bits in which fingerprints of near copies may differ.
+RADIUS = 3
 
 
 @query()
@@ -44,3 +49,27 @@ def op8_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query()
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts.
+
+    ``n_near``: for documents whose id is divisible by 20, how many documents (itself included) have a fingerprint
+    within the radius; null for the others.
+    """
+    rows = durable(compared(table(spark, folder, "documents")))
+    copies = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"))
+    found = within(rows.where("doc_id % 20 = 0"), copies, RADIUS)
+    near = found.join(copies.withColumnRenamed("fp", "other"), "other").groupBy("fp").agg(F.sum("copies").alias("n_near"))
+    text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return rows.join(near, "fp", "left").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        text("fp").alias("fingerprint"),
+        text("edited_fp").alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        F.when(F.col("doc_id") % 20 == 0, F.col("n_near")).alias("n_near"),
+    )

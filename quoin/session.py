@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,10 +26,16 @@ def local_session(app: str = "quoin", cores: int | str = 8, memory: str = "12g")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Only a local session may do without one and gets a temporary folder; executors of a cluster would each write
+    to their own disk.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(named)
         named = context.getCheckpointDir()
@@ -42,6 +49,30 @@ def durable(df: DataFrame) -> DataFrame:
     reliable storage, never to executor disks.  A columnar table also lets later steps read only the
     columns they need, tells Spark its size, and keeps their plans short.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    return _stored(df, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Durable tables that are deleted when the block ends; what outlives it must be stored by ``durable``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}")
+        return _stored(df, self.paths[-1])
+
+    def __exit__(self, *_: object) -> None:
+        jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(hadoop).delete(where, True)

@@ -51,16 +51,22 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """The rows as ``_key`` (unique bigint in the order of ``key``), ``_id`` (the key given) and ``_text``.
 
     Where every id is there and unique, the id itself is the key.  Otherwise (null or repeated ids) rows are
     numbered in the order of id and text, nulls first, and stored once, as the numbers must not change when a
-    task runs again.
+    task runs again.  ``whole`` adds all other columns as ``_rest``.
     """
-    rows = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(text).cast("string").alias("_text"))
+    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("_rest")] if whole else []
+    rows = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(text).cast("string").alias("_text"), *rest)
     odd = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or _id is null")
     if odd.isEmpty():
-        return rows.select(F.col("_id").alias("_key"), "_id", "_text")
-    numbered = rows.sort("_id", "_text").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1]))
+        return rows.select(F.col("_id").alias("_key"), "*")
+    numbered = rows.sort("_id", "_text").rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
     return durable(docs.sparkSession.createDataFrame(numbered, T.StructType([T.StructField("_key", T.LongType()), *rows.schema.fields])))
+
+
+def texts_back(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of ``docs`` from ``_rest`` and ``_text``."""
+    return rows.select(*(F.col("_text").alias(text) if c == text else F.col(f"_rest.`{c}`") for c in docs.columns))

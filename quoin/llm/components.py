@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.session import durable
+from quoin.session import Scratch
 
 
 def _starred(edges: DataFrame, large: bool) -> DataFrame:
@@ -18,17 +18,17 @@ def _starred(edges: DataFrame, large: bool) -> DataFrame:
     return edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(``node``, ``root``) of every node in ``links`` (``a``, ``b``) that isn't the smallest of its component.
 
-    Each round writes its links, which shrink to stars whose centres are the roots; the number of rounds grows
+    Each round writes its links to ``scratch``, which shrink to stars whose centres are the roots; the number of rounds grows
     with the logarithm of the links.  Only a count and a checksum reach the driver.
     """
-    edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = scratch.table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     before = state(edges)
     while True:
-        edges = durable(_starred(_starred(edges, True), False))
+        edges = scratch.table(_starred(_starred(edges, True), False))
         after = state(edges)
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoin.llm.common import flat, keyed, list_array, slices
+from quoin.llm.common import flat, keyed, list_array, slices, texts_back
 from quoin.llm.words import LETTERS, words
-from quoin.session import durable
+from quoin.session import Scratch, durable
 
 #: Bits of the filter of words that tasks look for: 2 ** 23 at most, whatever the benchmark's size.
 FILTER_BITS = 23
@@ -116,15 +116,31 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, key: str
     and hit nothing, nor does an empty benchmark; items of null id take part but aren't named.  Repeated documents
     and ids are judged row by row; repeated items are named once.  Other columns don't matter.
     """
-    rows = keyed(docs, key, text)
-    windows = durable(item_windows(items, window, item, item_text))
+    found = _judged(keyed(docs, key, text), items, window, item, item_text)
+    return found.select(F.col("_id").alias(key), "n_words", "spans", "items", "n_hit")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents, with all their columns, in which no window of an item occurs."""
+    rows = keyed(docs, key, text, whole=True)
+    hit = _judged(rows, items, window, item, item_text).where("n_hit > 0").select("_key")
+    return texts_back(rows.join(hit, "_key", "left_anti"), docs, text)
+
+
+def _judged(rows: DataFrame, items: DataFrame, window: int, item: str, item_text: str) -> DataFrame:
+    with Scratch(rows.sparkSession) as scratch:
+        return durable(_found(rows, items, window, item, item_text, scratch))
+
+
+def _found(rows: DataFrame, items: DataFrame, window: int, item: str, item_text: str, scratch: Scratch) -> DataFrame:
+    windows = scratch.table(item_windows(items, window, item, item_text))
     tokens = windows.select(F.explode("hashes").alias("token")).distinct()
     counts = word_counts(rows, word_filter(tokens))
     distinct = windows.select("hashes").distinct().select("hashes", F.posexplode("hashes").alias("place", "token"))
     rarest = distinct.join(counts, "token", "left").groupBy("hashes").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "place")).alias("rarest"))
     # A window whose rarest word occurs nowhere occurs nowhere.
-    prefixes = durable(rarest.where("rarest.n > 0").select("hashes", "rarest.token", "rarest.place"))
-    found = durable(possible_prefixes(rows, word_filter(prefixes), window - 1))
+    prefixes = scratch.table(rarest.where("rarest.n > 0").select("hashes", "rarest.token", "rarest.place"))
+    found = scratch.table(possible_prefixes(rows, word_filter(prefixes), window - 1))
     near = found.select("_key", "n_words", F.inline("near"))
     first = F.col("at") - F.col("place")
     size = F.size("hashes")
@@ -134,16 +150,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, key: str
         .where(F.slice("around", F.lit(window) - F.col("place"), size) == F.col("hashes"))
         .select("_key", "hashes", F.struct(first.alias("first"), (first + size).alias("last")).alias("span"))
     )
-    hits = durable(hits)
+    hits = scratch.table(hits)
     spans = hits.groupBy("_key").agg(F.sort_array(F.collect_set("span")).alias("spans"))
     named = hits.select("_key", "hashes").distinct().join(windows.where("item is not null"), "hashes").groupBy("_key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     empty = F.array().cast("array<string>")
     return (
-        found.select("_key", F.col("_id").alias(key), "n_words")
+        found.select("_key", "_id", "n_words")
         .join(spans, "_key", "left")
         .join(named, "_key", "left")
         .select(
-            key,
+            "_key",
+            "_id",
             "n_words",
             F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"),
             F.coalesce("items", empty).alias("items"),

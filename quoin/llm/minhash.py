@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoin.llm.common import flat, keyed, list_array, slices
+from quoin.llm.common import flat, keyed, list_array, slices, texts_back
 from quoin.llm.components import components
 from quoin.llm.decontaminate import FILTER_BITS, word_filter
 from quoin.llm.words import PRINTED, mix, shingle_hashes, words
-from quoin.session import durable
+from quoin.session import Scratch, durable
 
 #: Chance that a pair at the wanted similarity lies beyond the distance.
 MISS = 1e-5
@@ -146,10 +146,10 @@ def _close(most: int, percent: int) -> Column:
     return (100 * small >= percent * large) & F.when(100 * small >= percent * large, differ <= most)
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, rows: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (``a``, ``b``) whose full sets are similar enough."""
     ids = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).select(F.xxhash64("k").alias("token"))
-    sets = durable(_sets(rows, word_filter(ids), width))
+    sets = scratch.table(_sets(rows, word_filter(ids), width))
     first = sets.select(F.col("_key").alias("a"), F.col("shingles").alias("xs"))
     second = sets.select(F.col("_key").alias("b"), F.col("shingles").alias("ys"))
     both = F.size(F.array_intersect("xs", "ys"))
@@ -164,31 +164,48 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     set and no link.  Where ids repeat or are null, rows are told apart and ``kept`` marks one row of each
     component; ties go to the smaller id, then the smaller text.  Other columns don't matter.
     """
+    found = _components(keyed(docs, key, text), width, percent)
+    return found.select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), "component", "kept")
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, with all their columns, of which ``near_duplicates`` keeps one for each component."""
+    rows = keyed(docs, key, text, whole=True)
+    gone = _components(rows, width, percent).where("not kept").select("_key")
+    return texts_back(rows.join(gone, "_key", "left_anti"), docs, text)
+
+
+def _components(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(``_key``, ``_id``, ``n``, ``component``, ``kept``) of every row."""
+    with Scratch(rows.sparkSession) as scratch:
+        return durable(_found(rows, width, percent, scratch))
+
+
+def _found(rows: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     parts, places = shape(percent)
     most = 2 * parts - 1
-    rows = keyed(docs, key, text)
-    signed = durable(_signed(rows, width, parts * places))
+    signed = scratch.table(_signed(rows, width, parts * places))
     same = ["n", "sum1", "sum2"]
     classes = signed.where("n > 0").groupBy(*same).agg(F.min("_key").alias("first"))
-    members = durable(signed.where("n > 0").select("_key", *same).join(classes, same).select("_key", "first"))
+    members = scratch.table(signed.where("n > 0").select("_key", *same).join(classes, same).select("_key", "first"))
     firsts = signed.join(members.where("_key = first").select("_key"), "_key").select("_key", "n", "signature")
     keys = _keys(firsts, parts, places)
     shared = keys.groupBy("bucket").agg(F.min("_key").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "least")
-    shared = durable(keys.join(shared, "bucket").select("bucket", "least", "_key"))
+    shared = scratch.table(keys.join(shared, "bucket").select("bucket", "least", "_key"))
     side = lambda c, k: firsts.select(F.col("_key").alias(c), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}"))
     led = shared.where("_key <> least").select(F.col("least").alias("a"), F.col("_key").alias("b")).distinct()
-    led = durable(led.join(side("b", "b"), "b").join(side("a", "a"), "a").where(_close(most, percent)).select("a", "b"))
-    links = durable(_confirmed(led, rows, width, percent))
-    roots = components(links)
+    led = scratch.table(led.join(side("b", "b"), "b").join(side("a", "a"), "a").where(_close(most, percent)).select("a", "b"))
+    links = scratch.table(_confirmed(led, rows, width, percent, scratch))
+    roots = components(links, scratch)
     # Keys whose members are in several components: what wasn't compared yet is compared now.
     placed = shared.select("bucket", "_key").join(roots, F.col("_key") == F.col("node"), "left").select("bucket", "_key", F.coalesce("root", "_key").alias("root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    mixed = durable(placed.join(mixed, "bucket").join(firsts, "_key").select("bucket", "_key", "root", "n", "signature"))
+    mixed = scratch.table(placed.join(mixed, "bucket").join(firsts, "_key").select("bucket", "_key", "root", "n", "signature"))
     one, two = (mixed.select("bucket", *(F.col(c).alias(f"{n}{s}") for c, n in (("_key", ""), ("root", "r"), ("n", "n"), ("signature", "s")))) for s in "ab")
     apart = one.join(two, "bucket").where("a < b and ra <> rb").where(_close(most, percent)).select("a", "b").distinct()
-    apart = durable(apart.join(led, ["a", "b"], "left_anti"))
+    apart = scratch.table(apart.join(led, ["a", "b"], "left_anti"))
     if not apart.isEmpty():
-        roots = components(links.union(_confirmed(apart, rows, width, percent)))
+        roots = components(links.union(_confirmed(apart, rows, width, percent, scratch)), scratch)
     found = members.join(roots, F.col("first") == F.col("node"), "left").select("_key", F.coalesce("root", "first").alias("root"))
     named = signed.select(F.col("_key").alias("root"), F.col("_id").alias("component"))
     return (
@@ -196,5 +213,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         .join(found, "_key", "left")
         .withColumn("root", F.coalesce("root", "_key"))
         .join(named, "root")
-        .select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), "component", (F.col("_key") == F.col("root")).alias("kept"), "_key")
+        .select("_key", "_id", "n", "component", (F.col("_key") == F.col("root")).alias("kept"))
     )

@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoin.llm.common import PIECE, flat, keyed, list_array, slices
+from quoin.llm.common import PIECE, flat, keyed, list_array, slices, texts_back
 from quoin.llm.words import mix, span_hashes
-from quoin.session import durable
+from quoin.session import Scratch, durable
 
 #: Leading bytes whose hash picks the anchors.
 GRAM = 24
@@ -267,14 +267,21 @@ def _edge(batch: pa.RecordBatch, edge: int, part: int, schema: T.StructType) ->
 
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """(``_key``, ``spans``): byte spans of each document that are under a string that also begins earlier."""
+    if not GRAM <= length < 1 << 13:
+        raise ValueError(f"length must be from {GRAM} to {(1 << 13) - 1}")
+    with Scratch(rows.sparkSession) as scratch:
+        return durable(_spans(rows, length, scratch))
+
+
+def _spans(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     ranges = int(size // RANGE) + 1
-    judged = durable(_judged(_ordered(_anchor_rows(rows, length), ranges, "lead", "whole", "_key", "low")))
-    contexts = durable(_contexts(rows, judged.where("not repeated"), length))
+    judged = scratch.table(_judged(_ordered(_anchor_rows(rows, length), ranges, "lead", "whole", "_key", "low")))
+    contexts = scratch.table(_contexts(rows, judged.where("not repeated"), length))
     cores = _cores(contexts, length)
     common = cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    strings = durable(_string_rows(contexts, cores.join(common, "core").select("_key", "low", "block"), length))
-    later = durable(_later(_ordered(strings, ranges, "string", "_key", "start")))
+    strings = scratch.table(_string_rows(contexts, cores.join(common, "core").select("_key", "low", "block"), length))
+    later = scratch.table(_later(_ordered(strings, ranges, "string", "_key", "start")))
     lasts = later.where("edge = 2").select(F.col("string").alias("last_string"), F.col("range").alias("last_range"))
     begun = later.where("edge = 1").join(lasts, (F.col("string") == F.col("last_string")) & (F.col("last_range") < F.col("range")), "left_semi")
     single = later.where("edge = 0").unionByName(begun).select("_key", F.col("start").alias("first"), (F.col("start") + length).alias("last"))
@@ -293,7 +300,7 @@ def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``key``, ``_key``, ``n_bytes``, ``spans`` (maximal removed byte runs) and ``kept`` (the other bytes).
+    """One row per document: ``key``, ``n_bytes``, ``spans`` (maximal removed byte runs) and ``kept`` (the other bytes).
 
     A byte goes if it is under a string of ``length`` bytes that also begins earlier: in a smaller document or
     before in the same one; all strings are judged on the input.  Null and empty texts have no bytes; texts
@@ -301,17 +308,27 @@ def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
     id (null first), then the smaller text.  Runs may cut characters, so ``kept`` is binary.  Other columns don't
     matter.
     """
-    if not GRAM <= length < 1 << 13:
-        raise ValueError(f"length must be from {GRAM} to {(1 << 13) - 1}")
     rows = keyed(docs, key, text)
-    spans = repeated_spans(rows, length)
+    return _cut(rows, repeated_spans(rows, length), ["_id"], T.BinaryType()).withColumnRenamed("_id", key)
+
+
+def deduplicated(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with all columns, their texts without repeated strings, and without texts that lose everything.
+
+    As ``without_repeats``, but a character goes as a whole if any of its bytes goes.  Null and empty texts stay.
+    """
+    rows = keyed(docs, key, text, whole=True)
+    cut = _cut(rows, repeated_spans(rows, length), ["_rest"], T.StringType())
+    left = cut.where("n_bytes = 0 or kept <> ''").withColumn("_text", F.when(F.col("had_text"), F.col("kept")))
+    return texts_back(left, docs, text)
+
+
+def _cut(rows: DataFrame, spans: DataFrame, carry: list[str], kind: T.DataType) -> DataFrame:
+    """``carry``, ``n_bytes``, ``spans``, ``kept`` and ``had_text`` (whether the text isn't null) of every row."""
     pair = T.ArrayType(T.StructType([T.StructField("first", _INT), T.StructField("last", _INT)]))
-    schema = T.StructType(
-        [
-            T.StructField(key, _LONG), T.StructField("_key", _LONG), T.StructField("n_bytes", _LONG), T.StructField("spans", pair),
-            T.StructField("kept", T.BinaryType()),
-        ]
-    )
+    fields = {"n_bytes": _LONG, "spans": pair, "kept": kind, "had_text": T.BooleanType()}
+    schema = T.StructType([*(rows.schema[c] for c in carry), *(T.StructField(k, v) for k, v in fields.items())])
+    as_text = isinstance(kind, T.StringType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
@@ -329,11 +346,16 @@ def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
             gone[first] = 1
             gone[last] -= 1
             stay = np.cumsum(gone)[: len(data)] == 0
+            if as_text and len(first):
+                character = np.cumsum(data & 0xC0 != 0x80) - 1
+                stay = (np.bincount(character, ~stay) == 0)[character]
             left = np.concatenate([[0], np.cumsum(stay)])[offsets]
-            kept = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(left.astype(np.int32).tobytes()), pa.py_buffer(data[stay].tobytes())])
+            buffers = [None, pa.py_buffer(left.astype(np.int32).tobytes()), pa.py_buffer(data[stay].tobytes())]
+            kept = pa.Array.from_buffers(pa.string() if as_text else pa.binary(), batch.num_rows, buffers)
             runs = pa.StructArray.from_arrays([pa.array((x - offsets[row]).astype(np.int32)) for x in (first, last)], names=["first", "last"])
-            firsts = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            out = pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), runs)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), pa.array(np.diff(offsets)), out, kept], names=schema.fieldNames())
+            out = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32()), runs)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in carry), pa.array(np.diff(offsets)), out, kept, batch.column("_text").is_valid()], names=schema.fieldNames()
+            )
 
-    return rows.join(spans, "_key", "left").select("_id", "_key", "_text", "spans").mapInArrow(run, schema)
+    return rows.join(spans, "_key", "left").select(*carry, "_text", "spans").mapInArrow(run, schema)

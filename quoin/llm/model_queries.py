@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.llm.common import table
+from quoin.llm.language_model import scored
 from quoin.llm.languages import fold, identify, profiles
 from quoin.llm.registry import query
 
@@ -15,3 +16,9 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from those outside the held-out fold."""
     docs = table(spark, folder, "documents").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)))
     return identify(docs.select("doc_id", "held_out", "text"), profiles(docs.where("not held_out")))
+
+
+@query()
+def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document under a model of those outside the held-out fold."""
+    return scored(table(spark, folder, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 7) == 2)

@@ -209,6 +209,8 @@ def _added(a: dict[int, int], b: dict[int, int]) -> dict[int, int]:
 
 def mixture(cells: dict[int, int]) -> np.ndarray:
     """Weights (uniform, word, pair) of each bucket by expectation-maximisation over the binned held-out counts."""
+    if not cells:  # nothing was learned
+        return np.tile([1.0, 0.0, 0.0], (BUCKETS, 1))
     code, n = np.array(list(cells), np.int64), np.array(list(cells.values()), float)
     ratio = lambda x: np.where(x == _ZERO + 1, 0.0, 2.0 ** ((x - 512) / BINS))
     bucket, like = code >> 20, np.stack([np.ones(len(code)), ratio(code & 1023), ratio(code >> 10 & 1023)], 1)

@@ -158,7 +158,7 @@ def identify(df: DataFrame, learned: DataFrame, text: str = "text") -> DataFrame
     """
     rows = sorted(learned.collect(), key=lambda r: r["lang"])
     names = [r["lang"] for r in rows]
-    matrix = np.array([r["profile"] for r in rows], np.float32).reshape(len(rows), -1)
+    matrix = np.array([r["profile"] for r in rows], np.float32)
     kept = [c for c in df.columns if c not in (text, "lang_pred", "score")]
     new = [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)]
     schema = T.StructType([*(df.schema[c] for c in kept), *new])

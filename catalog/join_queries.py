@@ -60,11 +60,12 @@ def neighbor_attributes(spark: SparkSession, sf: str) -> DataFrame:
     lists = neighbors.gather_neighbors(_edges_of(table))
     df = neighbors.attach_neighbors(table.select("building_id"), lists)
     items = F.col("neighbors")
-    return df.groupBy("building_id").agg(
-        F.sum(F.size(items)).alias("n_neighbors"),
-        F.max(F.array_join(F.transform(items, lambda n: n["building_id"]), ",")).alias("neighbor_ids"),
-        F.sum(F.aggregate(items, F.lit(0.0), lambda s, n: s + n["height"])).alias("height_sum"),
-        F.sum(F.aggregate(items, F.lit(0).cast("bigint"), lambda s, n: s + n["floors"])).alias("floor_sum"),
+    return df.select(
+        "building_id",
+        F.size(items).cast("bigint").alias("n_neighbors"),
+        F.array_join(F.transform(items, lambda n: n["building_id"]), ",").alias("neighbor_ids"),
+        F.aggregate(items, F.lit(0.0), lambda s, n: s + n["height"]).alias("height_sum"),
+        F.aggregate(items, F.lit(0).cast("bigint"), lambda s, n: s + n["floors"]).alias("floor_sum"),
     )
 
 

@@ -17,12 +17,12 @@ from quoin.sources import exports, runs
 # --- summaries ------------------------------------------------------------------------------
 
 
-@query(oracle("SELECT building_id, round(eui, 6) AS eui FROM eui", "eui"))
+@query(oracle("SELECT building_id, scenario, round(eui, 6) AS eui FROM eui", "eui"))
 def building_eui(spark: SparkSession, sf: str) -> DataFrame:
-    return results.building_eui(V.results(spark, sf)).select("building_id", r6("eui"))
+    return results.building_eui(V.results(spark, sf)).select("building_id", "scenario", r6("eui"))
 
 
-@query(oracle("SELECT building_id, max(value) AS peak FROM results WHERE measurement = 'Peak' AND aggregation = 'Raw' GROUP BY 1", "results"))
+@query(oracle("SELECT building_id, scenario, max(value) AS peak FROM results WHERE measurement = 'Peak' AND aggregation = 'Raw' GROUP BY 1, 2", "results"))
 def building_peak(spark: SparkSession, sf: str) -> DataFrame:
     return results.building_peak(V.results(spark, sf))
 
@@ -32,14 +32,15 @@ def annual_totals(spark: SparkSession, sf: str) -> DataFrame:
     return results.annual_totals(V.results(spark, sf))
 
 
-_STATS = """SELECT meter, month, round(avg, 6) AS avg, min, max, round(avg - 1.96 * sd / sqrt(n), 6) AS ci_low, round(avg + 1.96 * sd / sqrt(n), 6) AS ci_high
-FROM (SELECT meter, month, avg(value) AS avg, min(value) AS min, max(value) AS max, coalesce(stddev_samp(value), 0) AS sd, count(*) AS n
-  FROM results WHERE measurement = 'Energy' AND aggregation = '{}' GROUP BY 1, 2)"""
+_STATS = """SELECT scenario, meter, month, round(avg, 6) AS avg, min, max, round(avg - 1.96 * sd / sqrt(n), 6) AS ci_low, round(avg + 1.96 * sd / sqrt(n), 6) AS ci_high
+FROM (SELECT scenario, meter, month, avg(value) AS avg, min(value) AS min, max(value) AS max, coalesce(stddev_samp(value), 0) AS sd
+  FROM results WHERE measurement = 'Energy' AND aggregation = '{}' GROUP BY 1, 2, 3)
+JOIN (SELECT scenario, count(DISTINCT building_id) AS n FROM results GROUP BY 1) USING (scenario)"""
 
 
 def _stats(spark: SparkSession, sf: str, aggregation: str) -> DataFrame:
     df = results.monthly_stats(V.results(spark, sf), aggregation)
-    return df.select("meter", "month", r6("avg"), "min", "max", r6("ci_low"), r6("ci_high"))
+    return df.select("scenario", "meter", "month", r6("avg"), "min", "max", r6("ci_low"), r6("ci_high"))
 
 
 @query(oracle(_STATS.format("End Uses"), "results"))
@@ -52,8 +53,9 @@ def monthly_fuel_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _stats(spark, sf, "Utilities")
 
 
-_TOTALS = """SELECT meter, total FROM (SELECT meter, sum(value) AS total FROM results WHERE measurement = 'Energy' AND aggregation = '{0}' GROUP BY 1)
-WHERE total > 0.01 * (SELECT sum(value) FROM results WHERE measurement = 'Energy' AND aggregation = '{0}')"""
+_TOTALS = """SELECT scenario, meter, total FROM (SELECT scenario, meter, total, sum(total) OVER (PARTITION BY scenario) AS whole
+  FROM (SELECT scenario, meter, sum(value) AS total FROM results WHERE measurement = 'Energy' AND aggregation = '{0}' GROUP BY 1, 2))
+WHERE total > 0.01 * whole"""
 
 
 @query(oracle(_TOTALS.format("End Uses"), "results"))
@@ -66,32 +68,32 @@ def utility_totals(spark: SparkSession, sf: str) -> DataFrame:
     return results.stock_totals(V.results(spark, sf), "Utilities")
 
 
-@query(oracle(f"SELECT meter, total, round(total / sum(total) OVER () * 100, 6) AS share FROM ({_TOTALS.format('End Uses')}) WHERE total > 0", "results"))
+@query(oracle(f"SELECT scenario, meter, total, round(total / sum(total) OVER (PARTITION BY scenario) * 100, 6) AS share FROM ({_TOTALS.format('End Uses')}) WHERE total > 0", "results"))
 def end_use_shares(spark: SparkSession, sf: str) -> DataFrame:
     totals = results.stock_totals(V.results(spark, sf), "End Uses")
     return distributions.positive_shares(totals).withColumn("share", r6("share"))
 
 
-@query(oracle("""SELECT building_id, measurement, meter, sum(value) AS total FROM results
-WHERE (measurement = 'Energy' AND aggregation = 'End Uses') OR (measurement = 'Peak' AND aggregation = 'Utilities') GROUP BY 1, 2, 3""", "results"))
+@query(oracle("""SELECT building_id, scenario, measurement, meter, sum(value) AS total FROM results
+WHERE (measurement = 'Energy' AND aggregation = 'End Uses') OR (measurement = 'Peak' AND aggregation = 'Utilities') GROUP BY 1, 2, 3, 4""", "results"))
 def meter_totals(spark: SparkSession, sf: str) -> DataFrame:
     return results.meter_totals(V.results(spark, sf))
 
 
 @query(oracle("""
 SELECT part, region_name, scenario_name, count(*) AS n_rows, round(sum(v), 6) AS checksum FROM (
-  SELECT 'eui' AS part, eui AS v FROM eui UNION ALL
-  SELECT 'peak', max(value) FROM results WHERE measurement = 'Peak' AND aggregation = 'Raw' GROUP BY building_id UNION ALL
-  SELECT 'monthly_end_uses', avg(value) FROM results WHERE measurement = 'Energy' AND aggregation = 'End Uses' GROUP BY meter, month UNION ALL
-  SELECT 'monthly_fuels', avg(value) FROM results WHERE measurement = 'Energy' AND aggregation = 'Utilities' GROUP BY meter, month UNION ALL
-  SELECT 'end_use_meters', length(meter) FROM results WHERE measurement = 'Energy' AND aggregation = 'End Uses' GROUP BY meter UNION ALL
-  SELECT 'fuel_meters', length(meter) FROM results WHERE measurement = 'Energy' AND aggregation = 'Utilities' GROUP BY meter UNION ALL
-  SELECT 'end_uses_total', sum(value) FROM results WHERE measurement = 'Energy' AND aggregation = 'End Uses' GROUP BY meter UNION ALL
-  SELECT 'utilities_total', sum(value) FROM results WHERE measurement = 'Energy' AND aggregation = 'Utilities' GROUP BY meter
-), (SELECT 'Town' AS region_name, 'Baseline' AS scenario_name) GROUP BY 1, 2, 3""", "eui"))
+  SELECT 'eui' AS part, scenario AS scenario_name, eui AS v FROM eui UNION ALL
+  SELECT 'peak', scenario, max(value) FROM results WHERE measurement = 'Peak' AND aggregation = 'Raw' GROUP BY building_id, scenario UNION ALL
+  SELECT 'monthly_end_uses', scenario, avg(value) FROM results WHERE measurement = 'Energy' AND aggregation = 'End Uses' GROUP BY scenario, meter, month UNION ALL
+  SELECT 'monthly_fuels', scenario, avg(value) FROM results WHERE measurement = 'Energy' AND aggregation = 'Utilities' GROUP BY scenario, meter, month UNION ALL
+  SELECT 'end_use_meters', scenario, length(meter) FROM results WHERE measurement = 'Energy' AND aggregation = 'End Uses' GROUP BY scenario, meter UNION ALL
+  SELECT 'fuel_meters', scenario, length(meter) FROM results WHERE measurement = 'Energy' AND aggregation = 'Utilities' GROUP BY scenario, meter UNION ALL
+  SELECT 'end_uses_total', scenario, sum(value) FROM results WHERE measurement = 'Energy' AND aggregation = 'End Uses' GROUP BY scenario, meter UNION ALL
+  SELECT 'utilities_total', scenario, sum(value) FROM results WHERE measurement = 'Energy' AND aggregation = 'Utilities' GROUP BY scenario, meter
+), (SELECT 'Town' AS region_name) GROUP BY 1, 2, 3""", "eui"))
 def summary_bundle(spark: SparkSession, sf: str) -> DataFrame:
     """All tables of a results page, each reduced to its size and the sum of its main column."""
-    parts = summarise(V.results(spark, sf).select(*V.results(spark, sf).columns), "Town", "Baseline")
+    parts = summarise(V.results(spark, sf), "Town")
     main = {"eui": "eui", "peak": "peak", "end_uses_total": "total", "utilities_total": "total"}
     out = None
     for name, df in parts.items():
@@ -103,17 +105,17 @@ def summary_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query(oracle("SELECT building_id, sum(value) AS value FROM results WHERE measurement = 'Energy' GROUP BY 1", "results"))
+@query(oracle("SELECT building_id, scenario, sum(value) AS value FROM results WHERE measurement = 'Energy' AND aggregation = 'End Uses' GROUP BY 1, 2", "results"))
 def metric_energy_usage(spark: SparkSession, sf: str) -> DataFrame:
     return results.building_metric(V.results(spark, sf), "energy_usage")
 
 
-@query(oracle("SELECT building_id, max(value) AS value FROM results WHERE measurement = 'Peak' AND aggregation = 'Raw' GROUP BY 1", "results"))
+@query(oracle("SELECT building_id, scenario, max(value) AS value FROM results WHERE measurement = 'Peak' AND aggregation = 'Raw' GROUP BY 1, 2", "results"))
 def metric_peak_power(spark: SparkSession, sf: str) -> DataFrame:
     return results.building_metric(V.results(spark, sf), "peak_power")
 
 
-@query(oracle("SELECT building_id, CAST(month AS DOUBLE) AS value FROM results", "results"))
+@query(oracle("SELECT building_id, scenario, CAST(month AS DOUBLE) AS value FROM results", "results"))
 def metric_custom_column(spark: SparkSession, sf: str) -> DataFrame:
     return results.building_metric(V.results(spark, sf), "custom", "month")
 
@@ -182,13 +184,13 @@ def _placed_eui(spark: SparkSession, sf: str) -> DataFrame:
     return V.eui(spark, sf).join(places, "building_id")
 
 
-_PLACED = "SELECT building_id, eui, cx, cy FROM eui JOIN buildings USING (building_id) WHERE wwr IS NOT NULL"
+_PLACED = "SELECT building_id, scenario, eui, cx, cy FROM eui JOIN buildings USING (building_id) WHERE wwr IS NOT NULL"
 
 
-@query(oracle(f"""SELECT building_id, round(least(greatest(eui, (SELECT quantile_cont(eui, 0.05) FROM ({_PLACED}))), (SELECT quantile_cont(eui, 0.95) FROM ({_PLACED})))
+@query(oracle(f"""SELECT building_id, scenario, round(least(greatest(eui, (SELECT quantile_cont(eui, 0.05) FROM ({_PLACED}))), (SELECT quantile_cont(eui, 0.95) FROM ({_PLACED})))
   - (SELECT quantile_cont(eui, 0.05) FROM ({_PLACED})) + 1, 6) AS display_height FROM ({_PLACED})""", "eui", "buildings"))
 def clipped_display_heights(spark: SparkSession, sf: str) -> DataFrame:
-    return distributions.clipped_heights(_placed_eui(spark, sf), "eui").select("building_id", r6("display_height"))
+    return distributions.clipped_heights(_placed_eui(spark, sf), "eui").select("building_id", "scenario", r6("display_height"))
 
 
 @query(oracle(f"SELECT round(avg(cy), 6) AS center_lat, round(avg(cx), 6) AS center_lon FROM ({_PLACED})", "eui", "buildings"))
@@ -225,49 +227,44 @@ def timestamps_as_text(spark: SparkSession, sf: str) -> DataFrame:
 _METERS = (
     [("Energy", "End Uses", m) for m in ("Heating", "Cooling", "Lighting", "Equipment")]
     + [("Energy", "Utilities", m) for m in ("Electricity", "NaturalGas")]
-    + [("Peak", "Raw", m) for m in ("Electricity", "NaturalGas")]
+    + [("Peak", kind, m) for kind in ("Raw", "Utilities") for m in ("Electricity", "NaturalGas")]
 )
 _WIDE = [results.SEPARATOR.join((*m, str(k))) for m in _METERS for k in range(1, 13)]
-_BASE = "SELECT building_id, measurement, aggregation, meter, month, value FROM results WHERE scenario = 'Baseline'"
 
-
-def _baseline(spark: SparkSession, sf: str) -> DataFrame:
-    return V.results(spark, sf).where("scenario = 'Baseline'").drop("scenario")
-
-
-@query(oracle(f"""SELECT i.building_id, m.measurement, m.aggregation, m.meter, CAST(k AS INT) AS month, b.value
-FROM (SELECT DISTINCT building_id FROM ({_BASE})) i CROSS JOIN (VALUES {", ".join(str(m) for m in _METERS)}) m(measurement, aggregation, meter)
-CROSS JOIN (SELECT unnest(range(1, 13)) AS k) LEFT JOIN ({_BASE}) b
-ON b.building_id = i.building_id AND b.measurement = m.measurement AND b.aggregation = m.aggregation AND b.meter = m.meter AND b.month = k""", "results"))
+@query(oracle(f"""SELECT i.building_id, i.scenario, m.measurement, m.aggregation, m.meter, CAST(k AS INT) AS month, b.value
+FROM (SELECT DISTINCT building_id, scenario FROM results) i CROSS JOIN (VALUES {", ".join(str(m) for m in _METERS)}) m(measurement, aggregation, meter)
+CROSS JOIN (SELECT unnest(range(1, 13)) AS k) LEFT JOIN results b
+ON b.building_id = i.building_id AND b.scenario = i.scenario AND b.measurement = m.measurement AND b.aggregation = m.aggregation AND b.meter = m.meter AND b.month = k""", "results"))
 def wide_to_long(spark: SparkSession, sf: str) -> DataFrame:
     """To the stored wide layout and back; cells that were missing come back as NULL."""
-    wide = results.long_to_wide(_baseline(spark, sf), _WIDE)
-    return results.wide_to_long(wide)
+    wide = results.long_to_wide(V.results(spark, sf), _WIDE)
+    return results.wide_to_long(wide, ("building_id", "scenario"))
 
 
 def _pick(measurement: str, aggregation: str, meter: str, month: int) -> str:
     return f"max(CASE WHEN measurement = '{measurement}' AND aggregation = '{aggregation}' AND meter = '{meter}' AND month = {month} THEN value END)"
 
 
-@query(oracle("SELECT building_id, " + ", ".join(f"{_pick(*m, k)} AS \"{results.SEPARATOR.join((*m, str(k)))}\"" for m in _METERS for k in (1, 7)) + f" FROM ({_BASE}) GROUP BY 1", "results"))
+_CELLS = ", ".join(f"{_pick(*m, k)} AS \"{results.SEPARATOR.join((*m, str(k)))}\"" for m in _METERS for k in range(1, 13))
+
+
+@query(oracle(f"SELECT building_id, scenario, {_CELLS} FROM results GROUP BY 1, 2", "results"))
 def long_to_wide(spark: SparkSession, sf: str) -> DataFrame:
-    names = [results.SEPARATOR.join((*m, str(k))) for m in _METERS for k in (1, 7)]
-    return results.long_to_wide(_baseline(spark, sf), names)
+    return results.long_to_wide(V.results(spark, sf), _WIDE)
 
 
-@query(oracle("SELECT building_id, month, " + ", ".join(
-    f"max(CASE WHEN measurement = '{a}' AND aggregation = '{b}' AND meter = '{c}' THEN value END) AS \"{a}|{b}|{c}\"" for a, b, c in _METERS) + f" FROM ({_BASE}) GROUP BY 1, 2", "results"))
+@query(oracle("SELECT building_id, scenario, month, " + ", ".join(
+    f"max(CASE WHEN measurement = '{a}' AND aggregation = '{b}' AND meter = '{c}' THEN value END) AS \"{a}|{b}|{c}\"" for a, b, c in _METERS) + " FROM results GROUP BY 1, 2, 3", "results"))
 def month_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return results.month_rows(_baseline(spark, sf), [results.SEPARATOR.join(m) for m in _METERS])
+    return results.month_rows(V.results(spark, sf), [results.SEPARATOR.join(m) for m in _METERS])
 
 
-@query(oracle("SELECT building_id, " + ", ".join(f"{_pick(*m, 12)} AS \"{results.SEPARATOR.join((*m, '12'))}\"" for m in _METERS) + f" FROM ({_BASE}) GROUP BY 1", "results"))
+@query(oracle(f"SELECT building_id, scenario, {_CELLS} FROM results GROUP BY 1, 2", "results"))
 def fetched_run_export(spark: SparkSession, sf: str) -> DataFrame:
     """A stored run with extra index columns, cut down to building_id and values for CSV."""
-    names = [results.SEPARATOR.join((*m, "12")) for m in _METERS]
     keys = V.buildings(spark, sf).select("building_id", F.col("typology").alias("feature.semantic.Typology"))
-    wide = results.attach_building_keys(results.long_to_wide(_baseline(spark, sf), names), keys)
-    return exports.csv_ready(wide)
+    wide = results.attach_building_keys(results.long_to_wide(V.results(spark, sf), _WIDE), keys)
+    return exports.csv_ready(wide, ("building_id", "scenario"))
 
 
 @query(oracle("SELECT replace(measurement, ' ', '') || '_' || replace(aggregation, ' ', '') AS sheet, count(*) AS n_rows, sum(value) AS total FROM results GROUP BY 1", "results"))
@@ -405,10 +402,14 @@ def hourly_series(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("building_id", "grp", "meter", "year", "n", F.col("first_ts").cast("timestamp").alias("first_ts"), text.alias("series"))
 
 
-@query(oracle("""SELECT building_id, zone AS grp, 'Zone Mean Air Temperature' AS meter, max(CASE WHEN ts = TIMESTAMP '2024-01-01 00:00:00' THEN temp_c END) AS "2024-01-01 00:00",
-  max(CASE WHEN ts = TIMESTAMP '2024-01-02 13:00:00' THEN temp_c END) AS "2024-01-02 13:00" FROM hourly GROUP BY 1, 2, 3""", "hourly"))
+# All steps of the first day.
+_STEPS = [f"2024-01-01 {hour:02d}:00" for hour in range(24)]
+_HOURS = ", ".join(f"max(CASE WHEN ts = TIMESTAMP '{step}:00' THEN temp_c END) AS \"{step}\"" for step in _STEPS)
+
+
+@query(oracle(f"SELECT building_id, zone AS grp, 'Zone Mean Air Temperature' AS meter, {_HOURS} FROM hourly GROUP BY 1, 2, 3", "hourly"))
 def hourly_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return comfort.hourly_wide(_metered(spark, sf), ["2024-01-01 00:00", "2024-01-02 13:00"])
+    return comfort.hourly_wide(_metered(spark, sf), _STEPS)
 
 
 @query(oracle("""SELECT h.building_id, b.region, b.typology, h.zone, count(CASE WHEN temp_c > 26 THEN 1 END) AS hours_above
@@ -467,11 +468,10 @@ def preprocessed_buildings(spark: SparkSession, sf: str) -> DataFrame:
     """The whole footprint pipeline, from polygons to records with neighbours and weather."""
     df, _ = _pipeline(spark, sf)
     heights = F.aggregate("neighbors", F.lit(0.0), lambda s, n: s + n["height"])
-    return df.groupBy("building_id").agg(
-        *[F.first(c).alias(c) for c in ("scenario", "n_floors", "height_m", "wwr", "basement", "attic", "basement_exposed_frac")],
-        F.round(F.first("footprint_area"), 3).alias("footprint_area"), F.first("short_edge").alias("short_edge"), F.first("long_edge").alias("long_edge"),
-        F.round(F.first("long_edge_angle"), 6).alias("long_edge_angle"), F.first(F.concat_ws("/", "context.*")).alias("context"), F.first("weather_file").alias("weather_file"),
-        F.sum(F.size("neighbors").cast("bigint")).alias("n_neighbors"), F.sum(heights).alias("neighbor_height_sum"),
+    return df.select(
+        "building_id", "scenario", "n_floors", "height_m", "wwr", "basement", "attic", "basement_exposed_frac",
+        F.round("footprint_area", 3).alias("footprint_area"), "short_edge", "long_edge", F.round("long_edge_angle", 6).alias("long_edge_angle"),
+        F.concat_ws("/", "context.*").alias("context"), "weather_file", F.size("neighbors").cast("bigint").alias("n_neighbors"), heights.alias("neighbor_height_sum"),
     )
 
 

@@ -63,7 +63,8 @@ RESULTS = """
 SELECT CAST(o_custkey AS {text}) AS building_id,
   CASE WHEN l_linestatus = 'O' THEN 'Baseline' ELSE 'Retrofit' END AS scenario,
   CASE l_linenumber % 3 WHEN 2 THEN 'Peak' ELSE 'Energy' END AS measurement,
-  CASE l_linenumber % 3 WHEN 0 THEN 'End Uses' WHEN 1 THEN 'Utilities' ELSE 'Raw' END AS aggregation,
+  CASE l_linenumber % 3 WHEN 0 THEN 'End Uses' WHEN 1 THEN 'Utilities'
+    ELSE CASE l_suppkey % 3 WHEN 0 THEN 'Utilities' ELSE 'Raw' END END AS aggregation,
   CASE l_linenumber % 3
     WHEN 0 THEN CASE l_suppkey % 4 WHEN 0 THEN 'Heating' WHEN 1 THEN 'Cooling' WHEN 2 THEN 'Lighting' ELSE 'Equipment' END
     ELSE CASE l_suppkey % 2 WHEN 0 THEN 'Electricity' ELSE 'NaturalGas' END END AS meter,
@@ -74,13 +75,13 @@ GROUP BY 1, 2, 3, 4, 5, 6
 """
 
 HOURLY = """
-SELECT CAST(user_id % 10 AS {text}) AS building_id,
+SELECT CAST(user_id AS {text}) AS building_id,
   'zone' AS zone,
   date_trunc('HOUR', ts) AS ts,
   ROUND(18 + AVG(value) / 5, 6) AS temp_c,
   CAST(30 + MAX(event_id) % 60 AS DOUBLE) AS rel_humidity
 FROM {events}
-GROUP BY CAST(user_id % 10 AS {text}), date_trunc('HOUR', ts)
+GROUP BY CAST(user_id AS {text}), date_trunc('HOUR', ts)
 """
 
 # Files of published runs: name / scenario / version / table, several versions each.
@@ -189,6 +190,7 @@ def library(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def eui(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per building and scenario."""
     from quoin.operators.results import building_eui
 
     return building_eui(results(spark, folder))
@@ -215,7 +217,7 @@ _FRAGMENTS = {
   AND attic IN ({_STATUS_LIST}) AND w * d >= 10 AND short_edge >= 3 AND long_edge <= 1000""",
     "library": """SELECT DISTINCT region, typology, age_bracket, typology || '/' || age_bracket AS envelope
   FROM buildings WHERE NOT (typology = 'Hotel' AND age_bracket = 'Pre_1980')""",
-    "eui": "SELECT building_id, sum(value) AS eui FROM results WHERE measurement = 'Energy' AND aggregation = 'End Uses' GROUP BY 1",
+    "eui": "SELECT building_id, scenario, sum(value) AS eui FROM results WHERE measurement = 'Energy' AND aggregation = 'End Uses' GROUP BY 1, 2",
     "corners": """SELECT c.*, k, cx + sx * w / 2 * cos(theta) - sy * d / 2 * sin(theta) AS vx,
   cy + sx * w / 2 * sin(theta) + sy * d / 2 * cos(theta) AS vy
   FROM cleaned c, (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) AS s(k, sx, sy)""",

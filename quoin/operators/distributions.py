@@ -221,10 +221,11 @@ def category_means(df: DataFrame, column: str, category: str) -> DataFrame:
 def positive_shares(totals: DataFrame, value: str = "total") -> DataFrame:
     """Adds ``share``: percent of the sum of the positive entries; others are left out.
 
-    For small summary tables (one row per meter).
+    For small summary tables (one row per scenario and meter); shares are within a scenario.
     """
     rows = totals.where(F.col(value) > 0)
-    return rows.withColumn("share", F.col(value) / F.sum(value).over(Window.partitionBy()) * 100)
+    within = Window.partitionBy(*(["scenario"] if "scenario" in totals.columns else []))
+    return rows.withColumn("share", F.col(value) / F.sum(value).over(within) * 100)
 
 
 def clipped_heights(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:

@@ -1,7 +1,6 @@
 """Neighbouring buildings: a distance join on grid cells, and what is gathered from it.
 
-The edge table (src, dst, ...) is the primary form; lists per building are built from it in bounded
-parts.
+The edge table (src, dst, ...) is the primary form; lists per building are built from it, one row each.
 """
 
 from __future__ import annotations
@@ -10,12 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions.geometry import boxes_intersect, with_oriented_box
-from quoin.operators.skew import hot_keys, part_of, salted_join
+from quoin.operators.skew import salted_join
 
 # Points of one cell handled by one task; denser cells are split.
 CELL_ROWS = 4096
-# Longest neighbour list kept in one row; longer ones continue in further parts.
-LIST_ROWS = 4096
 
 
 def within_distance(
@@ -101,31 +98,17 @@ def neighbor_edges(
     ).withColumn("floors", (F.col("height") / floor_height).cast("int"))
 
 
-def gather_neighbors(edges: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
-    """Neighbour lists: (building_id, part, neighbors), sorted by neighbour id within a part.
+def gather_neighbors(edges: DataFrame) -> DataFrame:
+    """Neighbour lists: (building_id, neighbors), sorted by neighbour id, always one row per building.
 
-    Nearly always one part.  A building with more than ``list_rows`` neighbours gets several rows, so
-    no task ever holds an unbounded list and nothing is cut off.
+    A list is as long as there are buildings within the radius, so its size follows the density of the stock
+    and not its size; whatever needs no list should start from the edge table.
     """
-    hot = hot_keys(edges, ["src"], list_rows)
-    if hot is None:
-        split = edges.withColumn("part", F.lit(0))
-    else:
-        split = edges.join(hot, "src", "left").withColumn("part", part_of(F.col("dst"), F.col("_parts")))
     item = F.struct(F.col("dst").alias("building_id"), "rect", "height", "floors")
-    lists = split.groupBy(F.col("src").alias("building_id"), "part").agg(
-        F.array_sort(F.collect_list(item)).alias("neighbors")
-    )
-    return lists
+    return edges.groupBy(F.col("src").alias("building_id")).agg(F.array_sort(F.collect_list(item)).alias("neighbors"))
 
 
 def attach_neighbors(buildings: DataFrame, lists: DataFrame) -> DataFrame:
-    """Left join of neighbour lists; a building without neighbours gets an empty list in part 0."""
+    """Left join of neighbour lists; a building without neighbours gets an empty list."""
     empty = F.from_json(F.lit("[]"), lists.schema["neighbors"].dataType.json())
-    joined = buildings.join(lists, "building_id", "left")
-    return joined.withColumns(
-        {
-            "part": F.coalesce("part", F.lit(0)),
-            "neighbors": F.coalesce("neighbors", empty),
-        }
-    )
+    return buildings.join(lists, "building_id", "left").withColumn("neighbors", F.coalesce("neighbors", empty))

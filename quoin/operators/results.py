@@ -1,7 +1,8 @@
 """Summaries, comparisons and reshaping of long result tables.
 
 Long form: (building_id, scenario, measurement, aggregation, meter, month, value).  A missing cell is
-NULL; NaN is turned into NULL on the way in.
+NULL; NaN is turned into NULL on the way in.  Where there is a scenario, it is a key of every result: scenarios
+are never added together.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ def _filled_sum() -> Column:
     return F.coalesce(F.sum(_value()), F.lit(0.0))
 
 
+def _with_scenario(results: DataFrame, *keys: str) -> list[str]:
+    return [*(["scenario"] if "scenario" in results.columns else []), *keys]
+
+
 def of(results: DataFrame, measurement: str, aggregation: str | None = None) -> DataFrame:
     rows = results.where(F.col("measurement") == measurement)
     return rows if aggregation is None else rows.where(F.col("aggregation") == aggregation)
@@ -49,39 +54,47 @@ def annual_totals(results: DataFrame) -> DataFrame:
 def monthly_stats(results: DataFrame, aggregation: str) -> DataFrame:
     """Mean, range and 95 % band of Energy per meter and month.
 
-    The count behind the band includes rows with a missing value; one row has no spread.
+    The count behind the band is that of all buildings (of the scenario), with or without a value; one value has
+    no spread.
     """
+    keys = _with_scenario(results, "meter", "month")
+    scenario = keys[:-2]
+    buildings = results.groupBy(*scenario).agg(F.count_distinct("building_id").alias("n"))
     rows = of(results, "Energy", aggregation)
-    stats = rows.groupBy("meter", "month").agg(
+    stats = rows.groupBy(*keys).agg(
         F.avg(_value()).alias("avg"),
         F.min(_value()).alias("min"),
         F.max(_value()).alias("max"),
         F.coalesce(F.stddev_samp(_value()), F.lit(0.0)).alias("sd"),
-        F.count(F.lit(1)).alias("n"),
     )
+    # One row per scenario, so Spark broadcasts it by its size.
+    stats = stats.join(buildings, scenario) if scenario else stats.withColumn("n", buildings.scalar())
     half = F.col("sd") / F.sqrt("n") * CI_FACTOR
     return stats.select(
-        "meter", "month", "avg", "min", "max",
+        *keys, "avg", "min", "max",
         (F.col("avg") - half).alias("ci_low"), (F.col("avg") + half).alias("ci_high"),
     )
 
 
 def building_eui(results: DataFrame) -> DataFrame:
     """Energy over all end uses and months per building."""
-    return of(results, "Energy", "End Uses").groupBy("building_id").agg(_filled_sum().alias("eui"))
+    keys = _with_scenario(results, "building_id")
+    return of(results, "Energy", "End Uses").groupBy(*keys).agg(_filled_sum().alias("eui"))
 
 
 def building_peak(results: DataFrame) -> DataFrame:
     """Highest monthly raw peak per building; buildings without any value are left out."""
-    peaks = of(results, "Peak", "Raw").groupBy("building_id").agg(F.max(_value()).alias("peak"))
+    keys = _with_scenario(results, "building_id")
+    peaks = of(results, "Peak", "Raw").groupBy(*keys).agg(F.max(_value()).alias("peak"))
     return peaks.where(F.col("peak").isNotNull())
 
 
 def stock_totals(results: DataFrame, aggregation: str) -> DataFrame:
     """Energy of the whole stock per meter, meters above 1 % of the total only."""
-    totals = of(results, "Energy", aggregation).groupBy("meter").agg(_filled_sum().alias("total"))
-    # One row per meter is left by now.
-    overall = F.sum("total").over(Window.partitionBy())
+    keys = _with_scenario(results, "meter")
+    totals = of(results, "Energy", aggregation).groupBy(*keys).agg(_filled_sum().alias("total"))
+    # One row per scenario and meter is left by now.
+    overall = F.sum("total").over(Window.partitionBy(*keys[:-1]))
     return (
         totals.withColumn("_all", overall)
         .where((F.col("_all") != 0) & (F.col("total") > F.col("_all") * MINOR_SHARE))
@@ -94,12 +107,13 @@ def meter_totals(results: DataFrame) -> DataFrame:
     energy = (F.col("measurement") == "Energy") & (F.col("aggregation") == "End Uses")
     peak = (F.col("measurement") == "Peak") & (F.col("aggregation") == "Utilities")
     rows = results.where(energy | peak)
-    return rows.groupBy("building_id", "measurement", "meter").agg(_filled_sum().alias("total"))
+    return rows.groupBy(*_with_scenario(results, "building_id", "measurement", "meter")).agg(_filled_sum().alias("total"))
 
 
 def meter_names(results: DataFrame, aggregation: str) -> DataFrame:
     """Distinct meters with a monthly series, in order."""
-    return of(results, "Energy", aggregation).select("meter").distinct().orderBy("meter")
+    keys = _with_scenario(results, "meter")
+    return of(results, "Energy", aggregation).select(*keys).distinct().orderBy(*keys)
 
 
 # --- joins ----------------------------------------------------------------------------------
@@ -171,12 +185,20 @@ def retrofit_savings(comparison: DataFrame) -> DataFrame:
 
 
 def building_metric(
-    results: DataFrame, metric: str, column: str | None = None, baseline: str | None = None, comparison: str | None = None
+    results: DataFrame,
+    metric: str,
+    column: str | None = None,
+    baseline: str | None = None,
+    comparison: str | None = None,
+    aggregation: str = "End Uses",
 ) -> DataFrame:
-    """(building_id, value) for a named metric."""
+    """(building_id, value) for a named metric, with the scenario where there is one.
+
+    Energy counts under one aggregation: end uses and utilities are the same energy seen twice.
+    """
+    keys = _with_scenario(results, "building_id")
     if metric == "energy_usage":
-        totals = of(results, "Energy").groupBy("building_id").agg(_filled_sum().alias("value"))
-        return totals
+        return of(results, "Energy", aggregation).groupBy(*keys).agg(_filled_sum().alias("value"))
     if metric == "eui":
         return building_eui(results).withColumnRenamed("eui", "value")
     if metric == "peak_power":
@@ -189,7 +211,7 @@ def building_metric(
         )
     if metric == "custom":
         require_columns(results, (column,))
-        return results.select("building_id", F.col(column).cast("double").alias("value"))
+        return results.select(*keys, F.col(column).cast("double").alias("value"))
     raise ValidationError(f"unknown metric {metric!r}; known: {METRICS}")
 
 
@@ -210,18 +232,24 @@ def wide_name(levels: Sequence[str] = RESULT_LEVELS) -> Column:
     return F.concat_ws(SEPARATOR, *[F.col(c).cast("string") for c in levels])
 
 
-def long_to_wide(
-    results: DataFrame, names: Sequence[str], keys: Sequence[str] = ("building_id",)
-) -> DataFrame:
-    """Rows to the given wide columns, one row per key."""
+def _only() -> Column:
+    """The value of a cell; two values for one cell stop the job."""
+    clash = F.raise_error(F.lit("two values for one cell: a key is missing")).cast("double")
+    return F.when(F.count("value") > 1, clash).otherwise(F.max("value"))
+
+
+def long_to_wide(results: DataFrame, names: Sequence[str], keys: Sequence[str] | None = None) -> DataFrame:
+    """Rows to the given wide columns, one row per key (by default building and scenario)."""
+    keys = _with_scenario(results, "building_id") if keys is None else keys
     named = results.withColumn("_name", wide_name())
-    return named.groupBy(*keys).pivot("_name", list(names)).agg(F.first("value", ignorenulls=True))
+    return named.groupBy(*keys).pivot("_name", list(names)).agg(_only())
 
 
-def month_rows(results: DataFrame, names: Sequence[str], keys: Sequence[str] = ("building_id",)) -> DataFrame:
+def month_rows(results: DataFrame, names: Sequence[str], keys: Sequence[str] | None = None) -> DataFrame:
     """Month becomes rows, the other levels become the given columns ``Measurement|Aggregation|Meter``."""
+    keys = _with_scenario(results, "building_id") if keys is None else keys
     named = results.withColumn("_name", wide_name(RESULT_LEVELS[:-1]))
-    return named.groupBy(*keys, "month").pivot("_name", list(names)).agg(F.first("value", ignorenulls=True))
+    return named.groupBy(*keys, "month").pivot("_name", list(names)).agg(_only())
 
 
 def sheet_label() -> Column:

@@ -178,10 +178,7 @@ def closed_wkt(rect: Column) -> Column:
 
 
 def building_specs(buildings: DataFrame, db_file: str, fields_file: str, component_map_file: str) -> DataFrame:
-    """Specification records of cleaned buildings with neighbour lists.
-
-    ``neighbors`` may be in parts (see ``gather_neighbors``); nearly always there is only part 0.
-    """
+    """Specification records of cleaned buildings with neighbour lists."""
     items = F.col("neighbors")
     return buildings.select(
         "building_id",
@@ -190,7 +187,6 @@ def building_specs(buildings: DataFrame, db_file: str, fields_file: str, compone
         F.lit(component_map_file).alias("component_map_file"),
         "weather_file",
         "context",
-        F.col("part").alias("neighbor_part"),
         F.transform(items, lambda n: closed_wkt(n["rect"])).alias("neighbor_polys"),
         F.transform(items, lambda n: n["height"]).alias("neighbor_heights"),
         F.transform(items, lambda n: n["floors"]).alias("neighbor_floors"),

@@ -12,14 +12,16 @@ from quoin.operators.checks import ValidationError, is_results_format
 def summarise(results: DataFrame, region_name: str = "", scenario_name: str = "") -> dict[str, DataFrame]:
     """Tables of a results page, each labelled with region and scenario.
 
+    A table with several scenarios is labelled with its own, and ``scenario_name`` isn't used.
     All aggregation happens in Spark; the largest tables have one row per building.
     """
     if not is_results_format(results):
         raise ValidationError("not a results table")
 
     def label(df: DataFrame) -> DataFrame:
-        tags = [F.lit(region_name).alias("region_name"), F.lit(scenario_name).alias("scenario_name")]
-        return df.select(*tags, *df.columns)
+        own = F.col("scenario") if "scenario" in df.columns else F.lit(scenario_name)
+        tags = [F.lit(region_name).alias("region_name"), own.alias("scenario_name")]
+        return df.select(*tags, *(c for c in df.columns if c != "scenario"))
 
     parts = {
         "eui": R.building_eui(results),

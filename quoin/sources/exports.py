@@ -11,10 +11,13 @@ from quoin.config import HourlyConfig
 from quoin.operators.results import SEPARATOR, month_rows, sheet_label
 
 
-def csv_ready(df: DataFrame, value_columns: Sequence[str] | None = None) -> DataFrame:
-    """building_id and the value columns only; other index columns (features, scenario) go."""
+def csv_ready(df: DataFrame, keys: Sequence[str] = ("building_id",), value_columns: Sequence[str] | None = None) -> DataFrame:
+    """Keys and the value columns only; other index columns (features) go.
+
+    A table of several scenarios needs the scenario among its keys.
+    """
     values = value_columns or [c for c in df.columns if c.count(SEPARATOR) == 3]
-    return df.select("building_id", *[F.col(f"`{c}`") for c in values])
+    return df.select(*keys, *[F.col(f"`{c}`") for c in values])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:

@@ -124,6 +124,22 @@ def test_result_edge_cases(spark):
     assert change == {"a": None, "b": 25.0}
 
 
+def test_scenarios_stay_apart(spark):
+    rows = [(b, s, "Energy", a, m, 1, v) for b, v in (("a", 1.0), ("b", 3.0)) for s in ("s", "t") for a, m in (("End Uses", "Heating"), ("Utilities", "Gas"))]
+    table = long_results(spark, [*rows, ("c", "s", "Peak", "Raw", "Gas", 1, 7.0)])
+    assert {(r.building_id, r.scenario): r.eui for r in results.building_eui(table).collect()} == {("a", "s"): 1.0, ("a", "t"): 1.0, ("b", "s"): 3.0, ("b", "t"): 3.0}
+    assert {r.value for r in results.building_metric(table, "energy_usage").collect()} == {1.0, 3.0}
+    # The band counts all buildings of the scenario: three in s, two in t.
+    width = {r.scenario: r.ci_high - r.avg for r in results.monthly_stats(table, "End Uses").collect()}
+    assert width["t"] / width["s"] == pytest.approx(math.sqrt(3 / 2))
+    plain = table.where("scenario = 't'").drop("scenario")
+    assert results.monthly_stats(plain, "End Uses").first().avg == 2.0
+    name = "Energy|End Uses|Heating|1"
+    assert results.long_to_wide(table, [name]).count() == 5
+    with pytest.raises(Exception, match="two values for one cell"):
+        results.long_to_wide(table, [name], ("building_id",)).collect()
+
+
 def test_exceedance_runs_cross_chunks(spark):
     start = 24 * 28 * 10 - 5
     hours = list(range(start, start + 12)) + [start + 20]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from catalog import views as V
 from catalog.cleaning_queries import _ATTIC, _FLAGS, _FLOORS, _draw
 from catalog.registry import query, r6
 from catalog.views import CONFIG, oracle
+from quoin.functions.arrow import moved_geometry, moved_point
 from quoin.operators import comfort, distributions, ordering, results, specs
 from quoin.plans import preprocess as P
 from quoin.plans.summary import summarise
@@ -475,6 +478,24 @@ def preprocessed_buildings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(oracle("""SELECT c.building_id, n_floors, height_m, round(w * d, 3) AS footprint_area, round(short_edge, 3) AS short_edge, round(long_edge, 3) AS long_edge,
+  coalesce(c.weather_file, 'https://climate.onebuilding.org/' || s.path) AS weather_file, coalesce(n.n_neighbors, 0) AS n_neighbors
+FROM cleaned c JOIN closest s ON s.building_id = c.building_id
+LEFT JOIN (SELECT src, count(*) AS n_neighbors FROM apart GROUP BY 1) n ON n.src = c.building_id""", "closest", "apart"))
+def preprocessed_buildings_utm(spark: SparkSession, sf: str) -> DataFrame:
+    """The pipeline as set up for a city: footprints and stations in degrees, measured in a UTM zone."""
+    raw = V.footprints(spark, sf).drop("cx", "cy", "w", "d", "theta")
+    raw = raw.withColumn("geom", moved_geometry(F.col("geom"), 32631, 4326))
+    at = moved_point(F.col("x"), F.col("y"), 32631, 4326)
+    sites = V.stations(spark, sf).withColumn("at", at).withColumns({"x": F.col("at.x"), "y": F.col("at.y")}).drop("at")
+    config = replace(CONFIG, metric_srid=32631)
+    df, _ = P.preprocess(raw, sites, config, 4326, V.FIELDS, height_col="height", stations_srid=4326)
+    return df.select(
+        "building_id", "n_floors", "height_m", F.round("footprint_area", 3).alias("footprint_area"), F.round("short_edge", 3).alias("short_edge"),
+        F.round("long_edge", 3).alias("long_edge"), "weather_file", F.size("neighbors").cast("bigint").alias("n_neighbors"),
+    )
+
+
 @query(oracle("""SELECT CASE WHEN NOT (height_m BETWEEN 3 AND 300 AND n_floors BETWEEN 1 AND 125) THEN 'height_or_floors' WHEN NOT wwr BETWEEN 0 AND 1 THEN 'wwr'
   WHEN basement = 'cellar' THEN 'basement' ELSE 'kept' END AS reason, count(*) AS n_rows FROM imputed GROUP BY 1""", "imputed"))
 def pipeline_drop_report(spark: SparkSession, sf: str) -> DataFrame:

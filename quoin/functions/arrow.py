@@ -8,17 +8,23 @@ with numpy over the flat vertex arrays of an Arrow batch.
 
 from __future__ import annotations
 
+import copy
 import struct
 import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quoin.functions import projection
+from quoin.functions.projection import Numpy, transformer
+
 # Ship this module's code with the tasks, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(projection)
 
 # Rings up to this many vertices are solved together, by trying every vertex pair as a direction;
 # the flat side of the best rectangle lies on a hull edge, which is one of those pairs.
@@ -133,6 +139,13 @@ class _Flat:
         if not used.all():
             self.x, self.y, self.ring, self.row = self.x[used], self.y[used], self.ring[used], self.row[used]
 
+    def moved(self, source: int, target: int) -> _Flat:
+        """The same shapes in another system; all vertices at once."""
+        out = copy.copy(self)
+        with np.errstate(all="ignore"):
+            out.x, out.y = transformer(source, target, Numpy)(self.x, self.y)
+        return out
+
     def measures(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Area and centroid per row, by the shoelace formula relative to the row's first vertex.
 
@@ -187,7 +200,10 @@ def _measure_batch(geoms: pa.Array) -> pa.Array:
 
 
 def _shape_batch(geoms: pa.Array) -> pa.Array:
-    flat = _Flat(geoms)
+    return _shape_of(_Flat(geoms))
+
+
+def _shape_of(flat: _Flat) -> pa.Array:
     columns = [_nullable(np.where(np.isfinite(v), v, np.nan)) for v in flat.measures()]
     corners = flat.rectangles()
     valid = np.isfinite(corners).all(axis=1)
@@ -198,6 +214,56 @@ def _shape_batch(geoms: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([*columns, lists], ["area", "x", "y", "corners"])
 
 
+def _located_batch(geoms: pa.Array, source: int, metric: int) -> pa.Array:
+    flat = _Flat(geoms)
+    shapes = _shape_of(flat.moved(source, metric))
+    _, x, y = flat.moved(source, 3857).measures()
+    lon, lat = transformer(3857, 4326, Numpy)(x, y)
+    located = [_nullable(np.where(np.isfinite(v), v, np.nan)) for v in (lat, lon)]
+    return pa.StructArray.from_arrays([*shapes.flatten(), *located], ["area", "x", "y", "corners", "lat", "lon"])
+
+
+def located_shape(geom: Column, source: int, metric: int) -> Column:
+    """``shape`` in the metric system, and the centroid (taken in 3857) in degrees as ``lat`` and ``lon``.
+
+    Projection happens inside the trip of the geometry to Python, so plans stay short.
+    """
+    kind = _SHAPE[:-1] + ",lat:double,lon:double>"
+    return F.arrow_udf(lambda geoms: _located_batch(geoms, source, metric), kind)(geom)
+
+
+def _moved_batch(geoms: pa.Array, source: int, target: int) -> pa.Array:
+    levels = [geoms]
+    for _ in range(3):
+        levels.append(levels[-1].flatten())
+    with np.errstate(all="ignore"):
+        found = transformer(source, target, Numpy)(*(levels[3].field(k).to_numpy(zero_copy_only=False) for k in ("x", "y")))
+    out: pa.Array = pa.StructArray.from_arrays([_nullable(v) for v in found], ["x", "y"])
+    for level in levels[2::-1]:
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(level), 0))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        out = pa.ListArray.from_arrays(offsets, out, mask=level.is_null() if level.null_count else None)
+    return out
+
+
+def moved_geometry(geom: Column, source: int, target: int) -> Column:
+    """The geometry in another system."""
+    if source == target:
+        return geom
+    return F.arrow_udf(lambda geoms: _moved_batch(geoms, source, target), "array<array<array<struct<x:double,y:double>>>>")(geom)
+
+
+def moved_point(x: Column, y: Column, source: int, target: int) -> Column:
+    """struct(x, y) in another system."""
+
+    def batch(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        with np.errstate(all="ignore"):
+            found = transformer(source, target, Numpy)(*(v.to_numpy(zero_copy_only=False) for v in (xs, ys)))
+        return pa.StructArray.from_arrays([_nullable(v) for v in found], ["x", "y"])
+
+    return F.arrow_udf(batch, "struct<x:double,y:double>")(x.cast("double"), y.cast("double"))
+
+
 def measures(geom: Column) -> Column:
     """struct(area, x, y): planar area and centroid; the centroid of a zero-area shape is NULL."""
     return F.arrow_udf(_measure_batch, _MEASURES)(geom)

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import Any
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,15 +58,22 @@ def _utm_zone(srid: int) -> tuple[int, bool] | None:
     return None
 
 
-def _mercator_from_degrees(lon: Column, lat: Column) -> tuple[Column, Column]:
-    x = F.radians(lon) * WGS84_A
-    y = F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * WGS84_A
+class Numpy:
+    """The functions that projections need, on arrays."""
+
+    sin, cos, tan, sinh, cosh, exp, log, sqrt = np.sin, np.cos, np.tan, np.sinh, np.cosh, np.exp, np.log, np.sqrt
+    asin, atan, atan2, atanh, radians, degrees = np.arcsin, np.arctan, np.arctan2, np.arctanh, np.radians, np.degrees
+
+
+def _mercator_from_degrees(lon, lat, m: Any) -> tuple:
+    x = m.radians(lon) * WGS84_A
+    y = m.log(m.tan(math.pi / 4 + m.radians(lat) / 2)) * WGS84_A
     return x, y
 
 
-def _degrees_from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
-    lon = F.degrees(x / WGS84_A)
-    lat = F.degrees(F.atan(F.exp(y / WGS84_A)) * 2 - math.pi / 2)
+def _degrees_from_mercator(x, y, m: Any) -> tuple:
+    lon = m.degrees(x / WGS84_A)
+    lat = m.degrees(m.atan(m.exp(y / WGS84_A)) * 2 - math.pi / 2)
     return lon, lat
 
 
@@ -72,16 +81,16 @@ def _central_meridian(zone: int) -> float:
     return zone * 6.0 - 183.0
 
 
-def _utm_from_degrees(lon: Column, lat: Column, zone: int, southern: bool) -> tuple[Column, Column]:
-    lam = F.radians(lon - _central_meridian(zone))
-    sin_lat = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(sin_lat) - F.atanh(sin_lat * _ECC) * _ECC)
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(t * t + 1))
+def _utm_from_degrees(lon, lat, zone: int, southern: bool, m: Any) -> tuple:
+    lam = m.radians(lon - _central_meridian(zone))
+    sin_lat = m.sin(m.radians(lat))
+    t = m.sinh(m.atanh(sin_lat) - m.atanh(sin_lat * _ECC) * _ECC)
+    xi = m.atan2(t, m.cos(lam))
+    eta = m.atanh(m.sin(lam) / m.sqrt(t * t + 1))
     east, north = eta, xi
     for j, a in enumerate(_ALPHA, start=1):
-        east = east + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * a
-        north = north + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * a
+        east = east + m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * a
+        north = north + m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * a
     shift = UTM_FALSE_NORTHING_SOUTH if southern else 0.0
     return (
         east * (UTM_SCALE * _RECTIFYING) + UTM_FALSE_EASTING,
@@ -89,43 +98,44 @@ def _utm_from_degrees(lon: Column, lat: Column, zone: int, southern: bool) -> tu
     )
 
 
-def _degrees_from_utm(x: Column, y: Column, zone: int, southern: bool) -> tuple[Column, Column]:
+def _degrees_from_utm(x, y, zone: int, southern: bool, m: Any) -> tuple:
     shift = UTM_FALSE_NORTHING_SOUTH if southern else 0.0
     xi = (y - shift) / (UTM_SCALE * _RECTIFYING)
     eta = (x - UTM_FALSE_EASTING) / (UTM_SCALE * _RECTIFYING)
     xi_c, eta_c = xi, eta
     for j, b in enumerate(_BETA, start=1):
-        xi_c = xi_c - F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * b
-        eta_c = eta_c - F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * b
-    chi = F.asin(F.sin(xi_c) / F.cosh(eta_c))
+        xi_c = xi_c - m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * b
+        eta_c = eta_c - m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * b
+    chi = m.asin(m.sin(xi_c) / m.cosh(eta_c))
     lat = chi
     for j, d in enumerate(_DELTA, start=1):
-        lat = lat + F.sin(chi * (2 * j)) * d
-    lon = F.degrees(F.atan2(F.sinh(eta_c), F.cos(xi_c))) + _central_meridian(zone)
-    return lon, F.degrees(lat)
+        lat = lat + m.sin(chi * (2 * j)) * d
+    lon = m.degrees(m.atan2(m.sinh(eta_c), m.cos(xi_c))) + _central_meridian(zone)
+    return lon, m.degrees(lat)
+
 
+def transformer(source: int, target: int, m: Any = F) -> Callable[[Any, Any], tuple]:
+    """Function (x, y) -> (x, y) from one srid to another; geographic pairs are (lon, lat).
 
-def transformer(
-    source: int, target: int
-) -> Callable[[Column, Column], tuple[Column, Column]]:
-    """Function (x, y) -> (x, y) from one srid to another; geographic pairs are (lon, lat)."""
+    ``m`` does the mathematics: Spark's functions on columns, or ``Numpy`` on arrays.
+    """
     for srid in (source, target):
         if not is_supported(srid):
             raise ValueError(f"unsupported srid {srid}; use 4326, 3857 or UTM 326zz / 327zz")
 
-    def to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
+    def to_degrees(x: Any, y: Any) -> tuple:
         if source == 4326:
             return x, y
         if source == 3857:
-            return _degrees_from_mercator(x, y)
-        return _degrees_from_utm(x, y, *_utm_zone(source))
+            return _degrees_from_mercator(x, y, m)
+        return _degrees_from_utm(x, y, *_utm_zone(source), m)
 
-    def from_degrees(lon: Column, lat: Column) -> tuple[Column, Column]:
+    def from_degrees(lon: Any, lat: Any) -> tuple:
         if target == 4326:
             return lon, lat
         if target == 3857:
-            return _mercator_from_degrees(lon, lat)
-        return _utm_from_degrees(lon, lat, *_utm_zone(target))
+            return _mercator_from_degrees(lon, lat, m)
+        return _utm_from_degrees(lon, lat, *_utm_zone(target), m)
 
     if source == target:
         return lambda x, y: (x, y)

@@ -202,3 +202,54 @@ def test_shape_corners_surround_all_parts(spark):
     far = [[ring((0, 0), (1, 0), (1, 1), (0, 1))], [ring((9, 0), (10, 0), (10, 1), (9, 1))]]
     rect = shapes(spark, [far]).select(corners_to_points(shape(F.col("geom"))["corners"]).alias("r")).first().r
     assert sorted({round(p.x, 6) for p in rect}) == [0, 10]
+
+
+def city(spark, n=3):
+    """Small squares in degrees, and one station next to them in degrees."""
+    from quoin.functions.arrow import moved_geometry
+
+    rings = [[[ring((500000 + 40 * k, 200000), (500010 + 40 * k, 200000), (500010 + 40 * k, 200010), (500000 + 40 * k, 200010))]] for k in range(n)]
+    df = shapes(spark, rings).withColumn("geom", moved_geometry(F.col("geom"), 32631, 4326)).withColumn("geom_type", F.lit("Polygon"))
+    df = df.select(F.col("id").alias("osm"), "geom", "geom_type", F.lit(9.0).alias("tall"), F.lit("Office").alias("use_of_bui"), F.lit(0.3).alias("glass"))
+    sites = spark.createDataFrame([("s", 3.0, 1.81, "tmyx", "a.zip")], "station_id string, x double, y double, source string, path string")
+    return df, sites
+
+
+def test_pipeline_in_degrees_with_own_column_names(spark):
+    from quoin import FieldSpec, PreprocessConfig
+    from quoin.plans.preprocess import Columns, preprocess
+    from quoin.sources.footprints import keep_srid, srid_of
+
+    df, sites = city(spark)
+    names = Columns(id="osm", height="tall", wwr="glass")
+    fields = [FieldSpec("use_of_building", ("Office",))]
+    out, report = preprocess(keep_srid(df, 4326), sites, PreprocessConfig(metric_srid=32631), None, fields, stations_srid=4326, columns=names)
+    rows = out.collect()
+    assert len(rows) == 3 and srid_of(out) == 4326
+    for r in rows:
+        assert (r.wwr, r.n_floors, r.context["use_of_building"]) == (0.3, 3.0, "Office")
+        assert r.footprint_area == pytest.approx(100, abs=1e-3) and r.weather_file.endswith("a.zip") and len(r.neighbors) == 2
+    assert {r.reason: r.n_rows for r in report.collect()} == {"kept": 3}
+
+
+def test_strict_stops_without_a_station_in_reach(spark):
+    from quoin import PreprocessConfig
+    from quoin.operators.checks import ValidationError
+    from quoin.plans.preprocess import Columns, preprocess
+
+    df, sites = city(spark, 1)
+    config = PreprocessConfig(metric_srid=32631)
+    far = sites.withColumn("y", F.lit(40.0))
+    args = {"columns": Columns(id="osm", height="tall"), "stations_srid": 4326}
+    with pytest.raises(ValidationError, match="no weather station"):
+        preprocess(df, far, config, 4326, [], **args)
+    assert preprocess(df, far, config, 4326, [], strict=False, **args)[0].first().weather_file is None
+
+
+def test_utm_plans_are_short(spark):
+    from quoin import PreprocessConfig
+    from quoin.plans.preprocess import Columns, assess
+
+    df, _ = city(spark, 1)
+    plan = assess(df, PreprocessConfig(metric_srid=32631), 4326, Columns(id="osm", height="tall"))._jdf.queryExecution().executedPlan().toString()
+    assert "atanh" not in plan.lower()

@@ -25,6 +25,7 @@ HEADLINE = (
     "nearest_station",
     "feature_table",
     "preprocessed_buildings",
+    "preprocessed_buildings_utm",
     "heat_index_hours",
     "exceedance_runs",
 )

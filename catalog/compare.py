@@ -53,12 +53,12 @@ def compare(spark, con, folder: str, name: str) -> str:
         return f"columns {a[0]} != {b[0]}"
     if len(a[1]) != len(b[1]):
         return f"rows {len(a[1])} != {len(b[1])}"
-    if not rows:
-        return "no rows"
     pairs = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
     wrong = {c: (types[c], kinds[c]) for c in names if pairs.get(types[c]) != kinds[c]}
     if wrong:
         return f"types {wrong}"
+    if not rows:
+        return "no rows"
     for x, y in zip(a[1], b[1]):
         if x != y:
             n = len(set(a[1]) - set(b[1]))

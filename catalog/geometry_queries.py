@@ -213,14 +213,14 @@ def wkb_footprints(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("building_id", "geom_type", F.round(area(F.col("geom")), 3).alias("area"))
 
 
-@query(oracle("SELECT building_id, round(CASE WHEN typology = 'School' THEN cy ELSE cy + 1 END, 6) AS lat, round(CASE WHEN typology = 'School' THEN cx ELSE cx + 1 END, 6) AS lon FROM buildings", "buildings"))
+@query(oracle(f"""SELECT building_id, round(CASE WHEN typology IN ('School', 'Hotel') THEN {_LAT} ELSE cy / 10000 END, 6) AS lat,
+  round(CASE WHEN typology IN ('School', 'Hotel') THEN {_LON} ELSE cx / 10000 END, 6) AS lon FROM buildings""", "buildings"))
 def building_locations(spark: SparkSession, sf: str) -> DataFrame:
-    """Given coordinates, else the centroid in the table's own system."""
-    known = F.col("typology") != "School"
-    df = V.footprints(spark, sf).select(
-        "building_id", "geom", F.when(known, F.col("cy") + 1).alias("lat"), F.when(known, F.col("cx") + 1).alias("lon")
-    )
-    return locations(df).select("building_id", r6("lat"), r6("lon"))
+    """Given coordinates where both are there, else the centroid in degrees; hotels have half a position."""
+    lat = F.when(~F.col("typology").isin("School"), F.col("cy") / 10000)
+    lon = F.when(~F.col("typology").isin("School", "Hotel"), F.col("cx") / 10000)
+    df = V.footprints(spark, sf).select("building_id", "geom", lat.alias("lat"), lon.alias("lon"))
+    return locations(df, srid=3857).select("building_id", r6("lat"), r6("lon"))
 
 
 # --- local plane ----------------------------------------------------------------------------

@@ -198,10 +198,10 @@ def spec_violations(specs: DataFrame) -> DataFrame:
 def area_mismatches(
     modelled: DataFrame, expected: DataFrame, rtol: float = 1e-5, atol: float = 1e-8
 ) -> DataFrame:
-    """Buildings whose modelled conditioned area is not close to the expected one."""
+    """Expected buildings whose modelled conditioned area is not close to it, or is not there at all."""
     a, b = F.col("modelled_area"), F.col("expected_area")
-    joined = modelled.select("building_id", "modelled_area").join(
-        expected.select("building_id", "expected_area"), "building_id"
+    joined = expected.select("building_id", "expected_area").join(
+        modelled.select("building_id", "modelled_area"), "building_id", "left"
     )
     close = F.coalesce(F.abs(a - b) <= F.lit(atol) + F.abs(b) * rtol, F.lit(False))
     return joined.where(~close)

@@ -7,26 +7,39 @@ place.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions.draws import key_digest
 
-# Samples up to this size are taken with one top-k; larger ones by cutting at a digest.
-TOP_K_ROWS = 100_000
+# Rows of a bucket, about.
+BUCKET_ROWS = 100_000
 # Payload budget of one batch, 3 MiB.
 BATCH_BYTES = 3 * 1024 * 1024
 
 
+def _digits(df: DataFrame) -> int:
+    """Hex digits that leave about ``BUCKET_ROWS`` rows in a bucket."""
+    rows = df.count()
+    return max(1, math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16)))
+
+
 def add_row_index(
-    df: DataFrame, id_col: str = "building_id", salt: str = "order", target: str = "sort_index", digits: int = 3
+    df: DataFrame,
+    id_col: str = "building_id",
+    salt: str = "order",
+    target: str = "sort_index",
+    digits: int | None = None,
 ) -> DataFrame:
-    """Gapless index from 0 in digest order; ``digits`` sets the number of buckets (16 ** digits)."""
+    """Gapless index from 0 in digest order, over 16 ** ``digits`` buckets; by default as the rows ask for."""
+    digits = _digits(df) if digits is None else digits
     keyed = df.withColumn("_digest", key_digest(F.col(id_col), salt)).withColumn(
         "_bucket", F.substring("_digest", 1, digits)
     )
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # At most 16 ** digits rows, whatever the size of the table.
+    # One row per bucket.
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_bucket").orderBy("_digest", id_col)
@@ -37,11 +50,21 @@ def add_row_index(
 
 
 def sample_rows(df: DataFrame, size: int, id_col: str = "building_id", salt: str = "sample") -> DataFrame:
-    """Reproducible random sample of exactly min(size, rows) rows."""
-    if size <= TOP_K_ROWS:
-        order = [key_digest(F.col(id_col), salt), F.col(id_col)]
-        return df.orderBy(*order).limit(size)
-    return add_row_index(df, id_col, salt, "_at").where(F.col("_at") < size).drop("_at")
+    """Reproducible random sample of exactly min(size, rows) rows: those first in digest order.
+
+    Counts of digest beginnings say where the sample ends.  Rows before that are taken by a filter; only those
+    of the one bucket in which it ends are ranked.
+    """
+    digits = _digits(df) + 1
+    keyed = df.withColumn("_digest", key_digest(F.col(id_col), salt)).withColumn("_bucket", F.substring("_digest", 1, digits))
+    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    upto = counts.withColumn("_end", F.sum("_n").over(Window.orderBy("_bucket")))
+    last = upto.where(F.col("_end") >= size).orderBy("_bucket").first()
+    if last is None:
+        return df
+    ranked = keyed.where(F.col("_bucket") == last["_bucket"]).withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", id_col)))
+    edge = ranked.where(F.col("_rank") <= size - (last["_end"] - last["_n"])).drop("_rank")
+    return keyed.where(F.col("_bucket") < last["_bucket"]).union(edge).drop("_digest", "_bucket")
 
 
 def payload_bytes(*columns: str | Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoin import FieldSpec, HourlyConfig, PreprocessConfig
-from quoin.operators import checks, clean, comfort, distributions, ordering, results, specs
+from quoin.operators import checks, clean, comfort, distributions, ordering, results, skew, specs
 from quoin.sources import exports, footprints, runs
 from quoin.sources.locations import load_locations
 
@@ -124,6 +124,34 @@ def test_result_edge_cases(spark):
     assert change == {"a": None, "b": 25.0}
 
 
+def test_samples_and_indices_do_not_depend_on_buckets(spark, monkeypatch):
+    df = spark.range(500).select(F.col("id").cast("string").alias("building_id"), "id")
+    whole = {r.building_id: r.sort_index for r in ordering.add_row_index(df).collect()}
+    some = {r.building_id for r in ordering.sample_rows(df, 37).collect()}
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 3)
+    assert {r.building_id: r.sort_index for r in ordering.add_row_index(df).collect()} == whole
+    assert {r.building_id for r in ordering.sample_rows(df, 37).collect()} == some and len(some) == 37
+    assert ordering.sample_rows(df, 0).count() == 0 and ordering.sample_rows(df, 900).count() == 500
+    plan = ordering.sample_rows(df, 37)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan
+
+
+def test_hot_keys_stay_split_when_they_are_many(spark, monkeypatch):
+    probe = spark.range(400).select((F.col("id") % 20).alias("k"), F.col("id").alias("p"))
+    build = spark.range(60).select((F.col("id") % 30).alias("k"), F.col("id").alias("b"))
+    want = sorted(map(tuple, probe.join(build, "k").collect()))
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", 6)
+    tables = skew.hot_keys(probe, ["k"], 5)
+    assert len(tables) > 1 and sum(t.count() for t in tables) == 20
+    assert sorted(map(tuple, skew.salted_join(probe, build, ["k"], "p", 5).select("k", "p", "b").collect())) == want
+
+
+def test_areas_without_a_model_are_reported(spark):
+    expected = spark.createDataFrame([("a", 10.0), ("b", 20.0)], "building_id string, expected_area double")
+    modelled = spark.createDataFrame([("a", 10.0)], "building_id string, modelled_area double")
+    assert [(r.building_id, r.modelled_area) for r in checks.area_mismatches(modelled, expected).collect()] == [("b", None)]
+
+
 def test_scenarios_stay_apart(spark):
     rows = [(b, s, "Energy", a, m, 1, v) for b, v in (("a", 1.0), ("b", 3.0)) for s in ("s", "t") for a, m in (("End Uses", "Heating"), ("Utilities", "Gas"))]
     table = long_results(spark, [*rows, ("c", "s", "Peak", "Raw", "Gas", 1, 7.0)])

@@ -6,9 +6,11 @@ left out in turn, and all pairs within the distance meet under such a key; how m
 chosen such that a pair at the wanted similarity exceeds the distance with a probability below one in 100,000.
 
 Documents of equal sets are one class, of which only the first goes on.  Under each key, members are first
-compared with the smallest one alone.  Then, where a key still has members of several components, the pairs
-across components are compared too.  Pairs inside a component need no comparison, so a large group of copies
-costs a comparison per member, and no link is lost.
+compared with the smallest one alone.  Where a key then still has members of several components, those outside
+its largest component are compared with all others that are left under such keys, if they can be similar at all:
+of two similar sets, the rarest shingles must meet near enough to the front of both.  Pairs inside a component
+need no comparison, and copies with many changes of their own have nothing in front that others share, so a large
+group costs about a comparison per member, and no link is lost.
 """
 
 from __future__ import annotations
@@ -156,6 +158,26 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, width: int, percent: int, scra
     return pairs.join(second, "b").join(first, "a").where(100 * both >= percent * (F.size("xs") + F.size("ys") - both)).select("a", "b")
 
 
+def _apart(mixed: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, percent: int, most: int, scratch: Scratch) -> DataFrame:
+    """Pairs (``a`` < ``b``) of different components with one ``outside`` that can be similar enough.
+
+    Shingles of each set are ordered by how many of these sets have them.  The first one that two sets share bounds
+    their common shingles by what is left behind it in either.
+    """
+    sets = scratch.table(_sets(rows, word_filter(mixed.select(F.xxhash64("_key").alias("token"))), width))
+    each = sets.join(mixed.select("_key"), "_key", "left_semi").select("_key", F.explode("shingles").alias("token"))
+    counted = each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("sets")), "token")
+    ordered = counted.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("x"))
+    front = F.size("x") - F.ceil(F.size("x") * F.lit(percent) / 100).cast("int") + 1
+    prefix = ordered.select("_key", F.posexplode(F.slice("x", F.lit(1), front)).alias("at", "x")).select("_key", "at", "x.token")
+    prefix = scratch.table(prefix.join(mixed, "_key").join(firsts.select("_key", "n", "signature"), "_key"))
+    side = lambda k: prefix.select("token", F.col("_key").alias(k), F.col("root").alias(f"r{k}"), F.col("at").alias(f"p{k}"), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}"), F.col("outside").alias(f"o{k}"))
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    enough = (100 + percent) * left >= percent * (F.col("na") + F.col("nb"))
+    pairs = side("a").where("oa").join(side("b"), "token").where("a <> b and ra <> rb").where(enough).where(_close(most, percent))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``key``, ``n_shingles``, ``component`` (the smallest key reachable) and ``kept``.
 
@@ -199,11 +221,10 @@ def _found(rows: DataFrame, width: int, percent: int, scratch: Scratch) -> DataF
     roots = components(links, scratch)
     # Keys whose members are in several components: what wasn't compared yet is compared now.
     placed = shared.select("bucket", "_key").join(roots, F.col("_key") == F.col("node"), "left").select("bucket", "_key", F.coalesce("root", "_key").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    mixed = scratch.table(placed.join(mixed, "bucket").join(firsts, "_key").select("bucket", "_key", "root", "n", "signature"))
-    one, two = (mixed.select("bucket", *(F.col(c).alias(f"{n}{s}") for c, n in (("_key", ""), ("root", "r"), ("n", "n"), ("signature", "s")))) for s in "ab")
-    apart = one.join(two, "bucket").where("a < b and ra <> rb").where(_close(most, percent)).select("a", "b").distinct()
-    apart = scratch.table(apart.join(led, ["a", "b"], "left_anti"))
+    sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    mixed = placed.join(mixed, "bucket").groupBy("_key", "root").agg(F.max(F.col("root") != F.col("most.root")).alias("outside"))
+    apart = scratch.table(_apart(scratch.table(mixed), rows, firsts, width, percent, most, scratch).join(led, ["a", "b"], "left_anti"))
     if not apart.isEmpty():
         roots = components(links.union(_confirmed(apart, rows, width, percent, scratch)), scratch)
     found = members.join(roots, F.col("first") == F.col("node"), "left").select("_key", F.coalesce("root", "first").alias("root"))

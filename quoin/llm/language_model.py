@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from quoin.llm.common import flat, slices
 from quoin.llm.words import PRINTED, mix, words
 
-#: Tokens of a block.
-BLOCK = 2_000_000
+#: Tokens of a block; bounds what a task holds.
+BLOCK = 700_000
 #: Text bytes for each range of hashes.
 RANGE = 1 << 24
 #: Context-frequency buckets; bins of a probability ratio per octave; rounds of the weights' learning.
@@ -150,11 +150,14 @@ class _Block:
         begins = np.zeros(len(self.which), bool)
         begins[ends - self.first] = True
         end = np.searchsorted(self.keys, _END)
-        self.before = np.where(begins, end, np.roll(self.which, 1))  # the word before; the end token before the first
+        self.before = np.where(begins, np.int32(end), np.roll(self.which, 1))  # the word before; the end token before the first
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted hashes of the distinct pairs, and each token's."""
-        return np.unique(mix(self.keys[self.before] * np.uint64(0x9FB21C651E98DF25) + mix(self.keys[self.which])), return_inverse=True)
+        hashes = self.keys[self.before] * np.uint64(0x9FB21C651E98DF25)
+        hashes += mix(self.keys)[self.which]
+        keys, which = np.unique(mix(hashes), return_inverse=True)
+        return keys, which.astype(np.int32)
 
 
 def _opened(rows: Iterable[tuple]) -> Iterator[tuple[int, _Block]]:
@@ -170,7 +173,7 @@ def _opened(rows: Iterable[tuple]) -> Iterator[tuple[int, _Block]]:
         with pa.ipc.open_stream(zstandard.decompress(rows_)) as stream:
             table = stream.read_all()
         counts = {k: np.concatenate([_unpack(p)[0].astype(np.int64) for _, p in sorted(own[k])]) for k in ("word counts", "pair counts") if own[k]}
-        yield block, _Block(table, which.astype(np.int64), first, train.astype(bool), np.cumsum(steps, dtype=np.uint64), counts.get("word counts"), counts.get("pair counts"))
+        yield block, _Block(table, which.astype(np.int32), first, train.astype(bool), np.cumsum(steps, dtype=np.uint64), counts.get("word counts"), counts.get("pair counts"))
 
 
 def _pair_requests(ranges: int, rows: Iterable[tuple]) -> Iterator[tuple]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.llm.common import table
+from quoin.llm.license_forms import forms
 from quoin.llm.licenses import inherited, scan
 from quoin.llm.registry import query
 from quoin.llm.urls import Rule, host_and_path, judged
@@ -71,4 +72,4 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     inner = F.concat_ws("/", "source", part.cast("string"), name)
     path = F.when(F.col("doc_id") % 500 == 0, F.concat_ws("/", "source", F.lit("LICENSE"))).otherwise(inner)
     files = table(spark, folder, "documents").select("doc_id", path.alias("path"), "text")
-    return inherited(scan(files, TEMPLATES)).select("doc_id", "path", "license", F.round("score", 9).alias("score"), "line", "origin")
+    return inherited(scan(files, forms(TEMPLATES))).select("doc_id", "path", "license", F.round("score", 9).alias("score"), "line", "origin")

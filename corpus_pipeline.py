@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 
 from quoin.llm.common import table
 from quoin.llm.decontaminate import without_contaminated
-from quoin.llm.languages import UNDETERMINED, identify, profiles
+from quoin.llm.languages import identify, profiles
 from quoin.llm.minhash import without_near_duplicates
 from quoin.llm.sentence_pieces import decode, encode
 from quoin.llm.suffixes import deduplicated
 from quoin.session import durable
 
-#: Documents whose best cosine is below this are in none of the languages.
-LEAST_COSINE = 0.1
+#: Documents that are surely less like the best language than this, as a share of its own texts, are in none.
+LEAST_LIKENESS = 0.6
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages of the labelled ones; null texts and texts without letters go."""
-    judged = identify(docs.withColumn("_copy", F.col("text")), profiles(docs))
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_COSINE)).select(*(F.col("_copy").alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    """Documents in one of the languages of the labelled ones; null texts and texts without letters go.
+
+    A text goes only with enough n-grams to tell; all documents stay where nothing was learned.
+    """
+    judged = identify(docs.withColumn("_copy", F.col("text")), profiles(docs), likeness="_likeness")
+    return judged.where(F.col("_likeness").isNull() | (F.col("_likeness") >= LEAST_LIKENESS)).select(*(F.col("_copy").alias(c) if c == "text" else F.col(c) for c in docs.columns))
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ DIMENSIONS, GRAM = 1024, 3
 #: N-gram vectors that a worker keeps before it begins anew; bounds its memory.
 MEMORY = 30_000
 UNDETERMINED = "und"
+#: Standard errors by which a text gets the benefit of the doubt.
+ERRORS = 2
 _BITS = 21  # of a code point
 
 
@@ -89,14 +91,20 @@ class Grams:
         return out
 
     def vector(self, text: str | None) -> np.ndarray | None:
-        grams, n = self.counts(text)
+        return self.bundled(*self.counts(text))
+
+    def bundled(self, grams: np.ndarray, n: np.ndarray) -> np.ndarray | None:
         if not len(grams):
             return None
         return sum((n[a : a + 8192].astype(np.float32) @ self.of(grams[a : a + 8192]) for a in range(0, len(grams), 8192)), np.float32(0))
 
 
 def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(``lang``, ``profile``): the unit prototype of every language with at least one letter."""
+    """(``lang``, ``profile``, ``mean``, ``spread``): the unit prototype of every language with at least one letter.
+
+    ``mean`` and ``spread`` are the mean and standard deviation, over the n-grams of the language's own texts, of
+    what one n-gram adds to the product of a text's counts with the exact prototype.
+    """
     counted = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,46 +147,69 @@ def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Dat
                 here = np.flatnonzero(names == one)
                 for a in range(0, len(here), 4096):
                     some = here[a : a + 4096]
-                    totals[one] = totals.get(one, 0) + n.to_numpy()[some].astype(np.float64) @ grams.of(gram.to_numpy()[some])
+                    m = n.to_numpy()[some].astype(np.float64)
+                    totals[one] = totals.get(one, 0) + np.concatenate([m @ grams.of(gram.to_numpy()[some]), [m.sum(), (m**2).sum(), (m**3).sum()]])
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([v.tolist() for v in totals.values()], pa.list_(pa.float64()))], names=bundled.fieldNames())
 
     parts = sums.mapInArrow(bundle, bundled)
     added = parts.select("lang", F.posexplode("vector").alias("place", "x")).groupBy("lang", "place").agg(F.sum("x").alias("x"))
     whole = added.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("vector"))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    return whole.withColumn("norm", norm).where("norm > 0").select("lang", F.transform("vector", lambda x: x / F.col("norm")).alias("profile"))
+    n, squares, cubes = (F.element_at("vector", DIMENSIONS + k) for k in (1, 2, 3))  # sums of the counts' powers follow the vector
+    mean = F.sqrt(squares) / n
+    spread = F.sqrt(F.greatest(F.lit(0.0), cubes / (n * squares) - mean * mean))
+    own = F.slice("vector", 1, DIMENSIONS)
+    norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, x: a + x * x))
+    whole = whole.withColumn("norm", norm).where("norm > 0")
+    return whole.select("lang", F.transform(own, lambda x: x / F.col("norm")).alias("profile"), mean.alias("mean"), spread.alias("spread"))
 
 
-def identify(df: DataFrame, learned: DataFrame, text: str = "text") -> DataFrame:
+def identify(df: DataFrame, learned: DataFrame, text: str = "text", likeness: str | None = None) -> DataFrame:
     """``df`` without ``text``, with ``lang_pred`` and ``score``, the cosine cut to 0..1.
 
     Only the text decides.  Null texts and texts without letters are ``und`` with score 0, as are all texts where
     nothing was learned; ties go to the first language in alphabetical order.  Columns named like the new ones
     are replaced.  One prototype per language reaches the tasks, so their size is bounded by the labels.
+
+    ``likeness`` names a column for the most that the text can be like its language: what its mean n-gram adds to
+    the product with the prototype, plus ``ERRORS`` standard errors, as a share of the mean of the language's own
+    texts.  Short texts have large errors, so only enough n-grams make it small.  It is null where nothing was
+    learned and 0 for texts without letters.
     """
     rows = sorted(learned.collect(), key=lambda r: r["lang"])
     names = [r["lang"] for r in rows]
     matrix = np.array([r["profile"] for r in rows], np.float32)
-    kept = [c for c in df.columns if c not in (text, "lang_pred", "score")]
+    own = np.array([(r["mean"], r["spread"]) for r in rows]) if likeness else None
+    kept = [c for c in df.columns if c not in (text, "lang_pred", "score", likeness)]
     new = [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)]
+    new += [T.StructField(likeness, T.DoubleType())] if likeness else []
     schema = T.StructType([*(df.schema[c] for c in kept), *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in slices(batches, text):
-            found, scores = [], []
+            found, scores, like = [], [], []
             for value in batch.column(text).to_pylist():
-                vector = grams.vector(value) if names else None
+                found_grams, counts = grams.counts(value) if names else (np.empty(0, np.int64),) * 2
+                vector = grams.bundled(found_grams, counts)
                 norm = 0.0 if vector is None else float(np.linalg.norm(vector))
                 if norm == 0:
                     found.append(UNDETERMINED)
                     scores.append(0.0)
+                    like.append(0.0 if names else None)
                     continue
                 cosine = matrix @ vector / norm
                 best = int(cosine.argmax())
                 found.append(names[best])
                 scores.append(float(min(1.0, max(0.0, cosine[best]))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=schema.fieldNames())
+                if likeness:
+                    mean, spread = own[best]
+                    n = counts.sum()
+                    # Repeated n-grams are no new evidence: what a text repeats beyond its language counts once.
+                    share = max(1 / n, float((counts.astype(np.float64) ** 2).sum()) / n**2 - mean**2)
+                    # The vectors' noise: their products of different n-grams are 0 on average only.
+                    error = np.sqrt(spread**2 * share + (norm / n) ** 2 / grams.dimensions**2)
+                    like.append(float((cosine[best] * norm / np.sqrt(grams.dimensions) / n + ERRORS * error) / mean))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.string()), pa.array(scores, pa.float64()), *([pa.array(like, pa.float64())] if likeness else [])], names=schema.fieldNames())
 
     return df.select(*kept, text).mapInArrow(run, schema)
 

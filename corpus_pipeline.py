@@ -23,8 +23,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A text goes only with enough n-grams to tell; all documents stay where nothing was learned.
     """
-    judged = identify(docs.withColumn("_copy", F.col("text")), profiles(docs), likeness="_likeness")
-    return judged.where(F.col("_likeness").isNull() | (F.col("_likeness") >= LEAST_LIKENESS)).select(*(F.col("_copy").alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text"))
+    judged = identify(rows, profiles(docs), likeness="_likeness")
+    return judged.where(F.col("_likeness").isNull() | (F.col("_likeness") >= LEAST_LIKENESS)).select("_row.*")
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,3 +23,10 @@ def test_short_clean_documents_stay_and_foreign_ones_go(spark):
 def test_all_documents_stay_where_nothing_was_learned(spark, docs_of):
     docs = docs_of([(1, "some words"), (2, None), (3, "42"), (4, "A.")])
     assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, FOLDER).collect()} == {1, 2, 3, 4}
+
+
+def test_given_columns_come_back_as_they_were(spark):
+    rows = [(1, "the house and the tree", "en", "mine", -5, "copy", "like"), (2, "a river and a stone", "en", None, 7, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, lang_pred string, score int, _copy string, _likeness string")
+    out = corpus_pipeline.language_id(spark, docs, FOLDER)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == rows

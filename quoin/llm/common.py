@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,11 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool
     return durable(docs.sparkSession.createDataFrame(numbered, T.StructType([T.StructField("_key", T.LongType()), *rows.schema.fields])))
 
 
+def carried(docs: DataFrame, text: str) -> Column:
+    """All columns but the text as one struct ``given``, so that no name clashes (``none`` where there are no others)."""
+    return F.struct([F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(None).cast("int").alias("none")]).alias("given")
+
+
 def texts_back(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``docs`` from ``_rest`` and ``_text``."""
     return rows.select(*(F.col("_text").alias(text) if c == text else F.col(f"_rest.`{c}`") for c in docs.columns))

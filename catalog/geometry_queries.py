@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,6 +144,49 @@ def rectangle_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Rings of 5 to 60 vertices with uneven radii; rings of even ids have a vertex in the middle of every side.
+_RING = """SELECT building_id, CAST(building_id AS INT) AS id,
+  CASE WHEN CAST(building_id AS INT) % 2 = 0 THEN 3 + CAST(building_id AS INT) % 28 ELSE 5 + CAST(building_id AS INT) % 56 END AS n FROM buildings"""
+_VERTEX = "(6 + (id * 31 + ({j}) * ({j}) * 17) % 13)"
+
+
+@query(oracle("SELECT 1", "buildings").rsplit("SELECT 1", 1)[0].rstrip() + f""", rings AS ({_RING}), corner AS (
+  SELECT building_id, id, n, j, {_VERTEX.format(j="j")} * cos(2 * pi() * j / n) AS x, {_VERTEX.format(j="j")} * sin(2 * pi() * j / n) AS y
+  FROM rings, range(60) AS t(j) WHERE j < n
+), vertex AS (
+  SELECT building_id, 2 * j AS k, x, y FROM corner UNION ALL
+  SELECT a.building_id, 2 * a.j + 1, (a.x + b.x) / 2, (a.y + b.y) / 2 FROM corner a JOIN corner b ON a.building_id = b.building_id AND b.j = (a.j + 1) % a.n WHERE a.id % 2 = 0
+), direction AS (
+  SELECT a.building_id, a.k AS i, b.k AS j, (b.x - a.x) / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS ux, (b.y - a.y) / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS uy
+  FROM vertex a JOIN vertex b ON a.building_id = b.building_id AND a.k < b.k AND (a.x <> b.x OR a.y <> b.y)
+), extent AS (
+  SELECT d.building_id, max(x * ux + y * uy) - min(x * ux + y * uy) AS e1, max(y * ux - x * uy) - min(y * ux - x * uy) AS e2
+  FROM direction d JOIN vertex v ON v.building_id = d.building_id GROUP BY d.building_id, i, j
+), best AS (
+  SELECT building_id, greatest(e1, e2) AS l, least(e1, e2) AS s, row_number() OVER (PARTITION BY building_id ORDER BY round(e1 * e2, 6), round(greatest(e1, e2), 6) DESC) AS rn FROM extent
+)
+SELECT b.building_id, count(*) AS n_vertices, round(any_value(l), 3) AS long_edge, round(any_value(s), 3) AS short_edge FROM best b JOIN vertex v ON v.building_id = b.building_id WHERE rn = 1 GROUP BY 1""")
+def ring_rectangles(spark: SparkSession, sf: str) -> DataFrame:
+    """Smallest rectangles of rings with 5 to 60 vertices, compared with all directions between two vertices."""
+    V.buildings(spark, sf).createOrReplaceTempView("ring_buildings")
+    rings = spark.sql(_RING.replace("FROM buildings", "FROM ring_buildings"))
+
+    def vertex(j):
+        radius = 6 + (F.col("id") * 31 + j * j * 17) % 13
+        turn = 2 * math.pi * j / F.col("n")
+        return radius * F.cos(turn), radius * F.sin(turn)
+
+    def point(k):  # vertices have even numbers, the middles of sides odd ones
+        (ax, ay), (bx, by) = (vertex(f(k / 2).cast("bigint") % F.col("n")) for f in (F.floor, F.ceil))
+        return F.struct(((ax + bx) / 2).alias("x"), ((ay + by) / 2).alias("y"))
+
+    step = F.when(F.col("id") % 2 == 0, 1).otherwise(2)
+    points = F.transform(F.sequence(F.lit(0), 2 * F.col("n") - step, step), point)
+    shapes = rings.withColumn("points", points).withColumn("geom", F.array(F.array(F.concat("points", F.slice("points", 1, 1)))))
+    found = FP.add_rectangles(shapes, "geom")
+    return found.select("building_id", F.size("points").cast("bigint").alias("n_vertices"), F.round("long_edge", 3).alias("long_edge"), F.round("short_edge", 3).alias("short_edge"))
+
+
 @query(oracle("""
 SELECT building_id, CAST(pos AS INT) AS pos, round(cx + sx * w / 2 * cos(theta) - sy * d / 2 * sin(theta), 6) AS lon, round(cy + sx * w / 2 * sin(theta) + sy * d / 2 * cos(theta), 6) AS lat
 FROM buildings, (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1), (4, -1, -1)) AS s(pos, sx, sy)""", "buildings"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,13 @@ from catalog import views as V
 from catalog.cleaning_queries import _ATTIC, _FLAGS, _FLOORS, _draw
 from catalog.registry import query, r6
 from catalog.views import CONFIG, oracle
+from quoin.functions import geometry as G
 from quoin.functions.arrow import moved_geometry, moved_point
 from quoin.operators import comfort, distributions, ordering, results, specs
 from quoin.plans import preprocess as P
+from quoin.plans import refresh as R
 from quoin.plans.summary import summarise
+from quoin.session import shared_folder
 from quoin.sources import exports, runs
 
 # --- summaries ------------------------------------------------------------------------------
@@ -462,14 +466,7 @@ def _pipeline(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return P.preprocess(raw, V.stations(spark, sf), CONFIG, 3857, V.FIELDS, height_col="height", scenario="Baseline")
 
 
-@query(oracle("""SELECT c.building_id, 'Baseline' AS scenario, n_floors, height_m, wwr, basement, attic, basement_exposed_frac, round(w * d, 3) AS footprint_area, short_edge, long_edge, round(long_edge_angle, 6) AS long_edge_angle,
-  region || '/' || typology || '/' || age_bracket || '/' || income AS context, coalesce(c.weather_file, 'https://climate.onebuilding.org/' || s.path) AS weather_file,
-  coalesce(n.n_neighbors, 0) AS n_neighbors, coalesce(n.height_sum, 0.0) AS neighbor_height_sum
-FROM cleaned c JOIN closest s ON s.building_id = c.building_id
-LEFT JOIN (SELECT src, count(*) AS n_neighbors, sum(b_height) AS height_sum FROM apart GROUP BY 1) n ON n.src = c.building_id""", "closest", "apart"))
-def preprocessed_buildings(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole footprint pipeline, from polygons to records with neighbours and weather."""
-    df, _ = _pipeline(spark, sf)
+def _records(df: DataFrame) -> DataFrame:
     heights = F.aggregate("neighbors", F.lit(0.0), lambda s, n: s + n["height"])
     return df.select(
         "building_id", "scenario", "n_floors", "height_m", "wwr", "basement", "attic", "basement_exposed_frac",
@@ -478,6 +475,36 @@ def preprocessed_buildings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_RECORDS = ("""SELECT c.building_id, 'Baseline' AS scenario, n_floors, height_m, wwr, basement, attic, basement_exposed_frac, round(w * d, 3) AS footprint_area, short_edge, long_edge, round(long_edge_angle, 6) AS long_edge_angle,
+  region || '/' || typology || '/' || age_bracket || '/' || income AS context, coalesce(c.weather_file, 'https://climate.onebuilding.org/' || s.path) AS weather_file,
+  coalesce(n.n_neighbors, 0) AS n_neighbors, coalesce(n.height_sum, 0.0) AS neighbor_height_sum
+FROM cleaned c JOIN closest s ON s.building_id = c.building_id
+LEFT JOIN (SELECT src, count(*) AS n_neighbors, sum(b_height) AS height_sum FROM apart GROUP BY 1) n ON n.src = c.building_id""", "closest", "apart")
+
+
+@query(oracle(*_RECORDS))
+def preprocessed_buildings(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole footprint pipeline, from polygons to records with neighbours and weather."""
+    return _records(_pipeline(spark, sf)[0])
+
+
+_EDITED = """buildings AS (SELECT * REPLACE (CASE WHEN CAST(building_id AS INT) % 100 = 7 THEN cx + 15 ELSE cx END AS cx,
+  CASE WHEN CAST(building_id AS INT) % 100 = 8 THEN 9.5 ELSE height END AS height) FROM given WHERE CAST(building_id AS INT) % 100 <> 9)"""
+
+
+@query(oracle(*_RECORDS).replace("WITH buildings AS (", "WITH given AS (", 1).replace("shaped AS (", _EDITED + ",\nshaped AS (", 1))
+def refreshed_buildings(spark: SparkSession, sf: str) -> DataFrame:
+    """The pipeline after a change: of a hundred buildings each one moved, one got another height, one went and one came."""
+    place = F.col("building_id").cast("int") % 100
+    shape = F.array(F.array(G.rectangle_ring(*[F.col(c) for c in ("cx", "cy", "w", "d", "theta")])))
+    edited = V.buildings(spark, sf).where(place != 9).withColumns({"cx": F.when(place == 7, F.col("cx") + 15).otherwise(F.col("cx")), "height": F.when(place == 8, 9.5).otherwise(F.col("height"))})
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    for rows in (V.buildings(spark, sf).where(place != 11), edited):
+        rows = rows.withColumns({"geom": shape, "geom_type": F.lit("Polygon")}).drop("cx", "cy", "w", "d", "theta")
+        out = R.refresh(path, rows, V.stations(spark, sf), CONFIG, 3857, V.FIELDS, P.Columns(height="height"), inputs=(sf,), scenario="Baseline")
+    return _records(out.buildings)
+
+
 @query(oracle("""SELECT c.building_id, n_floors, height_m, round(w * d, 3) AS footprint_area, round(short_edge, 3) AS short_edge, round(long_edge, 3) AS long_edge,
   coalesce(c.weather_file, 'https://climate.onebuilding.org/' || s.path) AS weather_file, coalesce(n.n_neighbors, 0) AS n_neighbors
 FROM cleaned c JOIN closest s ON s.building_id = c.building_id

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,20 @@ def published_run(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("meter").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query(oracle("""SELECT CASE scenario WHEN 'Baseline' THEN 'v0.1.0' ELSE 'v0.2.0' END AS version, meter, count(*) AS n_rows, round(sum(value), 4) AS total
+FROM results GROUP BY 1, 2""", "results"))
+def published_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two publications of a run, and a third one that was never completed, read back version by version."""
+    base = _folder(spark)
+    for scenario in ("Baseline", "Retrofit"):
+        runs.publish(spark, base, "Town", {"Results": V.results(spark, sf).where(F.col("scenario") == scenario)})
+    V.results(spark, sf).write.parquet(f"{base}/Town/.staging-left/Results.pq")
+    versions = runs.published_versions(spark, base, "Town")
+    parts = [runs.load_published(spark, base, "Town", version=v).withColumn("version", F.lit(v)) for v in versions]
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy("version", "meter").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query(oracle("SELECT building_id, count(*) AS n, round(sum(temp_c), 4) AS total FROM hourly GROUP BY 1", "hourly"))
 def routed_hourly(spark: SparkSession, sf: str) -> DataFrame:
     """Configured hourly variables, written and handed back; what was written is read."""

@@ -19,98 +19,13 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quoin.functions import projection
+from quoin.functions import projection, rectangles
 from quoin.functions.projection import Numpy, transformer
 
 # Ship this module's code with the tasks, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(projection)
-
-# Rings up to this many vertices are solved together, by trying every vertex pair as a direction;
-# the flat side of the best rectangle lies on a hull edge, which is one of those pairs.
-_ALL_PAIRS_LIMIT = 12
-_WORK_LIMIT = 2_000_000
-
-
-def _best_rectangles(px: np.ndarray, py: np.ndarray, dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
-    """Corners (m, 8) of the smallest rectangle along any of the given directions.
-
-    px, py: (m, n) vertices relative to a local origin; dx, dy: (m, k) candidate directions.
-    """
-    length = np.hypot(dx, dy)
-    usable = length > 0
-    safe = np.where(usable, length, 1.0)
-    ux, uy = dx / safe, dy / safe
-    along = ux[:, :, None] * px[:, None, :] + uy[:, :, None] * py[:, None, :]
-    across = ux[:, :, None] * py[:, None, :] - uy[:, :, None] * px[:, None, :]
-    a0, a1 = along.min(axis=2), along.max(axis=2)
-    c0, c1 = across.min(axis=2), across.max(axis=2)
-    size = np.where(usable, (a1 - a0) * (c1 - c0), np.inf)
-    smallest = size.min(axis=1, keepdims=True)
-    # The first direction within rounding of the minimum, so noise does not pick among equals.
-    pick = np.argmax(size <= smallest + 1e-9 * np.maximum(1.0, np.abs(smallest)), axis=1)
-    rows = np.arange(len(px))
-    ux, uy = ux[rows, pick], uy[rows, pick]
-    a0, a1, c0, c1 = a0[rows, pick], a1[rows, pick], c0[rows, pick], c1[rows, pick]
-    corners = np.empty((len(px), 8))
-    for slot, (a, c) in enumerate(((a0, c0), (a1, c0), (a1, c1), (a0, c1))):
-        corners[:, 2 * slot] = a * ux - c * uy
-        corners[:, 2 * slot + 1] = a * uy + c * ux
-    corners[~np.isfinite(smallest[:, 0])] = np.nan
-    return corners
-
-
-def _convex_hull(points: np.ndarray) -> np.ndarray:
-    """Hull vertices in counter-clockwise order."""
-    points = np.unique(points, axis=0)
-    if len(points) < 3:
-        return points
-
-    def chain(sequence: np.ndarray) -> list:
-        kept: list = []
-        for p in sequence:
-            while len(kept) > 1:
-                a, b = kept[-2], kept[-1]
-                if (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) > 0:
-                    break
-                kept.pop()
-            kept.append(p)
-        return kept[:-1]
-
-    return np.array(chain(points) + chain(points[::-1]))
-
-
-def _corners(x: np.ndarray, y: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(rows, 8) corners of the minimum-area rectangle of each row's vertices; NaN where undefined."""
-    out = np.full((len(counts), 8), np.nan)
-    for n in np.unique(counts[counts > 1]):
-        members = np.flatnonzero(counts == n)
-        if n <= _ALL_PAIRS_LIMIT:
-            i, j = np.triu_indices(n, 1)
-            step = max(1, _WORK_LIMIT // (len(i) * n))
-            for k in range(0, len(members), step):
-                part = members[k : k + step]
-                index = starts[part][:, None] + np.arange(n)
-                px, py = x[index], y[index]
-                base = np.stack([px[:, 0], py[:, 0]], axis=1)
-                px, py = px - base[:, :1], py - base[:, 1:]
-                found = _best_rectangles(px, py, px[:, j] - px[:, i], py[:, j] - py[:, i])
-                out[part] = found + np.tile(base, 4)
-        else:
-            for row in members:
-                cut = slice(starts[row], starts[row] + n)
-                points = np.stack([x[cut], y[cut]], axis=1)
-                base = points[0].copy()
-                hull = _convex_hull(points - base)
-                if len(hull) < 2:
-                    continue
-                edges = np.roll(hull, -1, axis=0) - hull
-                found = _best_rectangles(
-                    hull[None, :, 0], hull[None, :, 1], edges[None, :, 0], edges[None, :, 1]
-                )
-                out[row] = found[0] + np.tile(base, 4)
-    return out
-
+cloudpickle.register_pickle_by_value(rectangles)
 
 class _Flat:
     """Vertices of a batch of geometries with the ring and row each belongs to."""
@@ -180,10 +95,7 @@ class _Flat:
         last = np.ones(len(self.ring), dtype=bool)
         last[:-1] = self.ring[1:] != self.ring[:-1]
         keep = shell & ~last
-        row = self.row[keep]
-        counts = np.bincount(row, minlength=self.rows)
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        return _corners(self.x[keep], self.y[keep], starts, counts)
+        return rectangles.corners(self.x[keep], self.y[keep], self.row[keep], self.rows)
 
 
 def _nullable(values: np.ndarray) -> pa.Array:

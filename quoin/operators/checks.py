@@ -6,9 +6,9 @@ reports everything; ``require_empty`` turns such a table into an error for stric
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,6 +144,39 @@ def field_violations(
     return bad.groupBy("v.field", "v.kind", "v.bad_value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def observed(df: DataFrame, fields: Sequence[FieldSpec]) -> tuple[DataFrame, Observation]:
+    """``df`` and what the next job over it counts by the way: rows, kept rows, rows without id, bad values.
+
+    ``df`` has building_id and drop_reason.  :func:`require_observed` reads the counts.
+    """
+    rules = [_field_rule(f, False) for f in fields if f.name in df.columns]
+    bad = [F.count(F.when(~rule, 1)) for rule in rules if rule is not None]
+    seen = Observation()
+    counts = {
+        "n_rows": F.count(F.lit(1)),
+        "n_kept": F.count(F.when(F.col("drop_reason").isNull(), 1)),
+        "n_missing": F.count(F.when(F.col("building_id").isNull(), 1)),
+        "n_bad": sum(bad, F.lit(0).cast("bigint")),
+    }
+    return df.observe(seen, *(c.alias(name) for name, c in counts.items())), seen
+
+
+def require_observed(counts: Mapping[str, int], assessed: DataFrame, fields: Sequence[FieldSpec]) -> None:
+    """Strict, eager: raise on an empty table, bad values, missing or repeated ids, or when no row is kept.
+
+    Only repeated ids need a look at the stored rows, at one column of them.
+    """
+    if not counts["n_rows"]:
+        raise ValidationError("the table has no rows")
+    if counts["n_bad"]:
+        require_empty(field_violations(assessed, fields))
+    if counts["n_missing"]:
+        raise ValidationError(f"{counts['n_missing']} rows have no building_id")
+    require_ids(assessed)
+    if not counts["n_kept"]:
+        raise ValidationError("every building was dropped")
+
+
 def id_report(df: DataFrame, id_col: str = "building_id") -> DataFrame:
     """One row: rows, missing ids, distinct ids, ids used more than once (compared as text)."""
     require_columns(df, (id_col,))

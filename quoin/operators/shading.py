@@ -147,7 +147,7 @@ def fence_polygons(
 ) -> DataFrame:
     """Quads of a fence around each building's centre: (building_id, bin, quad, floors).
 
-    ``centres`` has building_id, x, y.
+    ``centres`` has building_id, x, y.  Heights a hair below a whole number of floors count as that number.
     """
     ux, uy = F.cos("azimuth") * thickness, F.sin("azimuth") * thickness
     x0, y0 = F.col("x0") + F.col("x"), F.col("y0") + F.col("y")
@@ -160,5 +160,5 @@ def fence_polygons(
         vertex(x0, y0), vertex(x1, y1), vertex(x1 + ux, y1 + uy), vertex(x0 + ux, y0 + uy), vertex(x0, y0)
     )
     return fences.join(centres.select("building_id", "x", "y"), "building_id").select(
-        "building_id", "bin", quad.alias("quad"), F.floor(F.col("fence_height") / floor_height).alias("floors")
+        "building_id", "bin", quad.alias("quad"), F.floor(F.col("fence_height") / floor_height + _GRAZE).alias("floors")
     )

@@ -5,6 +5,11 @@ A run is a folder holding result tables named ``*.pq``; a table is a file or a f
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterable, Mapping
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,9 +120,12 @@ def next_versions(paths: DataFrame) -> DataFrame:
 def load_published(
     spark: SparkSession, base: str, run_name: str, table: str = "Results", version: str | None = None
 ) -> DataFrame:
-    """One table of a published run: the given version, else the latest that exists."""
+    """One table of a published run: the given version, else the latest that is whole."""
     listed = with_versions(tables_of(list_files(spark, f"{base.rstrip('/')}/{run_name}")).select(F.col("table_path").alias("path")))
     rows = listed.select("table", version_text(F.col("version")).alias("name"), "version", "path")
+    open_ones = unfinished_versions(spark, base, run_name)
+    if open_ones:  # the writers at work just now, and those that died
+        rows = rows.where(~F.col("name").isin(*open_ones))
     if version is not None:
         rows = rows.where(F.col("name") == "v" + version.removeprefix("v"))
     # The newest version first; inside it the wanted table must exist.
@@ -129,3 +137,91 @@ def load_published(
     if hit is None:
         raise ValidationError(f"table {table!r} not found in {run_name} {wanted}")
     return load_table(spark, hit["path"])
+
+
+# --- publishing -----------------------------------------------------------------------------
+
+# Names that listings of tables pass over: what is being written, claimed numbers, and the mark of a whole version.
+_STAGING, _CLAIMS, _DONE = ".staging-", "_claims", "_PUBLISHED"
+
+
+def _files(spark: SparkSession, path: str):
+    """(path, its file system) of the Hadoop layer."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder; none where it is missing."""
+    where, files = _files(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
+
+
+def _create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless it is there: of several writers at once, exactly one gets True.
+
+    Stores do this in one step; for the local file system only Java's own call does.
+    """
+    where, files = _files(spark, path)
+    files.mkdirs(where.getParent())
+    jvm = spark.sparkContext._jvm
+    try:
+        if files.getUri().getScheme() == "file":
+            jvm.java.nio.file.Files.createFile(jvm.java.io.File(where.toUri().getPath()).toPath(), spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+        else:
+            files.create(where, False).close()
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName() or files.exists(where):
+            return False
+        raise
+    return True
+
+
+def _numbers(names: Iterable[str]) -> list[tuple[int, int, int]]:
+    found = (re.fullmatch(r"v?(\d+)\.(\d+)\.(\d+)", n) for n in names)
+    return sorted(tuple(map(int, m.groups())) for m in found if m)
+
+
+def publish(spark: SparkSession, base: str, run_name: str, tables: Mapping[str, DataFrame], part: str = "minor") -> str:
+    """Write tables as the run's next version and return its name, such as ``v0.2.0``.
+
+    Everything is written to a staging folder first.  Then the writer claims the number after the highest one by
+    creating a file that must not exist yet; who loses takes the next number.  The staging folder moves to its
+    version's place and is marked as whole, so readers never see a part of it, whatever the file system does while
+    moving.  A writer that dies leaves a staging folder or an unused number behind, nothing else.
+    ``part`` says which number goes up; those behind it go back to zero.
+    """
+    if part not in ("major", "minor", "patch"):
+        raise ValidationError(f"unknown part {part!r} of a version")
+    root = f"{base.rstrip('/')}/{run_name}"
+    staging = f"{root}/{_STAGING}{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{staging}/{name}.pq")
+    place = ("major", "minor", "patch").index(part)
+    while True:
+        taken = _numbers([*_names(spark, root), *_names(spark, f"{root}/{_CLAIMS}")])
+        last = taken[-1] if taken else (0, 0, 0)
+        number = (*last[:place], last[place] + 1, *(0,) * (2 - place))
+        version = "v" + ".".join(map(str, number))
+        if _create_new(spark, f"{root}/{_CLAIMS}/{version}"):
+            break
+    source, files = _files(spark, staging)
+    target, _ = _files(spark, f"{root}/{version}")
+    if not files.rename(source, target):
+        raise ValidationError(f"could not move {staging} to {root}/{version}")
+    _create_new(spark, f"{root}/{version}/{_DONE}")
+    return version
+
+
+def unfinished_versions(spark: SparkSession, base: str, run_name: str) -> set[str]:
+    """Versions that ``publish`` has claimed and not completed; versions written otherwise count as whole."""
+    root = f"{base.rstrip('/')}/{run_name}"
+    return {v for v in _names(spark, f"{root}/{_CLAIMS}") if _DONE not in _names(spark, f"{root}/{v}")}
+
+
+def published_versions(spark: SparkSession, base: str, run_name: str) -> list[str]:
+    """Whole versions of a run, lowest first."""
+    root = f"{base.rstrip('/')}/{run_name}"
+    open_ones = unfinished_versions(spark, base, run_name)
+    names = [n for n in _names(spark, root) if _numbers([n]) and n not in open_ones]
+    return sorted(names, key=lambda n: _numbers([n])[0])

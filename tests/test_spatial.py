@@ -253,3 +253,44 @@ def test_utm_plans_are_short(spark):
     df, _ = city(spark, 1)
     plan = assess(df, PreprocessConfig(metric_srid=32631), 4326, Columns(id="osm", height="tall"))._jdf.queryExecution().executedPlan().toString()
     assert "atanh" not in plan.lower()
+
+
+def test_rectangles_of_many_rows_at_once():
+    """One batch of rings of 1 to 61 vertices, collinear and repeated points, ties: equal to all pairs of vertices."""
+    from quoin.functions.rectangles import corners
+
+    rng, rows = np.random.default_rng(5), []
+    for k in range(240):
+        n = int(rng.integers(1, 62 if k % 3 else 7))
+        points = rng.normal(size=(n, 2)) * [20, 7] + [5e5, 2e5]
+        if k % 4 == 0:
+            points = np.round(points)
+        if k % 7 == 0:  # regular: many rectangles of the same area
+            turn = np.linspace(0, 2 * np.pi, n, endpoint=False) + 0.1 * k
+            points = np.stack([np.cos(turn), np.sin(turn)], 1) * 10 + [5e5, 2e5]
+        if k % 2:
+            points = np.stack([points, (points + np.roll(points, -1, 0)) / 2], 1).reshape(-1, 2)
+        rows.append(points)
+    rows.append(np.array([[0.0, 0.0], [1.0, np.nan], [1.0, 1.0]]))
+    x, y = np.concatenate(rows).T
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    found = corners(x, y, row, len(rows) + 1).reshape(-1, 4, 2)
+    assert np.isnan(found[-2:]).all()  # not finite, and a row without vertices
+    for points, got in zip(rows[:-1], found, strict=False):
+        p = points - points[0]
+        i, j = np.triu_indices(len(p), 1)
+        d = p[j] - p[i]
+        length = np.hypot(*d.T)
+        u = d[length > 0] / length[length > 0, None]
+        if not len(u):
+            assert np.isnan(got).all()
+            continue
+        along, across = u @ p.T, np.stack([-u[:, 1], u[:, 0]], 1) @ p.T
+        e = np.stack([np.ptp(along, 1), np.ptp(across, 1)], 1)
+        area = e.prod(1)
+        same = area <= area.min() + 1e-7 * max(1, area.min())
+        sides = sorted(np.hypot(*(got[[1, 3]] - got[0]).T))
+        assert sides[0] * sides[1] == pytest.approx(area.min(), abs=1e-6, rel=1e-9)
+        assert sides[1] == pytest.approx(e[same].max(), abs=1e-6)
+        if sides[0] > 1e-6:
+            assert -1e-9 <= math.atan2(*(got[1] - got[0])[::-1]) < math.pi / 2

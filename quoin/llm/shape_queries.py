@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,8 +74,8 @@ FROM last l JOIN mid3 m ON m.c = l.c
 def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
     """Cluster of every embedding after three rounds from 16 centroids."""
     rows, centroids = clusters(table(spark, folder, "embeddings"))
-    total = centroids.agg(F.sum("inertia").alias("inertia"))
-    ends = centroids.select("cluster", F.col("inertia").alias("cluster_inertia"), F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
-    return rows.join(F.broadcast(ends), "cluster").join(F.broadcast(total)).select(  # 16 rows and one
-        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
-    )
+    found = centroids.collect()  # one row for each of 16 centroids
+    total = sum(r["inertia"] for r in found)
+    digest = lambda v: hashlib.sha256(",".join(map(str, v)).encode()).hexdigest()
+    ends = spark.createDataFrame([(r["cluster"], r["inertia"], total, digest(r["centroid"])) for r in found], "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
+    return rows.join(F.broadcast(ends), "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

@@ -16,6 +16,7 @@ from quoin.functions.arrow import area, geometry_from_wkb, geometry_to_wkb, meas
 from quoin.functions.projection import transformer
 from quoin.operators import footprints as FP
 from quoin.operators import neighbors, shading
+from quoin.plans.features import shaded_feature_table
 from quoin.sources.footprints import parse_features, wkb_type
 from quoin.sources.locations import locations
 
@@ -362,3 +363,16 @@ def fence_polygons(spark: SparkSession, sf: str) -> DataFrame:
         F.round(corner[0]["x"], 4).alias("x2"), F.round(corner[0]["y"], 4).alias("y2"),
         F.round(corner[1]["x"], 4).alias("x3"), F.round(corner[1]["y"], 4).alias("y3"),
     )
+
+
+_BINS = ", ".join(f"max(CASE WHEN bin = {k} THEN round(elevation, 6) END) AS \"feature.geometry.shading_mask_{k:02d}\"" for k in range(48))
+
+
+@query(_mask_oracle(f"""SELECT c.building_id, any_value(long_edge) AS "feature.geometry.long_edge", CAST(any_value(n_floors) AS INT) AS "feature.geometry.num_floors",
+  any_value(typology) AS "feature.semantic.Typology", {_BINS} FROM cleaned c JOIN mask m ON m.building_id = c.building_id GROUP BY 1"""))
+def shaded_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature records with their 48 shading columns, from cleaned buildings in one plan."""
+    df = shaded_feature_table(V.stored(spark, sf), CONFIG, {"Typology": "typology"})
+    plain = ["feature.geometry.long_edge", "feature.geometry.num_floors", "feature.semantic.Typology"]
+    masks = [c for c in df.columns if "shading_mask" in c]
+    return df.select("building_id", *(F.col(f"`{c}`") for c in plain), *(r6(F.col(f"`{c}`"), c) for c in masks))

@@ -18,7 +18,7 @@ from quoin.operators import comfort, distributions, ordering, results, specs
 from quoin.plans import preprocess as P
 from quoin.plans import refresh as R
 from quoin.plans.summary import summarise
-from quoin.session import shared_folder
+from quoin.session import durable, shared_folder
 from quoin.sources import exports, runs
 
 # --- summaries ------------------------------------------------------------------------------
@@ -130,18 +130,18 @@ def metric_custom_column(spark: SparkSession, sf: str) -> DataFrame:
 # --- distributions --------------------------------------------------------------------------
 
 
-@query(oracle("""SELECT count(eui) AS count, round(avg(eui), 6) AS mean, round(quantile_cont(eui, 0.5), 6) AS median, min(eui) AS min, max(eui) AS max
-FROM eui WHERE isfinite(eui)""", "eui"))
+@query(oracle("""SELECT scenario, count(eui) AS count, round(avg(eui), 6) AS mean, round(quantile_cont(eui, 0.5), 6) AS median, min(eui) AS min, max(eui) AS max
+FROM eui WHERE isfinite(eui) GROUP BY scenario""", "eui"))
 def descriptive_summary(spark: SparkSession, sf: str) -> DataFrame:
-    df = distributions.describe(V.eui(spark, sf), "eui")
-    return df.select("count", r6("mean"), r6("median"), "min", "max")
+    df = distributions.describe(V.eui(spark, sf), "eui", ["scenario"])
+    return df.select("scenario", "count", r6("mean"), r6("median"), "min", "max")
 
 
-@query(oracle("""SELECT round(quantile_cont(value, 0.05), 6) AS q0, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.333), 6) AS q2,
-  round(quantile_cont(value, 0.95), 6) AS q3, quantile_cont(value, 0.0) AS q4, quantile_cont(value, 1.0) AS q5 FROM results""", "results"))
+@query(oracle("""SELECT scenario, meter, round(quantile_cont(value, 0.05), 6) AS q0, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.333), 6) AS q2,
+  round(quantile_cont(value, 0.95), 6) AS q3, quantile_cont(value, 0.0) AS q4, quantile_cont(value, 1.0) AS q5 FROM results GROUP BY scenario, meter""", "results"))
 def exact_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    df = distributions.quantiles(V.results(spark, sf).select("value"), [0.05, 0.25, 0.333, 0.95, 0.0, 1.0])
-    return df.select(*[r6(f"q{i}") for i in range(6)])
+    df = distributions.quantiles(V.results(spark, sf).select("scenario", "meter", "value"), [0.05, 0.25, 0.333, 0.95, 0.0, 1.0], ["scenario", "meter"])
+    return df.select("scenario", "meter", *[r6(f"q{i}") for i in range(6)])
 
 
 # d3-style axis: round the range to ten ticks until stable, then 25 ticks inside.
@@ -153,37 +153,38 @@ def _step(span: str, count: int) -> str:
     return "(" + _STEP.format(l=f"(({span}) / {count} / pow(10, {power}))", p=power) + ")"
 
 
-_AXIS = f"""a0 AS (SELECT min(eui) AS lo, max(eui) AS hi FROM eui),
-a1 AS (SELECT floor(lo / {_step('hi - lo', 10)}) * {_step('hi - lo', 10)} AS lo, ceil(hi / {_step('hi - lo', 10)}) * {_step('hi - lo', 10)} AS hi FROM a0),
-axis AS (SELECT floor(lo / {_step('hi - lo', 10)}) * {_step('hi - lo', 10)} AS lo, ceil(hi / {_step('hi - lo', 10)}) * {_step('hi - lo', 10)} AS hi FROM a1)"""
+_AXIS = f"""a0 AS (SELECT scenario, min(eui) AS lo, max(eui) AS hi FROM eui GROUP BY scenario),
+a1 AS (SELECT scenario, floor(lo / {_step('hi - lo', 10)}) * {_step('hi - lo', 10)} AS lo, ceil(hi / {_step('hi - lo', 10)}) * {_step('hi - lo', 10)} AS hi FROM a0),
+axis AS (SELECT scenario, floor(lo / {_step('hi - lo', 10)}) * {_step('hi - lo', 10)} AS lo, ceil(hi / {_step('hi - lo', 10)}) * {_step('hi - lo', 10)} AS hi FROM a1)"""
 
 
 def _axis_oracle(body: str) -> str:
-    return oracle("", "eui").rstrip() + ",\n" + _AXIS + "\n" + body
+    return oracle("", "eui").rstrip() + ",\n" + _AXIS + body
 
 
-@query(_axis_oracle(f"""
-, cuts AS (SELECT lo, hi, {_step('hi - lo', 25)} AS step FROM axis),
-ticks AS (SELECT unnest(range(CAST(floor(lo / step) AS BIGINT) + 1, CAST(ceil(hi / step) AS BIGINT))) * step AS t FROM cuts),
-edges AS (SELECT t FROM ticks UNION ALL SELECT lo FROM cuts),
-bins AS (SELECT row_number() OVER (ORDER BY t) - 1 AS bin, t AS x0, coalesce(lead(t) OVER (ORDER BY t), (SELECT hi FROM cuts)) AS x1 FROM edges)
-SELECT bin, round(x0, 6) AS x0, round(x1, 6) AS x1, count(eui) AS n FROM bins LEFT JOIN eui ON eui >= x0 AND (eui < x1 OR (x1 = (SELECT hi FROM cuts) AND eui = x1)) GROUP BY 1, 2, 3""".replace("\n, cuts", ", cuts", 1)))
+@query(_axis_oracle(f""", cuts AS (SELECT scenario, lo, hi, {_step('hi - lo', 25)} AS step FROM axis),
+ticks AS (SELECT scenario, unnest(range(CAST(floor(lo / step) AS BIGINT) + 1, CAST(ceil(hi / step) AS BIGINT))) * step AS t FROM cuts),
+edges AS (SELECT scenario, t FROM ticks UNION ALL SELECT scenario, lo FROM cuts),
+bins AS (SELECT e.scenario, row_number() OVER w - 1 AS bin, t AS x0, coalesce(lead(t) OVER w, hi) AS x1, hi FROM edges e JOIN cuts c ON c.scenario = e.scenario WINDOW w AS (PARTITION BY e.scenario ORDER BY t))
+SELECT b.scenario, bin, round(x0, 6) AS x0, round(x1, 6) AS x1, count(eui) AS n FROM bins b
+LEFT JOIN eui u ON u.scenario = b.scenario AND eui >= x0 AND (eui < x1 OR (x1 = hi AND eui = x1)) GROUP BY 1, 2, 3, 4"""))
 def eui_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    df = distributions.histogram(V.eui(spark, sf), "eui")
-    return df.select("bin", r6("x0"), r6("x1"), "n")
+    df = distributions.histogram(durable(V.eui(spark, sf)), "eui", keys=["scenario"])
+    return df.select("scenario", "bin", r6("x0"), r6("x1"), "n")
 
 
-@query(_axis_oracle(""", grid AS (SELECT CAST(s AS INT) AS step, lo + s * (hi - lo) / 200 AS x, (hi - lo) / 40 AS h FROM axis, (SELECT unnest(range(200)) AS s))
-SELECT step, round(x, 6) AS x, round(sum(exp(-0.5 * ((x - eui) / h) * ((x - eui) / h))) / sqrt(2 * pi()) / (count(*) * max(h)), 9) AS density FROM grid, eui GROUP BY 1, 2"""))
+@query(_axis_oracle(""", grid AS (SELECT scenario, CAST(s AS INT) AS step, lo + s * (hi - lo) / 200 AS x, (hi - lo) / 40 AS h FROM axis, (SELECT unnest(range(200)) AS s))
+SELECT g.scenario, step, round(x, 6) AS x, round(sum(exp(-0.5 * ((x - eui) / h) * ((x - eui) / h))) / sqrt(2 * pi()) / (count(*) * max(h)), 9) AS density
+FROM grid g JOIN eui u ON u.scenario = g.scenario GROUP BY 1, 2, 3"""))
 def eui_density(spark: SparkSession, sf: str) -> DataFrame:
-    df = distributions.kernel_density(V.eui(spark, sf), "eui")
-    return df.select("step", r6("x"), F.round("density", 9).alias("density"))
+    df = distributions.kernel_density(durable(V.eui(spark, sf)), "eui", keys=["scenario"])
+    return df.select("scenario", "step", r6("x"), F.round("density", 9).alias("density"))
 
 
-@query(oracle("SELECT typology AS category, round(avg(eui), 6) AS mean FROM eui JOIN buildings USING (building_id) GROUP BY 1", "eui", "buildings"))
+@query(oracle("SELECT scenario, typology AS category, round(avg(eui), 6) AS mean FROM eui JOIN buildings USING (building_id) GROUP BY 1, 2", "eui", "buildings"))
 def category_means(spark: SparkSession, sf: str) -> DataFrame:
     df = V.eui(spark, sf).join(V.buildings(spark, sf).select("building_id", "typology"), "building_id")
-    return distributions.category_means(df, "eui", "typology").select("category", r6("mean"))
+    return distributions.category_means(df, "eui", "typology", ["scenario"]).select("scenario", "category", r6("mean"))
 
 
 def _placed_eui(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,19 +192,19 @@ def _placed_eui(spark: SparkSession, sf: str) -> DataFrame:
     return V.eui(spark, sf).join(places, "building_id")
 
 
-_PLACED = "SELECT building_id, scenario, eui, cx, cy FROM eui JOIN buildings USING (building_id) WHERE wwr IS NOT NULL"
+_PLACED = "placed AS (SELECT building_id, scenario, eui, cx, cy FROM eui JOIN buildings USING (building_id) WHERE wwr IS NOT NULL)"
 
 
-@query(oracle(f"""SELECT building_id, scenario, round(least(greatest(eui, (SELECT quantile_cont(eui, 0.05) FROM ({_PLACED}))), (SELECT quantile_cont(eui, 0.95) FROM ({_PLACED})))
-  - (SELECT quantile_cont(eui, 0.05) FROM ({_PLACED})) + 1, 6) AS display_height FROM ({_PLACED})""", "eui", "buildings"))
+@query(oracle("", "eui", "buildings").rstrip() + f""", {_PLACED}, cut AS (SELECT scenario, quantile_cont(eui, 0.05) AS low, quantile_cont(eui, 0.95) AS high FROM placed GROUP BY scenario)
+SELECT building_id, p.scenario, round(least(greatest(eui, low), high) - low + 1, 6) AS display_height FROM placed p JOIN cut c ON c.scenario = p.scenario""")
 def clipped_display_heights(spark: SparkSession, sf: str) -> DataFrame:
-    return distributions.clipped_heights(_placed_eui(spark, sf), "eui").select("building_id", "scenario", r6("display_height"))
+    return distributions.clipped_heights(_placed_eui(spark, sf), "eui", keys=["scenario"]).select("building_id", "scenario", r6("display_height"))
 
 
-@query(oracle(f"SELECT round(avg(cy), 6) AS center_lat, round(avg(cx), 6) AS center_lon FROM ({_PLACED})", "eui", "buildings"))
+@query(oracle("", "eui", "buildings").rstrip() + f", {_PLACED} SELECT scenario, round(avg(cy), 6) AS center_lat, round(avg(cx), 6) AS center_lon FROM placed GROUP BY scenario")
 def map_view_center(spark: SparkSession, sf: str) -> DataFrame:
-    df = distributions.view_center(_placed_eui(spark, sf), "eui")
-    return df.select(r6("center_lat"), r6("center_lon"))
+    df = distributions.view_center(_placed_eui(spark, sf), "eui", ["scenario"])
+    return df.select("scenario", r6("center_lat"), r6("center_lon"))
 
 
 @query(oracle("""SELECT * FROM (SELECT 'region' AS "column", count(DISTINCT region) AS n_distinct FROM buildings UNION ALL SELECT 'typology', count(DISTINCT typology) FROM buildings
@@ -409,14 +410,15 @@ def hourly_series(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("building_id", "grp", "meter", "year", "n", F.col("first_ts").cast("timestamp").alias("first_ts"), text.alias("series"))
 
 
-# All steps of the first day.
-_STEPS = [f"2024-01-01 {hour:02d}:00" for hour in range(24)]
-_HOURS = ", ".join(f"max(CASE WHEN ts = TIMESTAMP '{step}:00' THEN temp_c END) AS \"{step}\"" for step in _STEPS)
+_HOURS = ", ".join(f"max(CASE WHEN hour(ts) = {h} THEN temp_c END) AS \"{h:02d}:00\"" for h in range(24))
 
 
-@query(oracle(f"SELECT building_id, zone AS grp, 'Zone Mean Air Temperature' AS meter, {_HOURS} FROM hourly GROUP BY 1, 2, 3", "hourly"))
+@query(oracle(f"""SELECT building_id, zone AS grp, 'Zone Mean Air Temperature' AS meter, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, {_HOURS}
+FROM hourly GROUP BY 1, 2, 3, 4""", "hourly"))
 def hourly_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return comfort.hourly_wide(_metered(spark, sf), _STEPS)
+    """Every hour of the table in 24 columns, a row for each day."""
+    wide = comfort.day_columns(comfort.hourly_days(_metered(spark, sf)))
+    return wide.withColumn("day", F.col("day").cast("string"))
 
 
 @query(oracle("""SELECT h.building_id, b.region, b.typology, h.zone, count(CASE WHEN temp_c > 26 THEN 1 END) AS hours_above

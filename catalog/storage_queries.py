@@ -7,17 +7,20 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog import views as V
 from catalog.registry import query
 from catalog.result_queries import _pipeline
 from catalog.views import CONFIG, oracle
 from quoin.config import HourlyConfig
+from quoin.functions import geometry as G
 from quoin.functions.arrow import area
 from quoin.operators import checks, specs
 from quoin.plans.submission import submission
+from quoin.schema import FieldSpec
 from quoin.session import shared_folder
-from quoin.sources import exports, footprints, runs
+from quoin.sources import exports, footprints, geoparquet, runs
 
 
 def _folder(spark: SparkSession) -> str:
@@ -34,6 +37,34 @@ def written_buildings(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("building_id", F.lit(footprints.srid_of(df)).cast("int").alias("srid"), F.round(area(F.col("geom")), 3).alias("area"))
 
 
+@query(oracle("SELECT building_id, 'Polygon' AS geom_type, round(w * d, 3) AS area FROM buildings", "buildings"))
+def collection_footprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Footprints written as one FeatureCollection, read by as many tasks as the file has blocks."""
+    rows = V.footprints(spark, sf).select(
+        F.lit(1).alias("at"),
+        F.concat(F.lit(',{"properties":{"building_id":"'), "building_id", F.lit('","note":"}{\\\\\\""},"geometry":'), G.geometry_to_geojson(F.col("geom")), F.lit(',"type":"Feature"}')).alias("value"),
+    )
+    ends = spark.createDataFrame([(0, '{"type":"FeatureCollection","features":[{"type":"Nothing"}'), (2, "]}")], "at int, value string")
+    path = _folder(spark)
+    rows.union(ends).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)  # a file has one writer
+    df = footprints.read_geojson(spark, path, T.StructType([T.StructField("building_id", T.StringType())]))
+    return df.select("building_id", "geom_type", F.round(area(F.col("geom")), 3).alias("area"))
+
+
+_WINDOW = (500200.0, 200100.0, 500900.0, 200800.0)
+
+
+@query(oracle(f"""SELECT building_id, CAST(3857 AS INTEGER) AS srid, round(w * d, 3) AS area FROM (
+  SELECT *, (w * abs(cos(theta)) + d * abs(sin(theta))) / 2 AS hx, (w * abs(sin(theta)) + d * abs(cos(theta))) / 2 AS hy FROM buildings)
+WHERE cx - hx <= {_WINDOW[2]} AND cx + hx >= {_WINDOW[0]} AND cy - hy <= {_WINDOW[3]} AND cy + hy >= {_WINDOW[1]}""", "buildings"))
+def geoparquet_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Footprints written as GeoParquet along a curve; those whose boxes meet a window, other row groups skipped."""
+    path = _folder(spark)
+    geoparquet.write_geoparquet(footprints.keep_srid(V.footprints(spark, sf).select("building_id", "geom"), 3857), path, group_rows=4096)
+    df = geoparquet.window(spark, path, *_WINDOW, srid=geoparquet.srid_of_files(path))
+    return df.select("building_id", F.lit(footprints.srid_of(df)).cast("int").alias("srid"), F.round(area(F.col("geom")), 3).alias("area"))
+
+
 @query(oracle("SELECT building_id, scenario, measurement, aggregation, meter, month, value FROM results", "results"))
 def loaded_run(spark: SparkSession, sf: str) -> DataFrame:
     """A run stored next to another table and found by its id."""
@@ -81,41 +112,20 @@ def routed_hourly(spark: SparkSession, sf: str) -> DataFrame:
 FROM (SELECT DISTINCT region AS r FROM buildings) , (SELECT DISTINCT typology AS t FROM buildings), (SELECT DISTINCT age_bracket AS a FROM buildings), (SELECT DISTINCT income AS i FROM buildings)""", "buildings"))
 def grid_of_specs(spark: SparkSession, sf: str) -> DataFrame:
     """Dry-run specs on the grid of the values that occur in the buildings."""
-    from quoin.schema import FieldSpec
-
     seen = V.buildings(spark, sf).agg(*(F.sort_array(F.collect_set(n)).alias(n) for n in V.FIELD_NAMES)).first()  # bounded by the fields' domains
     df = specs.grid_specs(spark, [FieldSpec(n, tuple(seen[n])) for n in V.FIELD_NAMES], CONFIG, "city.zip")
     return df.select(F.substring("building_id", 8, 20).cast("bigint").alias("grid_index"), F.concat_ws("/", "context.*").alias("context"))
 
 
-@query(oracle("""SELECT 'rows' AS "check", count(*) > 0 AS passed FROM buildings UNION ALL
-SELECT 'no rows', count(*) > 0 FROM buildings WHERE building_id IS NULL UNION ALL
-SELECT 'height is a number', typeof(any_value(height)) = 'DOUBLE' FROM buildings UNION ALL
-SELECT 'typology is a number', typeof(any_value(typology)) = 'DOUBLE' FROM buildings UNION ALL
-SELECT 'system of degrees', true UNION ALL SELECT 'no system', false UNION ALL SELECT 'another zone', false UNION ALL
-SELECT 'results', true UNION ALL SELECT 'buildings are no results', false""", "buildings"))
+@query(oracle("""SELECT region, count(*) AS n_rows, count(CASE WHEN reason IS NULL THEN 1 END) AS n_kept, count(CASE WHEN building_id IS NULL THEN 1 END) AS n_missing,
+  count(CASE WHEN typology NOT IN ('Office', 'School') THEN 1 END) + count(CASE WHEN NOT coalesce(basement_exposed_frac BETWEEN 0.2 AND 0.8, false) THEN 1 END) AS n_bad
+FROM (SELECT *, CASE WHEN NOT (height_m BETWEEN 3 AND 300 AND n_floors BETWEEN 1 AND 125) THEN 'x' WHEN NOT wwr BETWEEN 0 AND 1 THEN 'x' WHEN basement = 'cellar' THEN 'x' END AS reason FROM imputed)
+GROUP BY region""", "imputed"))
 def check_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """What the checks that stop a job say about the given tables."""
-    df = V.buildings(spark, sf)
-
-    def passes(check) -> bool:
-        try:
-            return check() is not False
-        except checks.ValidationError:
-            return False
-
-    outcomes = {
-        "rows": lambda: checks.require_rows(df),
-        "no rows": lambda: checks.require_rows(df.where("building_id is null")),
-        "height is a number": lambda: checks.require_numeric(df, "height"),
-        "typology is a number": lambda: checks.require_numeric(df, "typology"),
-        "system of degrees": lambda: checks.require_srid(4326, 3857),
-        "no system": lambda: checks.require_srid(None, 3857),
-        "another zone": lambda: checks.require_srid(32633, 32631),
-        "results": lambda: checks.is_results_format(V.results(spark, sf)),
-        "buildings are no results": lambda: checks.is_results_format(df),
-    }
-    return spark.createDataFrame([(name, passes(check)) for name, check in outcomes.items()], "check string, passed boolean")
+    """What the strict checks count over whole tables, here for each region and with fields that many rows break."""
+    fields = (FieldSpec("typology", ("Office", "School")), FieldSpec("basement_exposed_frac", minimum=0.2, maximum=0.8))
+    df = V.assessed(spark, sf)
+    return df.groupBy("region").agg(*checks.outcome_counts(df, fields))
 
 
 @query(oracle("""SELECT building_id, CAST(floor(pos / per) AS BIGINT) AS batch_id FROM (

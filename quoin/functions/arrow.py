@@ -9,7 +9,6 @@ with numpy over the flat vertex arrays of an Arrow batch.
 from __future__ import annotations
 
 import copy
-import struct
 import sys
 
 import numpy as np
@@ -19,13 +18,14 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quoin.functions import projection, rectangles
+from quoin.functions import projection, rectangles, wkb
 from quoin.functions.projection import Numpy, transformer
 
 # Ship this module's code with the tasks, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(projection)
 cloudpickle.register_pickle_by_value(rectangles)
+cloudpickle.register_pickle_by_value(wkb)
 
 class _Flat:
     """Vertices of a batch of geometries with the ring and row each belongs to."""
@@ -201,80 +201,9 @@ def corners_to_points(corners: Column) -> Column:
 
 # --- well-known binary ----------------------------------------------------------------------
 
-# Geometry type codes of well-known binary.
-_WKB_POLYGON, _WKB_MULTIPOLYGON = 3, 6
-
-
-def _read_wkb(blob: bytes) -> list | None:
-    """Polygons as nested lists of {x, y}; None for any other geometry type."""
-    at = 0
-
-    def header() -> tuple[str, int, int]:
-        nonlocal at
-        order = "<" if blob[at] == 1 else ">"
-        (code,) = struct.unpack_from(order + "I", blob, at + 1)
-        at += 5
-        dims = 2 + bool(code & 0x80000000) + bool(code & 0x40000000)
-        if code & 0x20000000:  # an embedded srid follows
-            at += 4
-        code &= 0x0FFFFFFF
-        dims += {0: 0, 1: 1, 2: 1, 3: 2}.get(code // 1000, 0)
-        return order, code % 1000, dims
-
-    def polygon(order: str, dims: int) -> list:
-        nonlocal at
-        (rings,) = struct.unpack_from(order + "I", blob, at)
-        at += 4
-        out = []
-        for _ in range(rings):
-            (n,) = struct.unpack_from(order + "I", blob, at)
-            at += 4
-            values = np.frombuffer(blob, order + "f8", n * dims, at).reshape(n, dims)
-            at += 8 * n * dims
-            out.append([{"x": float(v[0]), "y": float(v[1])} for v in values])
-        return out
-
-    order, code, dims = header()
-    if code == _WKB_POLYGON:
-        return [polygon(order, dims)]
-    if code != _WKB_MULTIPOLYGON:
-        return None
-    (parts,) = struct.unpack_from(order + "I", blob, at)
-    at += 4
-    out = []
-    for _ in range(parts):
-        order, _, dims = header()
-        out.append(polygon(order, dims))
-    return out
-
-
-def _write_wkb(geom: list) -> bytes:
-    def polygon(poly: list) -> bytes:
-        body = [struct.pack("<BII", 1, _WKB_POLYGON, len(poly))]
-        for ring in poly:
-            body.append(struct.pack("<I", len(ring)))
-            body.append(np.array([(p["x"], p["y"]) for p in ring], dtype="<f8").tobytes())
-        return b"".join(body)
-
-    if len(geom) == 1:
-        return polygon(geom[0])
-    return struct.pack("<BII", 1, _WKB_MULTIPOLYGON, len(geom)) + b"".join(map(polygon, geom))
-
-
-_GEOM_ARROW = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
-
-
-def _decode_batch(blobs: pa.Array) -> pa.Array:
-    return pa.array([None if b is None else _read_wkb(b) for b in blobs.to_pylist()], _GEOM_ARROW)
-
-
-def _encode_batch(geoms: pa.Array) -> pa.Array:
-    return pa.array([None if g is None else _write_wkb(g) for g in geoms.to_pylist()], pa.binary())
-
-
 def geometry_from_wkb(blob: Column) -> Column:
-    return F.arrow_udf(_decode_batch, "array<array<array<struct<x:double,y:double>>>>")(blob)
+    return F.arrow_udf(lambda blobs: wkb.decode(blobs), "array<array<array<struct<x:double,y:double>>>>")(blob)
 
 
 def geometry_to_wkb(geom: Column) -> Column:
-    return F.arrow_udf(_encode_batch, "binary")(geom)
+    return F.arrow_udf(lambda geoms: wkb.encode(geoms), "binary")(geom)

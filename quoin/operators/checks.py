@@ -144,21 +144,23 @@ def field_violations(
     return bad.groupBy("v.field", "v.kind", "v.bad_value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def observed(df: DataFrame, fields: Sequence[FieldSpec]) -> tuple[DataFrame, Observation]:
-    """``df`` and what the next job over it counts by the way: rows, kept rows, rows without id, bad values.
-
-    ``df`` has building_id and drop_reason.  :func:`require_observed` reads the counts.
-    """
+def outcome_counts(df: DataFrame, fields: Sequence[FieldSpec]) -> list[Column]:
+    """Counts over rows with building_id and drop_reason: n_rows, n_kept, n_missing (no id), n_bad (values)."""
     rules = [_field_rule(f, False) for f in fields if f.name in df.columns]
     bad = [F.count(F.when(~rule, 1)) for rule in rules if rule is not None]
-    seen = Observation()
     counts = {
         "n_rows": F.count(F.lit(1)),
         "n_kept": F.count(F.when(F.col("drop_reason").isNull(), 1)),
         "n_missing": F.count(F.when(F.col("building_id").isNull(), 1)),
         "n_bad": sum(bad, F.lit(0).cast("bigint")),
     }
-    return df.observe(seen, *(c.alias(name) for name, c in counts.items())), seen
+    return [c.alias(name) for name, c in counts.items()]
+
+
+def observed(df: DataFrame, fields: Sequence[FieldSpec]) -> tuple[DataFrame, Observation]:
+    """``df`` and its ``outcome_counts``, which the next job over it counts by the way, for :func:`require_observed`."""
+    seen = Observation()
+    return df.observe(seen, *outcome_counts(df, fields)), seen
 
 
 def require_observed(counts: Mapping[str, int], assessed: DataFrame, fields: Sequence[FieldSpec]) -> None:

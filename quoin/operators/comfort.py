@@ -135,7 +135,42 @@ def hourly_series(hourly: DataFrame, value_col: str = "value") -> DataFrame:
     )
 
 
+def _only(value_col: str) -> Column:
+    """The value of a cell; two values for one cell stop the job."""
+    clash = F.raise_error(F.lit("two values for one step: a key is missing")).cast("double")
+    return F.when(F.count(value_col) > 1, clash).otherwise(F.max(value_col))
+
+
 def hourly_wide(hourly: DataFrame, timesteps: Sequence[str], value_col: str = "value") -> DataFrame:
-    """One row per (building, group, meter), one column per listed timestep (yyyy-MM-dd HH:mm)."""
+    """One row per (building, group, meter), one column per listed timestep (yyyy-MM-dd HH:mm).
+
+    Two values for one step stop the job; for whole records see :func:`hourly_days`.
+    """
     named = hourly.withColumn("_step", F.date_format("ts", "yyyy-MM-dd HH:mm"))
-    return named.groupBy("building_id", "grp", "meter").pivot("_step", list(timesteps)).agg(F.first(value_col))
+    return named.groupBy("building_id", "grp", "meter").pivot("_step", list(timesteps)).agg(_only(value_col))
+
+
+def hourly_days(hourly: DataFrame, value_col: str = "value", steps_per_hour: int = 1) -> DataFrame:
+    """One row per (building, group, meter, day) with ``n`` and ``values``: a slot for every step of the day.
+
+    A value goes to the slot of its time of day, slots without a value are NULL, and two values for one slot stop the
+    job.  Slots form in the map tasks: a task shuffles one row of fixed length per day however its rows lie, and no
+    list grows with the length of a record or the fineness of its steps.
+    """
+    slots = 24 * steps_per_hour
+    seconds = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    placed = hourly.select(
+        "building_id", "grp", "meter", F.to_date("ts").alias("day"), F.floor(seconds * steps_per_hour / 3600).cast("int").alias("slot"), F.col(value_col).alias("v")
+    ).where(F.col("v").isNotNull())
+    taken = F.collect_set("slot")  # at most ``slots`` numbers
+    days = placed.groupBy("building_id", "grp", "meter", "day").agg(
+        F.count(F.lit(1)).alias("n"), F.size(taken).alias("_taken"), F.array(*(F.max(F.when(F.col("slot") == k, F.col("v"))) for k in range(slots))).alias("values")
+    )
+    clash = F.raise_error(F.lit("two values for one step: a key is missing")).cast("bigint")
+    return days.select("building_id", "grp", "meter", "day", F.when(F.col("n") > F.col("_taken"), clash).otherwise(F.col("n")).alias("n"), "values")
+
+
+def day_columns(days: DataFrame, steps_per_hour: int = 1) -> DataFrame:
+    """The slots of :func:`hourly_days` as columns named by the time of day (HH:mm)."""
+    minutes = [k * 60 // steps_per_hour for k in range(24 * steps_per_hour)]
+    return days.select("building_id", "grp", "meter", "day", "n", *(F.col("values")[k].alias(f"{m // 60:02d}:{m % 60:02d}") for k, m in enumerate(minutes)))

@@ -1,20 +1,25 @@
-"""Distribution summaries of one numeric column.
+"""Distribution summaries of one numeric column, for the whole table or for each of several groups side by side.
 
-Global scalars (range, count, quantiles) come from one-row aggregates used as scalar subqueries: no
-joins, nothing fetched into the program.
+``keys`` names the columns of a group, such as the scenario; rows without one of them are in no group.  What holds for
+a whole group (its axis, its quantiles) is a table of one row per group that is joined by the keys; without keys it is
+one row, used as a scalar subquery.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions.geometry import bound
 from quoin.operators.checks import require_columns
 from quoin.schema import NUMERIC_TYPES
+from quoin.session import Scratch, durable
 
 # Intervals of a rounded axis, wanted histogram bins, density grid steps, divisor of the
 # axis length that gives the density bandwidth.
@@ -22,84 +27,94 @@ AXIS_TICKS = 10
 HISTOGRAM_BINS = 25
 DENSITY_STEPS = 200
 BANDWIDTH_DIVISOR = 40
+#: Parts in which a pass of the quantile search cuts an interval, and terms of the density's expansion.
+BUCKETS = 4096
+MOMENTS = 18
 
 
-def finite(df: DataFrame, column: str) -> DataFrame:
-    """(value) of the rows where the column is a finite number."""
+def finite(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, value) of the rows where the column is a finite number and no key is missing."""
     value = F.col(column).cast("double")
-    return df.select(value.alias("value")).where(~F.isnan("value") & (F.abs("value") < F.lit(math.inf)))
+    rows = df.select(*keys, value.alias("value")).where(~F.isnan("value") & (F.abs("value") < F.lit(math.inf)))
+    return rows.dropna(subset=list(keys)) if keys else rows
+
+
+def _attached(rows: DataFrame, groups: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with a column of their group's row."""
+    if keys:
+        return rows.join(groups.select(*keys, column), list(keys))
+    return rows.withColumn(column, groups.select(column).scalar())
 
 
 # --- exact quantiles ------------------------------------------------------------------------
 
 
-def quantiles(values: DataFrame, probabilities: Sequence[float], accuracy: int = 10_000) -> DataFrame:
-    """Exact quantiles (linear between ranks) of column ``value`` as one row q0, q1, ...
+def quantiles(values: DataFrame, probabilities: Sequence[float], keys: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+    """Exact quantiles (linear between ranks) of column ``value``, one row per group: keys, q0, q1, ...
 
-    The built-in exact percentile keeps all distinct values in one task.  Here an approximate sketch
-    gives a bracket certain to hold the wanted ranks; one more pass counts the values on either side
-    and tallies the few inside.  Only a ~``10 / accuracy`` share of the values is ever ordered.
+    Eager.  Every wanted rank has an interval that holds it, at first the group's whole range.  A pass over the values
+    counts those of each interval in ``buckets`` parts of it (by ratio where it spans many sizes, else by width) and
+    notes the smallest and largest of each part; the part that holds the rank is the next interval.  It ends at a
+    single value, after two or three passes as a rule.  So a task keeps a fixed number of counters however many values
+    there are, all groups and ranks share the passes, and no values are ever sorted.  Without a value no group appears
+    (without keys: one row of NULLs).
     """
-    slack = 5.0 / accuracy
-    bounds = []
-    for p in probabilities:
-        bounds += [max(0.0, p - slack), min(1.0, p + slack)]
-    sketch = values.agg(
-        F.percentile_approx("value", bounds, accuracy).alias("cuts"), F.count("value").alias("n")
-    )
-    bracket = sketch.select(F.struct("cuts", "n")).scalar()
-    cuts, n = bracket["cuts"], bracket["n"]
-    # Per probability: rank = p * (n - 1), between the order statistics floor(rank) and ceil(rank).
-    zones = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("which"), F.lit(float(p)).alias("p"),
-                cuts[2 * i].alias("low"), cuts[2 * i + 1].alias("high"),
-            )
-            for i, p in enumerate(probabilities)
-        ]
-    )
-    # Values outside a zone are folded into one group per side, of which only the member next to the
-    # zone matters: the ranks between which a quantile is interpolated may lie one step outside.
-    placed = values.where(F.col("value").isNotNull()).select("value", F.explode(zones).alias("z"))
-    side = F.when(F.col("value") < F.col("z.low"), -1).when(F.col("value") > F.col("z.high"), 1).otherwise(0)
-    tally = (
-        placed.select("value", "z.which", "z.p", side.alias("side"))
-        .groupBy("which", "p", "side", F.when(F.col("side") == 0, F.col("value")).alias("inner"))
-        .agg(F.count(F.lit(1)).alias("c"), F.min("value").alias("least"), F.max("value").alias("most"))
-        .withColumn("value", F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least")))
-    )
-    upto = Window.partitionBy("which").orderBy("side", "value")
-    ranked = tally.withColumn("last", F.sum("c").over(upto)).withColumn("first", F.col("last") - F.col("c"))
-    rank = F.col("p") * (n - 1)
-    lower, upper = F.floor(rank), F.ceil(rank)
-
-    def statistic(position: Column) -> Column:
-        inside = (F.col("first") <= position) & (position < F.col("last"))
-        known = (
-            F.when(F.col("side") < 0, position == F.col("last") - 1)
-            .when(F.col("side") > 0, position == F.col("first"))
-            .otherwise(inside)
+    spark, keys = values.sparkSession, list(keys)
+    none = [F.lit(None).cast("double").alias(f"q{i}") for i in range(len(probabilities))]
+    with Scratch(spark) as scratch:
+        stored = scratch.table(values.select(*keys, F.col("value").cast("double").alias("value")).dropna())
+        ends = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).where("n > 0")
+        ranks = F.array(*(F.struct(F.lit(i).alias("which"), F.lit(side).alias("side"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities) for side in (0, 1)))
+        at = F.col("r.p") * (F.col("n") - 1)
+        wanted = ends.withColumn("r", F.explode(ranks)).select(
+            *keys, "r.which", "r.side", F.when(F.col("r.side") == 0, F.floor(at)).otherwise(F.ceil(at)).alias("rank"), (at - F.floor(at)).alias("weight"), "low", "high"
         )
-        return F.max(F.when(known, F.col("value")))
-
-    pairs = ranked.groupBy("which").agg(
-        statistic(lower).alias("a"), statistic(upper).alias("b"), F.max(rank - lower).alias("w")
-    )
-    line = F.col("a") + (F.col("b") - F.col("a")) * F.col("w")
-    return pairs.agg(*[F.max(F.when(F.col("which") == i, line)).alias(f"q{i}") for i in range(len(probabilities))])
+        wanted = scratch.table(wanted)
+        while not (open_ := wanted.where("low < high")).isEmpty():
+            inside = [*keys, "low", "high"]
+            spans = open_.select(*inside).distinct()
+            if keys:
+                placed = stored.join(spans, keys)
+            else:  # a few rows, known by now
+                known = [F.struct(F.lit(r["low"]).alias("low"), F.lit(r["high"]).alias("high")) for r in spans.collect()]
+                placed = stored.select("value", F.explode(F.array(*known)).alias("s")).select("value", "s.*")
+            placed = placed.where(F.col("value").between(F.col("low"), F.col("high")))
+            parts = placed.groupBy(*inside, _part(buckets).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+            upto = Window.partitionBy(*inside).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
+            parts = scratch.table(parts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))))
+            left = F.col("rank") - F.col("before")
+            next_ = open_.join(parts, inside).where((left >= 0) & (left < F.col("n")))
+            next_ = next_.select(*keys, "which", "side", left.alias("rank"), "weight", F.col("least").alias("low"), F.col("most").alias("high"))
+            wanted = scratch.table(wanted.where("low >= high").unionByName(next_))
+        found = durable(wanted.select(*keys, "which", "side", "weight", F.col("low").alias("value")))
+    value = lambda i, side: F.max(F.when((F.col("which") == i) & (F.col("side") == side), F.col("value")))
+    weight = lambda i: F.max(F.when(F.col("which") == i, F.col("weight")))
+    lines = [(value(i, 0) + (value(i, 1) - value(i, 0)) * weight(i)).alias(f"q{i}") for i in range(len(probabilities))]
+    return found.groupBy(*keys).agg(*(lines or none)) if keys else found.agg(*lines)
+
+
+def _part(buckets: int) -> Column:
+    """Number of the part of [low, high] in which ``value`` lies; grows with the value.
+
+    The ends lie in the first and the last part, so an interval always shrinks.
+    """
+    v, low, high = (F.col(c) for c in ("value", "low", "high"))
+    ratio = F.when((low > 0) & (high > low * 4), F.log(v / low) / F.log(high / low)).when((high < 0) & (low < high * 4), 1 - F.log(v / high) / F.log(low / high))
+    share = F.coalesce(ratio, (v / 2 - low / 2) / (high / 2 - low / 2))
+    return F.when(v <= low, 0).when(v >= high, buckets - 1).otherwise(F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(share * buckets)))).cast("int")
 
 
-def describe(df: DataFrame, column: str) -> DataFrame:
-    """One row: count, mean, median, min and max of the finite values."""
-    values = finite(df, column)
-    median = quantiles(values, [0.5]).select("q0").scalar()
-    return values.agg(
+def describe(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per group: count, mean, median, min and max of the finite values."""
+    values = finite(df, column, keys)
+    median = quantiles(values, [0.5], keys).withColumnRenamed("q0", "median")
+    sums = values.groupBy(*keys).agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-    ).withColumn("median", median)
+    )
+    return _attached(sums, median, "median", keys)
 
 
 # --- axis, histogram, density ---------------------------------------------------------------
@@ -139,13 +154,13 @@ def _rounded_out(a: Column) -> Column:
     return bound(_tick(a["high"] - a["low"], AXIS_TICKS), widen)
 
 
-def axis(values: DataFrame, rounds: int = 3) -> DataFrame:
-    """One row with ``axis``: struct(low, high), the range rounded outwards until it settles."""
-    row = values.agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high")).alias("axis"))
+def axis(values: DataFrame, rounds: int = 3, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per group with ``axis``: struct(low, high), the range rounded outwards until it settles."""
+    row = values.groupBy(*keys).agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high")).alias("axis"))
     out = F.col("axis")
     for _ in range(rounds):
         out = bound(out, _rounded_out)
-    return row.select(out.alias("axis"))
+    return row.select(*keys, out.alias("axis"))
 
 
 def _bin_frame(a: Column, bins: int) -> Column:
@@ -163,59 +178,79 @@ def _bin_frame(a: Column, bins: int) -> Column:
     return bound(_tick(a["high"] - a["low"], bins), frame)
 
 
-def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """(bin, x0, x1, n): bins [x0, x1), the last one closed; empty bins included.
+def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, bin, x0, x1, n): bins [x0, x1), the last one closed; empty bins included.
 
     The axis is rounded outwards; inside it the bin edges are the multiples of a 1/2/5 step.  All
     equal values make one bin, no values none.  Only (bin, count) pairs are shuffled.
     """
-    values = finite(df, column)
-    frame = axis(values).select(bound(F.col("axis"), lambda a: _bin_frame(a, bins)).alias("f"))
-    one = frame.scalar()
-    cut = F.floor(F.col("value") * one["d"] / one["m"]) - one["first"] + 1
-    position = F.coalesce(F.least(F.greatest(cut, F.lit(0)), one["top"]), F.lit(0).cast("bigint"))
-    counts = values.groupBy(position.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    keys = list(keys)
+    values = finite(df, column, keys)
+    frame = axis(values, keys=keys).select(*keys, bound(F.col("axis"), lambda a: _bin_frame(a, bins)).alias("f"))
+    placed = _attached(values, frame, "f", keys)
+    cut = F.floor(F.col("value") * F.col("f.d") / F.col("f.m")) - F.col("f.first") + 1
+    position = F.coalesce(F.least(F.greatest(cut, F.lit(0)), F.col("f.top")), F.lit(0).cast("bigint"))
+    counts = placed.groupBy(*keys, position.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
-    slots = frame.select("f", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("f.top"))).alias("bin"))
+    slots = frame.select(*keys, "f", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("f.top"))).alias("bin"))
 
     def edge(index: Column) -> Column:
         return (F.col("f.first") + index) * F.col("f.m") / F.col("f.d")
 
     inner = F.col("f.m").isNotNull()
     edges = slots.select(
+        *keys,
         "bin",
         F.when((F.col("bin") > 0) & inner, edge(F.col("bin") - 1)).otherwise(F.col("f.low")).alias("x0"),
         F.when((F.col("bin") < F.col("f.top")) & inner, edge(F.col("bin"))).otherwise(F.col("f.high")).alias("x1"),
     )
-    joined = edges.join(counts, "bin", "left")
-    return joined.select("bin", "x0", "x1", F.coalesce("n", F.lit(0)).alias("n"))
+    joined = edges.join(counts, [*keys, "bin"], "left")
+    return joined.select(*keys, "bin", "x0", "x1", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def kernel_density(df: DataFrame, column: str, steps: int = DENSITY_STEPS) -> DataFrame:
-    """Gaussian density on an even grid over the rounded axis: (step, x, density).
+def kernel_density(df: DataFrame, column: str, steps: int = DENSITY_STEPS, keys: Sequence[str] = ()) -> DataFrame:
+    """Gaussian density on an even grid over the rounded axis: (keys, step, x, density).
 
-    Each value adds to every grid point, but the sums form in the map tasks: only ``steps`` rows per
-    task are shuffled.
+    A fast Gauss transform: the axis is cut into cells of a bandwidth, and a value adds its powers, measured from the
+    middle of its cell, to the cell's moments.  The kernel's sum at a grid point follows from the moments by a Hermite
+    expansion.  With offsets of at most half a bandwidth, ``MOMENTS`` terms leave out less than 0.5 ** n / sqrt(n!) of
+    a kernel's height for each value, under 1e-13 of it.  Moments form in the map tasks, so a task shuffles one row
+    for each of about forty cells, and a value is touched once instead of once for each grid point.
     """
-    values = finite(df, column)
-    row = axis(values).scalar()
-    width = row["high"] - row["low"]
-    bandwidth = F.when(width > 0, width / BANDWIDTH_DIVISOR).otherwise(F.lit(1.0))
-    placed = values.select(
-        "value", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step")
-    ).withColumn("x", row["low"] + F.col("step") * (width / steps))
-    z = (F.col("x") - F.col("value")) / bandwidth
+    keys = list(keys)
+    values = finite(df, column, keys)
+    width = F.col("axis.high") - F.col("axis.low")
+    frame = axis(values, keys=keys).where(width > 0).select(*keys, F.struct(F.col("axis.low").alias("low"), width.alias("width"), (width / BANDWIDTH_DIVISOR).alias("h")).alias("f"))
+    at = (F.col("value") - F.col("f.low")) / F.col("f.h")
+    placed = _attached(values, frame, "f", keys).where("f is not null")
+    placed = placed.select(*keys, "f", F.floor(at).alias("cell"), ((at - F.floor(at) - 0.5) / math.sqrt(2)).alias("u"))
+    powers = [F.lit(1.0)]
+    for k in range(1, MOMENTS):
+        powers.append(F.pow("u", F.lit(float(k))) / math.factorial(k))
+    moments = placed.groupBy(*keys, "f", "cell").agg(F.array(*(F.sum(p) for p in powers)).alias("moments"))
+    points = moments.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    x = F.col("f.low") + F.col("step") * (F.col("f.width") / steps)
+    t = ((x - F.col("f.low")) / F.col("f.h") - F.col("cell") - 0.5) / math.sqrt(2)
+    points = points.withColumns({"x": x, "t": t})
+
+    def next_term(a: Column, k: Column) -> Column:
+        """One Hermite function more: h(k + 1) = 2 t h(k) - 2 k h(k - 1)."""
+        after = 2 * F.col("t") * a["now"] - 2 * (k - 1) * a["last"]
+        return F.struct(a["now"].alias("last"), after.alias("now"), (a["total"] + F.get("moments", k) * after).alias("total"))
+
+    bell = F.exp(-F.col("t") * F.col("t"))
+    first = F.struct(F.lit(0.0).alias("last"), bell.alias("now"), (F.col("moments")[0] * bell).alias("total"))
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(MOMENTS - 1)), first, next_term)
     scale = math.sqrt(2 * math.pi)
-    return placed.where(width > 0).groupBy("step").agg(
-        F.max("x").alias("x"),
-        (F.sum(F.exp(z * z * -0.5)) / (F.count(F.lit(1)) * F.max(bandwidth) * scale)).alias("density"),
-    )
+    sums = points.select(*keys, "f", "step", "x", terms["total"].alias("total"), F.col("moments")[0].alias("n"))
+    out = sums.groupBy(*keys, "step").agg(F.max("x").alias("x"), F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("f.h").alias("h"))
+    return out.select(*keys, "step", "x", (F.col("total") / (F.col("n") * F.col("h") * scale)).alias("density"))
 
 
-def category_means(df: DataFrame, column: str, category: str) -> DataFrame:
-    """Mean per category, largest first."""
-    means = df.groupBy(F.col(category).alias("category")).agg(F.avg(F.col(column).cast("double")).alias("mean"))
-    return means.orderBy(F.desc("mean"), "category")
+def category_means(df: DataFrame, column: str, category: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean per group and category, largest first in each group."""
+    means = df.groupBy(*keys, F.col(category).alias("category")).agg(F.avg(F.col(column).cast("double")).alias("mean"))
+    return means.orderBy(*keys, F.desc("mean"), "category")
 
 
 def positive_shares(totals: DataFrame, value: str = "total") -> DataFrame:
@@ -228,29 +263,29 @@ def positive_shares(totals: DataFrame, value: str = "total") -> DataFrame:
     return rows.withColumn("share", F.col(value) / F.sum(value).over(within) * 100)
 
 
-def clipped_heights(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """Adds ``display_height``: the column clipped to a quantile range and rebased to start at 1.
+def _shown(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """Rows with a position, a value and all keys."""
+    require_columns(df, ("lat", "lon", column))
+    return df.dropna(subset=["lat", "lon", column, *keys]).where(~F.isnan(F.col("lat").cast("double")) & ~F.isnan(F.col("lon").cast("double")) & ~F.isnan(F.col(column).cast("double")))
+
+
+def clipped_heights(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds ``display_height``: the column clipped to its group's quantile range and rebased to start at 1.
 
-    Rows missing position or value are left out.
+    Eager, see :func:`quantiles`.  Rows missing position, value or a key are left out.
     """
-    require_columns(df, ("lat", "lon", column))
     value = F.col(column).cast("double")
-    rows = df.where(
-        F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
-        & value.isNotNull() & ~F.isnan(value)
-    )
-    cut = quantiles(rows.select(value.alias("value")), [low, high]).select(F.struct("q0", "q1")).scalar()
-    clipped = F.least(F.greatest(value, cut["q0"]), cut["q1"])
+    rows = _shown(df, column, keys)
+    cuts = quantiles(rows.select(*keys, value.alias("value")), [low, high], keys)
+    rows = _attached(rows, cuts.select(*keys, F.struct("q0", "q1").alias("_cut")), "_cut", keys)
+    clipped = F.least(F.greatest(value, F.col("_cut.q0")), F.col("_cut.q1"))
     # The low quantile is never below the smallest value, so it is the smallest clipped value.
-    return rows.withColumn("display_height", clipped - cut["q0"] + 1.0)
+    return rows.withColumn("display_height", clipped - F.col("_cut.q0") + 1.0).drop("_cut")
 
 
-def view_center(df: DataFrame, column: str) -> DataFrame:
-    """Mean position of the rows that ``clipped_heights`` shows."""
-    shown = df.dropna(subset=["lat", "lon", column]).where(
-        ~F.isnan("lat") & ~F.isnan("lon") & ~F.isnan(F.col(column).cast("double"))
-    )
-    return shown.agg(F.avg("lat").alias("center_lat"), F.avg("lon").alias("center_lon"))
+def view_center(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean position of the rows that ``clipped_heights`` shows, per group."""
+    return _shown(df, column, keys).groupBy(*keys).agg(F.avg("lat").alias("center_lat"), F.avg("lon").alias("center_lon"))
 
 
 # --- column discovery -----------------------------------------------------------------------
@@ -267,22 +302,28 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 def categorical_columns(df: DataFrame, max_unique: int = 50) -> DataFrame:
     """Non-numeric columns with 2 to ``max_unique`` distinct values: (column, n_distinct).
 
-    Eager first look: one pass of cheap sketches rules out columns far above the limit (by a factor of
-    two, twenty standard errors), so ids are never shuffled; the rest is counted exactly.
+    Exact in one pass: a task keeps, for each column, at most ``max_unique + 1`` of its distinct values, since one more
+    already decides; so ids cost a bounded set a task and are never shuffled.
     """
     names = [f.name for f in df.schema.fields if not isinstance(f.dataType, NUMERIC_TYPES)]
-    spark = df.sparkSession
     schema = "column string, n_distinct bigint"
     if not names:
-        return spark.createDataFrame([], schema)
-    rough = df.agg(*[F.approx_count_distinct(f"`{c}`", 0.05).alias(c) for c in names]).first()
-    few = [c for c in names if rough[c] <= 2 * max_unique]
-    if not few:
-        return spark.createDataFrame([], schema)
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in few])
-    seen = df.select(F.inline(entries)).where(F.col("v").isNotNull()).distinct()
-    counts = seen.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
-    return counts.where((F.col("n_distinct") > 1) & (F.col("n_distinct") <= max_unique))
+        return df.sparkSession.createDataFrame([], schema)
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[pa.Array] = [pa.array([], pa.string()) for _ in names]
+        for batch in batches:
+            for k in range(len(names)):
+                if len(seen[k]) <= max_unique:
+                    here = pc.unique(pa.concat_arrays([seen[k], batch.column(k).cast(pa.string())])).drop_null()
+                    seen[k] = here[: max_unique + 1]
+        columns = [pa.array(np.repeat(np.arange(len(names), dtype=np.int32), [len(v) for v in seen])), pa.concat_arrays(seen)]
+        yield pa.RecordBatch.from_arrays(columns, names=["at", "v"])
+
+    texts = df.select(*(F.col(f"`{c}`").cast("string").alias(f"c{k}") for k, c in enumerate(names)))
+    counts = texts.mapInArrow(few, "at int, v string").distinct().groupBy("at").agg(F.count(F.lit(1)).alias("n_distinct"))
+    named = F.element_at(F.array(*map(F.lit, names)), F.col("at") + 1)
+    return counts.where((F.col("n_distinct") > 1) & (F.col("n_distinct") <= max_unique)).select(named.alias("column"), "n_distinct")
 
 
 def timestamps_as_text(df: DataFrame, pattern: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoin.session import durable
+
 from quoin.functions.draws import key_digest
 
 # Rows of a bucket, about.
@@ -85,7 +87,11 @@ def payload_plan(specs: DataFrame, budget: int = BATCH_BYTES) -> DataFrame:
 
 
 def assign_batches(specs: DataFrame, budget: int = BATCH_BYTES, id_col: str = "building_id") -> DataFrame:
-    """Column ``batch_id``: consecutive row indices, ``specs_per_batch`` at a time."""
+    """Column ``batch_id``: consecutive row indices, ``specs_per_batch`` at a time.
+
+    Eager: the specs are stored once, since their sizes, their order and the rows themselves are all needed.
+    """
+    specs = durable(specs)
     per = payload_plan(specs, budget).select("specs_per_batch").scalar()
     indexed = add_row_index(specs, id_col, target="_at")
     return indexed.withColumn("batch_id", F.floor(F.col("_at") / per)).drop("_at")

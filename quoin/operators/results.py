@@ -67,8 +67,13 @@ def monthly_stats(results: DataFrame, aggregation: str) -> DataFrame:
         F.max(_value()).alias("max"),
         F.coalesce(F.stddev_samp(_value()), F.lit(0.0)).alias("sd"),
     )
-    # One row per scenario, so Spark broadcasts it by its size.
-    stats = stats.join(buildings, scenario) if scenario else stats.withColumn("n", buildings.scalar())
+    return with_band(stats, buildings, keys)
+
+
+def with_band(stats: DataFrame, buildings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Band around ``avg`` from ``sd`` and the number ``n`` of buildings (one row per scenario, broadcast by its size)."""
+    scenario = [k for k in keys if k == "scenario"]
+    stats = stats.join(buildings, scenario) if scenario else stats.withColumn("n", buildings.select("n").scalar())
     half = F.col("sd") / F.sqrt("n") * CI_FACTOR
     return stats.select(
         *keys, "avg", "min", "max",
@@ -92,8 +97,11 @@ def building_peak(results: DataFrame) -> DataFrame:
 def stock_totals(results: DataFrame, aggregation: str) -> DataFrame:
     """Energy of the whole stock per meter, meters above 1 % of the total only."""
     keys = _with_scenario(results, "meter")
-    totals = of(results, "Energy", aggregation).groupBy(*keys).agg(_filled_sum().alias("total"))
-    # One row per scenario and meter is left by now.
+    return major(of(results, "Energy", aggregation).groupBy(*keys).agg(_filled_sum().alias("total")), keys)
+
+
+def major(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Totals (one row per scenario and meter) above 1 % of their scenario's sum."""
     overall = F.sum("total").over(Window.partitionBy(*keys[:-1]))
     return (
         totals.withColumn("_all", overall)

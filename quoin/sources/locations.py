@@ -11,13 +11,13 @@ from quoin.sources.footprints import read_geoparquet, srid_of
 
 
 def locations(df: DataFrame, geom_col: str = "geom", srid: int | None = None) -> DataFrame:
-    """``lat``/``lon`` as double where a row has both, else the footprint centroid in degrees.
+    """``lat``/``lon`` as double where a row has both, else the footprint centroid in degrees; NaN is a missing value.
 
     Both values of a row come from the same source.  The geometry's system is ``srid``, or the one recorded on
     it, or degrees.  Geometry is dropped.
     """
     given = [F.col(c).cast("double") if {"lat", "lon"} <= set(df.columns) else F.lit(None).cast("double") for c in ("lat", "lon")]
-    known = given[0].isNotNull() & given[1].isNotNull()
+    known = given[0].isNotNull() & given[1].isNotNull() & ~F.isnan(given[0]) & ~F.isnan(given[1])
     if geom_col in df.columns:
         source = srid or srid_of(df, geom_col) or 4326
         df = df.withColumn("_c", measures(F.col(geom_col)))

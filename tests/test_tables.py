@@ -81,10 +81,54 @@ def test_quantiles_equal_numpy(spark, n):
     rng = np.random.default_rng(n)
     sample = np.concatenate([rng.normal(size=n), np.full(n // 2, 0.25)])
     probs = [0.0, 0.05, 0.5, 0.95, 1.0]
-    row = distributions.quantiles(values(spark, sample).repartition(3), probs, accuracy=200).first()
+    row = distributions.quantiles(values(spark, sample).repartition(3), probs, buckets=16).first()
     assert list(row) == pytest.approx(list(np.quantile(sample, probs)))
 
 
+def test_quantiles_of_groups_with_any_values(spark):
+    rng = np.random.default_rng(4)
+    groups = {
+        "even": rng.uniform(size=300), "sizes": np.exp(rng.normal(size=300) * 100), "low": -np.exp(rng.normal(size=200) * 60),
+        "both": rng.normal(size=301) * 10.0 ** rng.integers(-30, 30, 301), "ends": np.array([-1.7e308, 0.0, 5e-324, 1.7e308]), "one": np.array([4.0]), "same": np.full(50, -2.5),
+    }
+    rows = [(g, float(v)) for g, some in groups.items() for v in some] + [(None, 1.0), ("even", None)]
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    for buckets in (8, distributions.BUCKETS):
+        found = distributions.quantiles(spark.createDataFrame(rows, "g string, value double").repartition(5), probs, ["g"], buckets=buckets)
+        got = {r["g"]: list(r)[1:] for r in found.collect()}
+        assert set(got) == set(groups)
+        for g, some in groups.items():
+            if g != "ends":
+                assert got[g] == pytest.approx(list(np.quantile(some, probs)), rel=1e-12), g
+        assert (got["ends"][0], got["ends"][4]) == (-1.7e308, 1.7e308)
+
+
+def test_quantiles_of_a_million_distinct_values(spark):
+    df = spark.range(1_000_000).select(((F.col("id") * 7919) % 1_000_003).cast("double").alias("value"))
+    want = np.quantile((np.arange(1_000_000) * 7919) % 1_000_003, [0.05, 0.5, 0.999])
+    assert list(distributions.quantiles(df, [0.05, 0.5, 0.999]).first()) == pytest.approx(list(want))
+    assert "Window" not in distributions.quantiles(df, [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert list(distributions.quantiles(df.limit(0), [0.5]).first()) == [None]
+
+
+def test_density_equals_the_sum_over_all_values(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, float(v)) for g, shift in (("a", 0), ("b", 1e6)) for v in [*rng.normal(size=400) + shift, shift - 5, shift + 9.5]]
+    found = distributions.kernel_density(spark.createDataFrame(rows, "g string, value double").repartition(3), "value", keys=["g"]).collect()
+    assert len(found) == 400
+    for g in ("a", "b"):
+        mine = sorted((r for r in found if r["g"] == g), key=lambda r: r["step"])
+        some = np.array([v for k, v in rows if k == g])
+        h = (mine[1]["x"] - mine[0]["x"]) * 200 / 40
+        for r in mine:
+            assert r["density"] == pytest.approx(np.exp(-0.5 * ((r["x"] - some) / h) ** 2).sum() / (len(some) * h * math.sqrt(2 * math.pi)), abs=1e-10)
+
+
+def test_categories_are_counted_exactly(spark):
+    df = spark.range(0, 4000, 1, 7).select("id", (F.col("id") % 50).cast("string").alias("fifty"), (F.col("id") % 51).cast("string").alias("more"), F.col("id").cast("string").alias("name"), F.lit("x").alias("one"), F.when(F.col("id") % 3 > 0, F.col("id") % 2 == 0).alias("flag"))
+    assert {r["column"]: r["n_distinct"] for r in distributions.categorical_columns(df, 50).collect()} == {"fifty": 50, "flag": 2}
+
+
 def test_summary_ignores_non_finite_values(spark):
     row = distributions.describe(values(spark, [1, 2, None, math.nan, math.inf, 9]), "value").first()
     assert (row["count"], row["mean"], row["median"], row["min"], row["max"]) == (3, 4.0, 2.0, 1.0, 9.0)
@@ -220,10 +264,10 @@ def test_sources_round_trip(spark, tmp_path):
 
     path = str(tmp_path / "pre")
     for _ in range(2):
-        again = footprints.load_or_build(spark, path, PreprocessConfig(), build)
+        again = footprints.load_or_build(spark, path, PreprocessConfig(), build, inputs=())
     assert len(calls) == 1 and footprints.srid_of(again) == 3857 and again.count() == 2
     assert again.first().geom[0][0][1].x == 4.0
-    stored = f"{path}/config={PreprocessConfig().fingerprint()}"
+    stored = str(next((tmp_path / "pre").glob("config=*")))
     places = load_locations(spark, stored).collect()
     assert places[0].lon == pytest.approx(8 / 3) and load_locations(spark, str(tmp_path / "none")) is None
 
@@ -264,3 +308,51 @@ def test_exports(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "h")).count() == 1
     assert exports.route_hourly(hourly, HourlyConfig((), "dataframes-only"), str(tmp_path / "no")).count() == 2
     assert not (tmp_path / "no").exists()
+
+
+def test_positions_with_nan_are_missing(spark):
+    from quoin.sources.locations import locations
+
+    ring = "array(array(array(named_struct('x', 0D, 'y', 0D), named_struct('x', 2D, 'y', 0D), named_struct('x', 2D, 'y', 2D), named_struct('x', 0D, 'y', 0D))))"
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("b", math.nan, 2.0), ("c", 1.0, None)], "building_id string, lat double, lon double").withColumn("geom", F.expr(ring))
+    rows = {r.building_id: (r.lat, r.lon) for r in locations(df, srid=4326).collect()}
+    assert rows["a"] == (1.0, 2.0) and rows["b"] == rows["c"] == pytest.approx((2 / 3, 4 / 3))
+
+
+def hours(spark, rows):
+    return spark.createDataFrame(rows, "building_id string, grp string, meter string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def test_days_have_a_slot_for_every_step(spark):
+    rows = [("a", "z", "t", f"2024-03-0{d} {h:02d}:{m:02d}:00", d * 100 + h + m / 100) for d in (1, 3) for h in (0, 5, 23) for m in (0, 30)] + [("a", "z", "t", "2024-03-02 07:00:00", None)]
+    days = {str(r.day): r for r in comfort.hourly_days(hours(spark, rows).repartition(4), steps_per_hour=2).collect()}
+    assert set(days) == {"2024-03-01", "2024-03-03"} and {r.n for r in days.values()} == {6}
+    want = [None] * 48
+    for h in (0, 5, 23):
+        want[2 * h], want[2 * h + 1] = 300.0 + h, 300.3 + h
+    assert days["2024-03-03"]["values"] == pytest.approx(want)
+    wide = comfort.day_columns(comfort.hourly_days(hours(spark, rows), steps_per_hour=2), 2)
+    assert wide.columns[5:8] == ["00:00", "00:30", "01:00"] and len(wide.columns) == 53
+    with pytest.raises(Exception, match="two values for one step"):
+        comfort.hourly_days(hours(spark, rows)).collect()  # two half hours in one slot of an hour
+    with pytest.raises(Exception, match="two values for one step"):
+        comfort.hourly_wide(hours(spark, [rows[0], rows[0]]), ["2024-03-01 00:00"]).collect()
+
+
+def test_results_page_reads_the_results_once(spark):
+    from quoin.plans.summary import page_facts, summarise
+
+    rows = [(b, s, m, a, meter, month, v) for b in ("x", "y", "z") for s in ("Base", "New") for (m, a, meter, v) in (("Energy", "End Uses", "Heating", 4.0), ("Energy", "Utilities", "Gas", None), ("Peak", "Raw", "Gas", 2.5)) for month in (1, 2)]
+    table = long_results(spark, [*rows, ("w", "New", "Peak", "Raw", "Gas", 1, math.nan)])
+    plan = page_facts(table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
+    parts = {k: [r.asDict() for r in df.collect()] for k, df in summarise(table, "Town").items()}
+    assert parts["eui"] == [] or {(r["building_id"], r["scenario_name"], r["eui"]) for r in parts["eui"]} == {(b, s, 8.0) for b in "xyz" for s in ("Base", "New")}
+    assert {(r["building_id"], r["peak"]) for r in parts["peak"]} == {(b, 2.5) for b in "xyz"}
+    assert {r["meter"] for r in parts["fuel_meters"]} == {"Gas"} and all(r["avg"] is None for r in parts["monthly_fuels"])
+    assert {(r["scenario_name"], r["total"]) for r in parts["end_uses_total"]} == {("Base", 24.0), ("New", 24.0)}
+    alone = summarise(table.where("scenario = 'Base'").drop("scenario"), "Town", "Given")
+    assert {r["scenario_name"] for r in alone["eui"].collect()} == {"Given"}
+    direct = {(r.scenario, r.month): r for r in results.monthly_stats(table, "End Uses").collect()}
+    for r in parts["monthly_end_uses"]:
+        assert (r["avg"], r["ci_low"]) == (direct[r["scenario_name"], r["month"]].avg, direct[r["scenario_name"], r["month"]].ci_low)

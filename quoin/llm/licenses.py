@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoin.llm.common import flat, slices
+from quoin.llm.common import carried, flat, slices
 from quoin.llm.words import LETTERS, words
 from quoin.session import durable
 
@@ -168,8 +168,9 @@ def scan(files: DataFrame, templates: Mapping[str, str | Sequence[str]], thresho
     vocabulary, counts = _terms([t for _, t in pairs])
     new = [T.StructField("license", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("line", T.LongType())]
     kept = [c for c in files.columns if c not in (text, "license", "score", "line")]
-    schema = T.StructType([*(files.schema[c] for c in kept), *new])
-    rows = files.select(*kept, F.col(text).cast("string").alias("_text"), F.coalesce(F.element_at(F.split(path, "/"), -1).rlike(_NAME), F.lit(False)).alias("_whole"))
+    named = F.element_at(F.split(F.col(f"`{path}`"), "/"), -1).rlike(_NAME)
+    rows = files.select(carried(files, text), F.col(f"`{text}`").cast("string").alias("_text"), F.coalesce(named, F.lit(False)).alias("_whole"))
+    schema = T.StructType([rows.schema["given"], *new])
     n_files = files.count()
     frequency = np.zeros(len(vocabulary))
     for row in _frequencies(rows, vocabulary).collect():  # one row per word of the templates
@@ -200,10 +201,10 @@ def scan(files: DataFrame, templates: Mapping[str, str | Sequence[str]], thresho
                 _groups(known, out, term, row, number, found.firsts, np.searchsorted(_cuts(data), found.starts) + row)
             label = [names[b] if s >= threshold else None for b, s in zip(out.label.tolist(), out.score.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(label, pa.string()), pa.array(out.score), pa.array(out.place)], names=schema.fieldNames()
+                [batch.column("given"), pa.array(label, pa.string()), pa.array(out.score), pa.array(out.place)], names=schema.fieldNames()
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*(F.col(f"given.`{c}`") for c in kept), "license", "score", "line")
 
 
 def _groups(known: _Templates, out: _Found, term: np.ndarray, row: np.ndarray, number: np.ndarray, firsts: np.ndarray, piece: np.ndarray) -> None:
@@ -211,7 +212,8 @@ def _groups(known: _Templates, out: _Found, term: np.ndarray, row: np.ndarray, n
 
     From each piece on, the last end below the template's length and the first from it on.  Running sums bound the
     cosine from above (a norm is no less than its words' weights counted once each time); only groups whose bound
-    could still win are worked out.
+    could still win are worked out.  Templates of one length are bounded together first, by each word's largest
+    weight in any of them, and one by one only in the rows that are left.
     """
     begin = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
     end = np.append(begin[1:], len(piece))
@@ -219,40 +221,57 @@ def _groups(known: _Templates, out: _Found, term: np.ndarray, row: np.ndarray, n
     last = np.searchsorted(owner, owner, "right") - 1  # the last piece of the row
     many = number[firsts[1:][owner] - 1] > number[firsts[:-1][owner]]  # words on several lines
     hit = term >= 0
-    place, idf = np.where(hit, term, 0), known.idf
+    place, idf = np.where(hit, term, 0), np.append(known.idf, 0.0)
     norm = np.append(0.0, np.cumsum(np.where(hit, idf[place] ** 2, known.most**2)))
-    spans: dict[int, tuple[np.ndarray, ...]] = {}
-    for t in np.argsort(-known.length, kind="stable").tolist():
-        m = int(known.length[t])
-        if m not in spans:
-            spans = {}  # templates come by length; one at a time is kept
-            up = np.minimum(np.searchsorted(end, begin + m), last)
-            at = np.concatenate([np.arange(len(begin))] * 2)
-            to = np.concatenate([up, up - 1])
-            fits = to >= at
-            at, to = at[fits], to[fits]
-            size = end[to] - begin[at]
-            fits = (2 * size >= m) & (2 * size <= 3 * m)
-            at, to = at[fits], to[fits]
-            full = (to == last[at]) & (begin[at] == firsts[:-1][owner[at]]) & many[at]
-            spans[m] = (begin[at], end[to], owner[at], np.where(full, 0, number[begin[at]]))
-        a, b, mine, where = spans[m]
-        if not len(a):
+    term_or_none = np.where(hit, term, len(known.idf))
+    for m in np.unique(known.length)[::-1].tolist():
+        up = np.minimum(np.searchsorted(end, begin + m), last)
+        at = np.concatenate([np.arange(len(begin))] * 2)
+        to = np.concatenate([up, up - 1])
+        fits = to >= at
+        at, to = at[fits], to[fits]
+        size = end[to] - begin[at]
+        fits = (2 * size >= m) & (2 * size <= 3 * m)
+        at, to = at[fits], to[fits]
+        if not len(at):
             continue
-        dot = np.append(0.0, np.cumsum(np.where(hit, idf[place] * known.unit[t][place], 0.0)))
-        bound = known.key(t, np.minimum(1.0, (dot[b] - dot[a]) / np.sqrt(np.maximum(norm[b] - norm[a], 1e-300)) + 1e-9), b - a)
-        bound[dot[b] - dot[a] <= 1e-9] = 0
+        full = (to == last[at]) & (begin[at] == firsts[:-1][owner[at]]) & many[at]
+        a, b, mine, where = begin[at], end[to], owner[at], np.where(full, 0, number[begin[at]])
+        least = np.sqrt(np.maximum(norm[b] - norm[a], 1e-300))
+        forms = np.flatnonzero(known.length == m)
 
-        def could(some: np.ndarray) -> np.ndarray:
+        def bounds(dot: np.ndarray, some: np.ndarray) -> np.ndarray:
+            """What the key of groups can be at most, from their dot products at most."""
+            most = known.key(int(forms[0]), np.minimum(1.0, dot / least[some] + 1e-9), b[some] - a[some])
+            return np.where(dot <= 1e-9, 0.0, most)
+
+        def could(some: np.ndarray, bound: np.ndarray) -> np.ndarray:
             now = out.key[mine[some]]
-            return some[(bound[some] > now + 2e-9) | ((bound[some] >= now) & (bound[some] > 0) & (where[some] < out.place[mine[some]]))]
+            return (bound > now + 2e-9) | ((bound >= now) & (bound > 0) & (where[some] < out.place[mine[some]]))
 
-        left = could(np.arange(len(a)))
-        order = left[np.lexsort((left, -bound[left], mine[left]))]
-        top = order[np.unique(mine[order], return_index=True)[1]]
-        _offer_groups(known, out, t, term, a[top], b[top], mine[top], where[top])
-        left = could(np.setdiff1d(left, top))
-        _offer_groups(known, out, t, term, a[left], b[left], mine[left], where[left])
+        every = np.arange(len(a))
+        sums = np.append(0.0, np.cumsum(np.append(known.unit[forms].max(0) * known.idf, 0.0)[term_or_none]))
+        every = every[could(every, bounds(sums[b] - sums[a], every))]
+        if not len(every):
+            continue
+        inside = np.zeros(len(firsts) - 1, bool)
+        inside[mine[every]] = True
+        inside = inside[row]
+        words_left = term_or_none[inside]
+        index = np.append(0, np.cumsum(inside))
+        low, high = index[a[every]], index[b[every]]
+        for t in forms.tolist():
+            sums = np.append(0.0, np.cumsum(np.append(known.unit[t] * known.idf, 0.0)[words_left]))
+            bound = bounds(sums[high] - sums[low], every)
+            left = could(every, bound)
+            some, bound = every[left], bound[left]
+            order = np.lexsort((some, -bound, mine[some]))
+            top = order[np.unique(mine[some][order], return_index=True)[1]]
+            _offer_groups(known, out, t, term, a[some[top]], b[some[top]], mine[some[top]], where[some[top]])
+            left = could(some, bound)
+            left[top] = False
+            some = some[left]
+            _offer_groups(known, out, t, term, a[some], b[some], mine[some], where[some])
 
 
 def _offer_groups(known: _Templates, out: _Found, t: int, term: np.ndarray, begin: np.ndarray, end: np.ndarray, row: np.ndarray, place: np.ndarray) -> None:
@@ -275,18 +294,19 @@ def inherited(scanned: DataFrame, path: str = "path") -> DataFrame:
     Of several licence files in a directory the best score counts, then the smaller path.  Directories are taken
     once however many files they hold.  Files of null path inherit nothing.
     """
-    rows = scanned.drop("origin").withColumn("_parts", F.split(path, "/")).withColumn("_dir", F.array_join(F.slice("_parts", 1, F.size("_parts") - 1), "/"))
-    rows = durable(rows.withColumn("_file", F.element_at("_parts", -1)).drop("_parts"))
-    held = rows.where(F.col("license").isNotNull() & F.col("_file").rlike(_NAME))
-    best = held.groupBy("_dir").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(path).alias("p"), F.col("license").alias("l"))).alias("b")).select(F.col("_dir").alias("_above"), "b")
-    dirs = rows.where(F.col("_dir").isNotNull()).select("_dir").distinct()
-    parts = F.split("_dir", "/")
-    above = dirs.select("_dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("_above")))).alias("a")).select("_dir", "a.*")
-    nearest = above.join(best, "_above").groupBy("_dir").agg(F.max_by("b", "depth").alias("_near"))
-    taken = F.col("license").isNull() & F.col("_near").isNotNull()
-    return (
-        rows.join(nearest, "_dir", "left")
-        .withColumn("origin", F.when(F.col("license").isNotNull(), F.col(path)).otherwise(F.col("_near.p")))
-        .withColumn("license", F.when(taken, F.col("_near.l")).otherwise(F.col("license")))
-        .drop("_dir", "_near", "_file")
-    )
+    kept = [c for c in scanned.columns if c != "origin"]
+    parts = F.split("path", "/")
+    folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
+    columns = [F.col(f"`{path}`").alias("path"), F.col("license"), F.col("score")]
+    rows = scanned.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("given"), *columns)
+    rows = durable(rows.withColumns({"dir": folder, "file": F.element_at(parts, -1)}))
+    held = rows.where(F.col("license").isNotNull() & F.col("file").rlike(_NAME))
+    best = held.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("path").alias("p"), F.col("license").alias("l"))).alias("b")).select(F.col("dir").alias("above"), "b")
+    dirs = rows.where(F.col("dir").isNotNull()).select("dir").distinct()
+    parts = F.split("dir", "/")
+    above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("above")))).alias("a")).select("dir", "a.*")
+    nearest = above.join(best, "above").groupBy("dir").agg(F.max_by("b", "depth").alias("near"))
+    own = F.col("license").isNotNull()
+    taken = {"license": F.when(own, F.col("license")).otherwise(F.col("near.l"))}
+    out = [taken.get(c, F.col(f"given.`{c}`")).alias(c) for c in kept]
+    return rows.join(nearest, "dir", "left").select(*out, F.when(own, F.col("path")).otherwise(F.col("near.p")).alias("origin"))

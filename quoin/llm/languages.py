@@ -11,6 +11,7 @@ therefore counts n-grams per language in one pass and bundles the sums.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,15 @@ from quoin.llm.words import mix
 DIMENSIONS, GRAM = 1024, 3
 #: N-gram vectors that a worker keeps before it begins anew; bounds its memory.
 MEMORY = 30_000
+#: N-grams bundled at a time; bounds the working memory.
+STEP = 1024
 UNDETERMINED = "und"
 #: Standard errors by which a text gets the benefit of the doubt.
 ERRORS = 2
 _BITS = 21  # of a code point
 
 
+@lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """Lower-case code point of every letter, 0 for all other characters."""
     out = np.zeros(0x110000, np.uint32)
@@ -49,7 +53,7 @@ class Grams:
         self.dimensions = dimensions
         self.letters = _letters()
         self.at: dict[int, int] = {}
-        self.vectors = np.empty((0, dimensions), np.float32)
+        self.vectors = np.empty((MEMORY, dimensions), np.int8)  # filled as n-grams come
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams of letters and gaps that hold a letter, and how often each occurs."""
@@ -68,26 +72,27 @@ class Grams:
         return grams, n
 
     def of(self, grams: np.ndarray) -> np.ndarray:
-        """One row of signs for each n-gram."""
-        if len(self.at) > MEMORY:
-            self.at, self.vectors = {}, self.vectors[:0]
+        """One row of signs for each of at most ``MEMORY`` n-grams."""
         at = self.at
         rows = [at.get(g, -1) for g in grams.tolist()]
         if -1 in rows:
             new = [g for g, r in zip(grams.tolist(), rows, strict=True) if r < 0]
+            if len(at) + len(new) > MEMORY:
+                at.clear()
+                new = grams.tolist()
+            self.vectors[len(at) : len(at) + len(new)] = self._bound(np.array(new, np.int64))
             at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
-            self.vectors = np.concatenate([self.vectors, self._bound(np.array(new, np.int64))])
             rows = [at[g] for g in grams.tolist()]
         return self.vectors[rows]
 
     def _bound(self, grams: np.ndarray) -> np.ndarray:
-        out = np.ones((len(grams), self.dimensions), np.float32)
+        out = np.ones((len(grams), self.dimensions), np.int8)
         places = np.arange(self.dimensions, dtype=np.uint64)
         for k in range(GRAM):
             letter = (grams >> (_BITS * (GRAM - 1 - k))) & ((1 << _BITS) - 1)
             distinct, which = np.unique(letter, return_inverse=True)
             signs = mix(mix(distinct.astype(np.uint64) + np.uint64(1))[:, None] + places) >> np.uint64(63)
-            out *= np.roll(signs.astype(np.float32) * 2 - 1, GRAM - 1 - k, 1)[which]
+            out *= np.roll(signs.astype(np.int8) * np.int8(2) - np.int8(1), GRAM - 1 - k, 1)[which]
         return out
 
     def vector(self, text: str | None) -> np.ndarray | None:
@@ -96,7 +101,7 @@ class Grams:
     def bundled(self, grams: np.ndarray, n: np.ndarray) -> np.ndarray | None:
         if not len(grams):
             return None
-        return sum((n[a : a + 8192].astype(np.float32) @ self.of(grams[a : a + 8192]) for a in range(0, len(grams), 8192)), np.float32(0))
+        return sum((n[a : a + STEP].astype(np.float32) @ self.of(grams[a : a + STEP]).astype(np.float32) for a in range(0, len(grams), STEP)), np.float32(0))
 
 
 def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -163,8 +168,8 @@ def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Dat
     return whole.select("lang", F.transform(own, lambda x: x / F.col("norm")).alias("profile"), mean.alias("mean"), spread.alias("spread"))
 
 
-def identify(df: DataFrame, learned: DataFrame, text: str = "text", likeness: str | None = None) -> DataFrame:
-    """``df`` without ``text``, with ``lang_pred`` and ``score``, the cosine cut to 0..1.
+def identify(df: DataFrame, learned: DataFrame, text: str = "text", likeness: str | None = None, keep_text: bool = False) -> DataFrame:
+    """``df`` without ``text`` (unless ``keep_text``), with ``lang_pred`` and ``score``, the cosine cut to 0..1.
 
     Only the text decides.  Null texts and texts without letters are ``und`` with score 0, as are all texts where
     nothing was learned; ties go to the first language in alphabetical order.  Columns named like the new ones
@@ -179,39 +184,44 @@ def identify(df: DataFrame, learned: DataFrame, text: str = "text", likeness: st
     names = [r["lang"] for r in rows]
     matrix = np.array([r["profile"] for r in rows], np.float32)
     own = np.array([(r["mean"], r["spread"]) for r in rows]) if likeness else None
-    kept = [c for c in df.columns if c not in (text, "lang_pred", "score", likeness)]
-    new = [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)]
-    new += [T.StructField(likeness, T.DoubleType())] if likeness else []
-    schema = T.StructType([*(df.schema[c] for c in kept), *new])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(grams: Grams, value: str | None) -> tuple[str, float, float | None]:
+        found, counts = grams.counts(value) if names else (np.empty(0, np.int64),) * 2
+        vector = grams.bundled(found, counts)
+        norm = 0.0 if vector is None else float(np.linalg.norm(vector))
+        if norm == 0:
+            return UNDETERMINED, 0.0, 0.0 if names else None
+        cosine = matrix @ vector / norm
+        best = int(cosine.argmax())
+        score = float(min(1.0, max(0.0, cosine[best])))
+        if own is None:
+            return names[best], score, None
+        mean, spread = own[best]
+        n = counts.sum()
+        # Repeated n-grams are no new evidence: what a text repeats beyond its language counts once.
+        share = max(1 / n, float((counts.astype(np.float64) ** 2).sum()) / n**2 - mean**2)
+        # The vectors' noise: their products of different n-grams are 0 on average only.
+        error = np.sqrt(spread**2 * share + (norm / n) ** 2 / grams.dimensions**2)
+        return names[best], score, float((cosine[best] * norm / np.sqrt(grams.dimensions) / n + ERRORS * error) / mean)
+
+    kinds = {"lang": pa.string(), "score": pa.float64(), "like": pa.float64()}
+
+    @F.arrow_udf("struct<lang:string,score:double,like:double>")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         grams = Grams()
-        for batch in slices(batches, text):
-            found, scores, like = [], [], []
-            for value in batch.column(text).to_pylist():
-                found_grams, counts = grams.counts(value) if names else (np.empty(0, np.int64),) * 2
-                vector = grams.bundled(found_grams, counts)
-                norm = 0.0 if vector is None else float(np.linalg.norm(vector))
-                if norm == 0:
-                    found.append(UNDETERMINED)
-                    scores.append(0.0)
-                    like.append(0.0 if names else None)
-                    continue
-                cosine = matrix @ vector / norm
-                best = int(cosine.argmax())
-                found.append(names[best])
-                scores.append(float(min(1.0, max(0.0, cosine[best]))))
-                if likeness:
-                    mean, spread = own[best]
-                    n = counts.sum()
-                    # Repeated n-grams are no new evidence: what a text repeats beyond its language counts once.
-                    share = max(1 / n, float((counts.astype(np.float64) ** 2).sum()) / n**2 - mean**2)
-                    # The vectors' noise: their products of different n-grams are 0 on average only.
-                    error = np.sqrt(spread**2 * share + (norm / n) ** 2 / grams.dimensions**2)
-                    like.append(float((cosine[best] * norm / np.sqrt(grams.dimensions) / n + ERRORS * error) / mean))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.string()), pa.array(scores, pa.float64()), *([pa.array(like, pa.float64())] if likeness else [])], names=schema.fieldNames())
-
-    return df.select(*kept, text).mapInArrow(run, schema)
+        for texts in batches:
+            found = []
+            for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text"):
+                found += [one(grams, value) for value in part.column("text").to_pylist()]
+            columns = zip(*found, strict=True) if found else ((),) * 3
+            yield pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    # Only the texts travel to Python; not to be worked out again where a filter asks for it.
+    found = judge.asNondeterministic()(F.col(f"`{text}`").cast("string"))
+    new = {"lang_pred": "lang", "score": "score"} | ({likeness: "like"} if likeness else {})
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in new and (c != text or keep_text)]
+    both = df.select(F.struct(*kept, *([] if kept else [F.lit(None).alias("none")])).alias("kept"), found.alias("found"))
+    return both.select(*(F.col(f"kept.`{c}`") for c in df.columns if c not in new and (c != text or keep_text)), *(F.col(f"found.{field}").alias(name) for name, field in new.items()))
 
 
 def fold(key: Column, folds: int) -> Column:

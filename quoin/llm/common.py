@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from quoin.session import durable
 
-#: Text bytes that a numpy kernel handles at a time; bounds its working memory.
-PIECE = 1 << 22
+#: Text bytes that a numpy kernel handles at a time; bounds its working memory, which may be 50 times as much.
+PIECE = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,7 +22,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` text bytes at most (one row at least)."""
+    """The same rows in batches of about ``most`` text bytes at most (one row at least).
+
+    Memory that the last batch leaves unused goes back to the machine, since workers outlive their tasks.
+    """
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         ends, begin = np.cumsum(sizes), 0
@@ -31,6 +34,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE) ->
             end = max(begin + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(begin, end - begin)
             begin = end
+        batch = sizes = ends = None
+        pa.default_memory_pool().release_unused()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +77,17 @@ def carried(docs: DataFrame, text: str) -> Column:
     return F.struct([F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(None).cast("int").alias("none")]).alias("given")
 
 
+def mapped(df: DataFrame, column: str, kept: Sequence[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], new: Sequence[T.StructField]) -> DataFrame:
+    """``kept`` and the ``new`` columns: ``run`` gets ``given`` (a struct of all kept ones) and ``value`` and gives ``given`` and the new ones.
+
+    ``mapInArrow`` itself can't take columns with a dot in their name.
+    """
+    names = [F.col(f"`{c}`") for c in kept]
+    rows = df.select(F.struct(names or [F.lit(None).cast("int").alias("none")]).alias("given"), F.col(f"`{column}`").alias("value"))
+    out = rows.mapInArrow(run, T.StructType([rows.schema["given"], *new]))
+    return out.select(*(F.col(f"given.`{c}`") for c in kept), *(F.col(f"`{f.name}`") for f in new))
+
+
 def texts_back(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``docs`` from ``_rest`` and ``_text``."""
     return rows.select(*(F.col("_text").alias(text) if c == text else F.col(f"_rest.`{c}`") for c in docs.columns))

@@ -256,7 +256,7 @@ def scored(docs: DataFrame, held_out: Column, text: str = "text", keep: tuple[st
     """
     kept = list(keep)
     spark = docs.sparkSession
-    rows = docs.select(*kept, F.coalesce(held_out, F.lit(False)).alias("_held_out"), F.col(text).cast("string").alias("_text"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(held_out, F.lit(False)).alias("_held_out"), F.col(f"`{text}`").cast("string").alias("_text"))
     new = [T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))]
     schema = T.StructType([*(rows.schema[c] for c in kept), *new])
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0

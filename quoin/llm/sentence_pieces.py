@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quoin.llm.common import list_array, slices
+from quoin.llm.common import list_array, mapped, slices
 from quoin.llm.pieces import MARK, Model, model, model_bytes
 
 #: Stretches that a worker remembers before it begins anew; bounds its memory.
@@ -132,12 +132,10 @@ def encode(df: DataFrame, model_path: str, text: str = "text", keep: Sequence[st
     data = model_bytes(model_path)
     new = _ENCODED.fieldNames()
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    schema = T.StructType([*(df.schema[c] for c in kept), *_ENCODED.fields])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model(data))
-        for batch in slices(batches, text, SLICE):
-            texts = [value or "" for value in batch.column(text).to_pylist()]
+        for batch in slices(batches, "value", SLICE):
+            texts = [value or "" for value in batch.column("value").to_pylist()]
             *columns, sizes = encoder.encode(texts)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             if end:
@@ -145,9 +143,9 @@ def encode(df: DataFrame, model_path: str, text: str = "text", keep: Sequence[st
                 columns = [np.insert(c, offsets[1:], x) for c, x in zip(columns, (encoder.model.end_id, size, size), strict=True)]
                 offsets = offsets + np.arange(len(offsets))
             lists = [list_array(c.astype(np.int32), offsets, pa.int32()) for c in columns]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *lists], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([batch.column("given"), *lists], names=["given", *new])
 
-    return df.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return mapped(df, text, kept, run, _ENCODED.fields)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", into: str = "decoded", keep: Sequence[str] | None = None) -> DataFrame:
@@ -157,7 +155,6 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", into: str = "decode
     """
     data = model_bytes(model_path)
     kept = [c for c in (df.columns if keep is None else keep) if c != into]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(into, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = model(data)
@@ -174,10 +171,10 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", into: str = "decode
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                texts = [text_of(row) if row else "" for row in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string())], names=schema.fieldNames())
+                texts = [text_of(row) if row else "" for row in part.column("value").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("given"), pa.array(texts, pa.string())], names=["given", into])
 
-    return df.select(*dict.fromkeys([*kept, ids])).mapInArrow(run, schema)
+    return mapped(df, ids, kept, run, [T.StructField(into, T.StringType(), False)])
 
 
 def _decoded(data: bytes) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoin.llm.common import slices
+from quoin.llm.common import carried, slices
 from quoin.llm.pieces import MARK, Model, model, model_bytes
 
 #: Characters of a chunk.
@@ -190,8 +190,8 @@ _CHUNKS = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_chu
 
 def chunk_maps(rows: DataFrame, data: bytes) -> DataFrame:
     """One row per chunk of ``_text``, beside the other columns of ``rows``, which only the first chunk carries."""
-    carried = [f for f in rows.schema.fields if f.name not in ("_row", "_text")]
-    schema = T.StructType([*_CHUNKS.fields, *(T.StructField(f.name, f.dataType) for f in carried)])
+    others = [f for f in rows.schema.fields if f.name not in ("_row", "_text")]
+    schema = T.StructType([*_CHUNKS.fields, *(T.StructField(f.name, f.dataType) for f in others)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(data)
@@ -210,7 +210,7 @@ def chunk_maps(rows: DataFrame, data: bytes) -> DataFrame:
             m.forget()
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)]
             at = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(f.name).take(at) for f in carried)], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(f.name).take(at) for f in others)], names=schema.fieldNames())
 
     return rows.mapInArrow(run, schema)
 
@@ -219,14 +219,14 @@ def token_counts(df: DataFrame, model_path: str, text: str = "text", into: str =
     """``df`` without ``text`` and with the number of tokens of each whole text in ``into``.
 
     Null and empty texts have none.  Rows are told apart by their place, not by an id, so repeated rows stay;
-    a column named ``into`` is replaced, and names that begin with an underscore are reserved.
+    a column named ``into`` is replaced, and columns of any other name are carried in one struct.
     """
     data = model_bytes(model_path)
-    kept = [c for c in df.columns if c not in (text, into)]
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(text).cast("string").alias("_text"), *kept)
+    kept = ["given"]
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"), carried(df, text))
     maps = chunk_maps(rows, data)
     step = ["_chunk", "_head", "_count", "_state"]
-    longest = df.agg(F.max(F.char_length(text))).first()[0] or 0
+    longest = df.agg(F.max(F.char_length(f"`{text}`"))).first()[0] or 0
     parts = longest // CHUNK + 2
     while True:
         grouped = maps.groupBy("_row", F.floor(F.col("_chunk") / FAN).alias("_chunk")).agg(
@@ -234,15 +234,15 @@ def token_counts(df: DataFrame, model_path: str, text: str = "text", into: str =
         )
         maps = _composed(grouped, data, kept, parts <= FAN, into)
         if parts <= FAN:
-            return maps.select(*kept, into)
+            return maps.select(*(F.col(f"given.`{c}`") for c in df.columns if c not in (text, into)), into)
         parts = -(-parts // FAN)
 
 
 def _composed(grouped: DataFrame, data: bytes, kept: list[str], last: bool, into: str) -> DataFrame:
     """Maps of a group in one; the number of tokens where ``last``."""
-    carried = [grouped.schema[c] for c in kept]
+    others = [grouped.schema[c] for c in kept]
     new = [T.StructField(into, T.LongType(), False)] if last else _CHUNKS.fields
-    schema = T.StructType([*carried, *new])
+    schema = T.StructType([*others, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(data)

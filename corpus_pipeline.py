@@ -6,13 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm.common import table
+from quoin.llm.common import carried, table
 from quoin.llm.decontaminate import without_contaminated
 from quoin.llm.languages import identify, profiles
 from quoin.llm.minhash import without_near_duplicates
 from quoin.llm.sentence_pieces import decode, encode
 from quoin.llm.suffixes import deduplicated
-from quoin.session import durable
+from quoin.session import Scratch, durable
 
 #: Documents that are surely less like the best language than this, as a share of its own texts, are in none.
 LEAST_LIKENESS = 0.6
@@ -23,9 +23,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A text goes only with enough n-grams to tell; all documents stay where nothing was learned.
     """
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text"))
-    judged = identify(rows, profiles(docs), likeness="_likeness")
-    return judged.where(F.col("_likeness").isNull() | (F.col("_likeness") >= LEAST_LIKENESS)).select("_row.*")
+    rows = docs.select(carried(docs, "text"), "text")
+    judged = identify(rows, profiles(docs), likeness="_likeness", keep_text=True)
+    stay = judged.where(F.col("_likeness").isNull() | (F.col("_likeness") >= LEAST_LIKENESS))
+    return stay.select(*(F.col("text" if c == "text" else f"given.`{c}`") for c in docs.columns))
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +68,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each on what its predecessor stored."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = durable(docs)
-    return docs
+    with Scratch(spark) as scratch:
+        for _, stage in STAGES[:-2]:
+            docs = scratch.table(stage(spark, docs, sf_dir))
+        docs = durable(STAGES[-2][1](spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -46,7 +46,7 @@ def _schema(**fields: T.DataType) -> T.StructType:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Row, place, and first and last string start of each anchor, its leading hash and that of its stretch.
+    """Row, place, and first and last string start of each anchor, its leading hash and the two of its stretch.
 
     Places count from the beginning of the batch.
     """
@@ -76,23 +76,25 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)]))
         low, high, place = start[new], start[np.append(new[1:], len(start)) - 1], place[new]
         shape = mix(((place - low) * (length + 1) + high - low).astype(np.uint64))
-        out.append((place + a, low + a, high + a, span_hashes(piece, place, place + GRAM), span_hashes(piece, low, high + length) ^ shape))
-    place, low, high, lead, whole = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
-    return np.searchsorted(offsets, place, "right") - 1, place, low, high, lead, whole
+        both = [span_hashes(piece, low, high + length, k) for k in (0, 1)]
+        out.append((place + a, low + a, high + a, span_hashes(piece, place, place + GRAM), both[0] ^ shape, both[1]))
+    place, low, high, lead, whole, check = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 3
+    return np.searchsorted(offsets, place, "right") - 1, place, low, high, lead, whole, check
 
 
 def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
-    """``lead``, ``whole``, document, ``low`` (byte where the first string begins), ``shape`` (anchor and last start from there)."""
-    schema = _schema(lead=_LONG, whole=_LONG, _key=_LONG, low=_INT, shape=_INT)
+    """``lead``, ``whole`` and ``check``, document, ``low`` (byte where the first string begins), ``shape`` (anchor and last start from there)."""
+    schema = _schema(lead=_LONG, whole=_LONG, check=_LONG, _key=_LONG, low=_INT, shape=_INT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             data, offsets = flat(batch.column("_text"))
-            row, place, low, high, lead, whole = anchors(data, offsets, length)
+            row, place, low, high, lead, whole, check = anchors(data, offsets, length)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(lead.view(np.int64)),
                     pa.array(whole.view(np.int64)),
+                    pa.array(check.view(np.int64)),
                     batch.column("_key").take(pa.array(row)),
                     pa.array((low - offsets[row]).astype(np.int32)),
                     pa.array(((place - low) << 16 | (high - low)).astype(np.int32)),
@@ -112,19 +114,19 @@ def _judged(rows: DataFrame) -> DataFrame:
     schema = _schema(_key=_LONG, low=_INT, shape=_INT, repeated=T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple[int, int] | None = None
+        before: tuple[int, int, int] | None = None
         held: pa.RecordBatch | None = None  # the first of a group that has one kind so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lead, whole = (batch.column(c).to_numpy() for c in ("lead", "whole"))
+            lead, whole, check = (batch.column(c).to_numpy() for c in ("lead", "whole", "check"))
             n = len(lead)
             new_lead, new = np.ones(n, bool), np.ones(n, bool)
             new_lead[1:] = lead[1:] != lead[:-1]
-            new[1:] = new_lead[1:] | (whole[1:] != whole[:-1])
+            new[1:] = new_lead[1:] | (whole[1:] != whole[:-1]) | (check[1:] != check[:-1])
             first_of_range = before is None
             if before is not None:
-                new_lead[0], new[0] = lead[0] != before[0], (lead[0], whole[0]) != before
+                new_lead[0], new[0] = lead[0] != before[0], (lead[0], whole[0], check[0]) != before
             group = np.cumsum(new_lead)  # 0: continues the group held from before
             count = np.bincount(group, new, int(group[-1]) + 1)
             compare = new & ((count[group] > 1) | (group == 0))
@@ -139,7 +141,7 @@ def _judged(rows: DataFrame) -> DataFrame:
             if last:
                 begin = int(np.flatnonzero(group == last)[0])
                 held = None if compare[begin] else _verdicts(batch, np.array([begin]), np.array([False]), schema)
-            before = (int(lead[-1]), int(whole[-1]))
+            before = (int(lead[-1]), int(whole[-1]), int(check[-1]))
         if held is not None:
             yield held  # its group may go on in the next range
 
@@ -210,9 +212,9 @@ def _cores(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _string_rows(contexts: DataFrame, blocks: DataFrame, length: int) -> DataFrame:
-    """The hash of each string of the given blocks, and where it begins."""
+    """The two hashes of each string of the given blocks, and where it begins."""
     per = blocks.groupBy("_key", "low").agg(F.collect_set("block").alias("blocks"))
-    schema = _schema(string=_LONG, _key=_LONG, start=_INT)
+    schema = _schema(string=_LONG, check=_LONG, _key=_LONG, start=_INT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "stretch", PIECE // 4):
@@ -226,7 +228,7 @@ def _string_rows(contexts: DataFrame, blocks: DataFrame, length: int) -> DataFra
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(span_hashes(data, begin, begin + length).view(np.int64)),
+                    *(pa.array(span_hashes(data, begin, begin + length, k).view(np.int64)) for k in (0, 1)),
                     batch.column("_key").take(at),
                     pa.array((batch.column("low").to_numpy()[row] + start).astype(np.int32)),
                 ],
@@ -238,22 +240,22 @@ def _string_rows(contexts: DataFrame, blocks: DataFrame, length: int) -> DataFra
 
 def _later(rows: DataFrame) -> DataFrame:
     """Of ordered strings, all but the first of equals; ``edge`` marks first (1) and last (2) rows of a range."""
-    schema = _schema(string=_LONG, _key=_LONG, start=_INT, edge=_INT, range=_INT)
+    schema = _schema(string=_LONG, check=_LONG, _key=_LONG, start=_INT, edge=_INT, range=_INT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, last = TaskContext.get().partitionId(), None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            string = batch.column("string").to_numpy()
+            string, check = (batch.column(c).to_numpy() for c in ("string", "check"))
             same = np.zeros(len(string), bool)
-            same[1:] = string[1:] == string[:-1]
+            same[1:] = (string[1:] == string[:-1]) & (check[1:] == check[:-1])
             if before is not None:
-                same[0] = string[0] == before
+                same[0] = (string[0], check[0]) == before
             else:
                 yield _edge(batch.slice(0, 1), 1, part, schema)
             yield _edge(batch.filter(pa.array(same)), 0, part, schema)
-            before, last = string[-1], batch.slice(batch.num_rows - 1)
+            before, last = (string[-1], check[-1]), batch.slice(batch.num_rows - 1)
         if last is not None:
             yield _edge(last, 2, part, schema)
 
@@ -262,7 +264,7 @@ def _later(rows: DataFrame) -> DataFrame:
 
 def _edge(batch: pa.RecordBatch, edge: int, part: int, schema: T.StructType) -> pa.RecordBatch:
     full = [pa.array(np.full(batch.num_rows, x, np.int32)) for x in (edge, part)]
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("string", "_key", "start")), *full], names=schema.fieldNames())
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("string", "check", "_key", "start")), *full], names=schema.fieldNames())
 
 
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
@@ -276,14 +278,15 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
 def _spans(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     ranges = int(size // RANGE) + 1
-    judged = scratch.table(_judged(_ordered(_anchor_rows(rows, length), ranges, "lead", "whole", "_key", "low")))
+    judged = scratch.table(_judged(_ordered(_anchor_rows(rows, length), ranges, "lead", "whole", "check", "_key", "low")))
     contexts = scratch.table(_contexts(rows, judged.where("not repeated"), length))
     cores = _cores(contexts, length)
     common = cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
     strings = scratch.table(_string_rows(contexts, cores.join(common, "core").select("_key", "low", "block"), length))
-    later = scratch.table(_later(_ordered(strings, ranges, "string", "_key", "start")))
-    lasts = later.where("edge = 2").select(F.col("string").alias("last_string"), F.col("range").alias("last_range"))
-    begun = later.where("edge = 1").join(lasts, (F.col("string") == F.col("last_string")) & (F.col("last_range") < F.col("range")), "left_semi")
+    later = scratch.table(_later(_ordered(strings, ranges, "string", "check", "_key", "start")))
+    lasts = later.where("edge = 2").select(F.col("string").alias("last_string"), F.col("check").alias("last_check"), F.col("range").alias("last_range"))
+    equal = (F.col("string") == F.col("last_string")) & (F.col("check") == F.col("last_check"))
+    begun = later.where("edge = 1").join(lasts, equal & (F.col("last_range") < F.col("range")), "left_semi")
     single = later.where("edge = 0").unionByName(begun).select("_key", F.col("start").alias("first"), (F.col("start") + length).alias("last"))
     whole = judged.where("repeated").select("_key", F.col("low").alias("first"), (F.col("low") + F.col("shape").bitwiseAND(0xFFFF) + length).alias("last"))
     return single.union(whole).groupBy("_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))

@@ -20,13 +20,14 @@ PRINTED = ~((_BYTE == 32) | ((_BYTE >= 9) & (_BYTE <= 13)))
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` once A-Z is lower-cased
 LETTERS = ((_BYTE >= 48) & (_BYTE <= 57)) | ((_BYTE >= 97) & (_BYTE <= 122)) | (_BYTE >= 128)
 
-_BASE = 0x9E3779B97F4A7C55  # any odd multiplier; fixed, so that hashes agree between tasks
+# Any odd multipliers; fixed, so that hashes agree between tasks.  The second ones are for a second, independent hash.
+_BASES, _SEEDS = (0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F), (0xD1342543DE82EF95, 0xA0761D6478BD642F)
 
 
-@lru_cache(maxsize=1)
-def _codes() -> np.ndarray:
+@lru_cache(maxsize=2)
+def _codes(which: int = 0) -> np.ndarray:
     """A random 64-bit code for each byte."""
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_SEEDS[which]))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,9 +37,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int, inverse: bool) -> np.ndarray:
-    base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
+@lru_cache(maxsize=4)
+def _powers(n: int, inverse: bool, which: int = 0) -> np.ndarray:
+    base = pow(_BASES[which], -1, 1 << 64) if inverse else _BASES[which]
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
@@ -48,12 +49,15 @@ def _room(n: int) -> int:
     return 1 << max(16, int(n).bit_length())
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each ``data[start:end]``; equal bytes give equal values anywhere."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit polynomial hash of each ``data[start:end]``; equal bytes give equal values anywhere.
+
+    ``which`` is 0 or 1: two hashes of different bases, for 128 bits together.
+    """
     size = _room(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_codes()[data] * _powers(size, False)[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers(size, True)[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(_codes(which)[data] * _powers(size, False, which)[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _powers(size, True, which)[starts] + (ends - starts).astype(np.uint64))
 
 
 @dataclass

@@ -122,18 +122,37 @@ class Encoder:
         return self.ids[token], origin[shift + self.starts[token]], origin[shift + self.ends[token]], totals
 
 
-def encode(df: DataFrame, model_path: str, text: str = "text", keep: Sequence[str] | None = None, end: bool = False) -> DataFrame:
+class Decoder:
+    """Text of id lists."""
+
+    def __init__(self, compiled: Model):
+        self.model, self.control = compiled, {k for k, kind in enumerate(compiled.types) if kind == 3}
+
+    def text_of(self, row: Sequence[int]) -> str:
+        m = self.model
+        whole = b"".join([m.raw[k] for k in row])
+        if m.dummy and whole[:1] == b" ":
+            first = next((k for k in row if k not in self.control), None)
+            if first is not None and m.names[first].startswith(MARK):
+                whole = whole[1:]
+        return _decoded(whole)
+
+
+def encode(df: DataFrame, model_path: str, text: str = "text", keep: Sequence[str] | None = None, end: bool = False, decoded: str | None = None) -> DataFrame:
     """``df`` with ``ids``, and ``starts`` and ``ends``: the span of source bytes of each id.
 
+    ``decoded`` names a column for the text that the ids decode to, worked out in the same trip.
+
     ``keep`` names the columns to carry (all by default); a carried column named like a new one is replaced.
     Null and empty texts have no ids (only the end id where ``end`` asks for it, with an empty span behind the
     text).  Rows are independent, so repeated rows and ids do no harm; an empty table stays empty.
     """
     data = model_bytes(model_path)
-    new = _ENCODED.fieldNames()
+    fields = [*_ENCODED.fields, *([T.StructField(decoded, T.StringType(), False)] if decoded else [])]
+    new = [f.name for f in fields]
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model(data))
+        encoder, decoder = Encoder(model(data)), Decoder(model(data))
         for batch in slices(batches, "value", SLICE):
             texts = [value or "" for value in batch.column("value").to_pylist()]
             *columns, sizes = encoder.encode(texts)
@@ -143,9 +162,12 @@ def encode(df: DataFrame, model_path: str, text: str = "text", keep: Sequence[st
                 columns = [np.insert(c, offsets[1:], x) for c, x in zip(columns, (encoder.model.end_id, size, size), strict=True)]
                 offsets = offsets + np.arange(len(offsets))
             lists = [list_array(c.astype(np.int32), offsets, pa.int32()) for c in columns]
+            if decoded:
+                ids = columns[0].tolist()
+                lists.append(pa.array([decoder.text_of(ids[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)], pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column("given"), *lists], names=["given", *new])
 
-    return mapped(df, text, kept, run, _ENCODED.fields)
+    return mapped(df, text, kept, run, fields)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", into: str = "decoded", keep: Sequence[str] | None = None) -> DataFrame:
@@ -157,21 +179,11 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", into: str = "decode
     kept = [c for c in (df.columns if keep is None else keep) if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = model(data)
-        raw, control = compiled.raw, {k for k, kind in enumerate(compiled.types) if kind == 3}
-
-        def text_of(row: list[int]) -> str:
-            whole = b"".join([raw[k] for k in row])
-            if compiled.dummy and whole[:1] == b" ":
-                first = next((k for k in row if k not in control), None)
-                if first is not None and compiled.names[first].startswith(MARK):
-                    whole = whole[1:]
-            return _decoded(whole)
-
+        decoder = Decoder(model(data))
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                texts = [text_of(row) if row else "" for row in part.column("value").to_pylist()]
+                texts = [decoder.text_of(row) if row else "" for row in part.column("value").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("given"), pa.array(texts, pa.string())], names=["given", into])
 
     return mapped(df, ids, kept, run, [T.StructField(into, T.StringType(), False)])

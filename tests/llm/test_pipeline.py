@@ -46,3 +46,25 @@ def test_stages(spark):
 def test_run_is_all_stages(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.count() > 100 and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "minhash", "suffix_array", "decontamination", "sentence_pieces"]
+
+
+def test_awkward_tables(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, no documents, no benchmark: every stage of a whole run."""
+    prose = [" ".join(f"word{(k * 7 + j * j) % 300} the house of stone" for j in range(40)) for k in range(6)]
+    rows = [(1, prose[0]), (1, prose[1]), (None, prose[2]), (None, None), (2, ""), (3, prose[0]), (4, "12 34"), (5, prose[3] + " " + prose[4]), (5, prose[4])]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], schema)
+    bench = spark.createDataFrame([("b", prose[3])], "item_id string, text string")
+    for name, some, items in (("all", docs, bench), ("nothing to compare with", docs, bench.limit(0)), ("no documents", docs.limit(0), bench)):
+        folder = str(tmp_path / name.replace(" ", "_"))
+        some.write.parquet(f"{folder}/documents.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert all(r["round_trip"] for r in out)
+        kept = sorted((r["doc_id"] is None, r["doc_id"]) for r in out)
+        if name == "all":  # texts without a letter go, one of two copies, what an earlier text holds, and the benchmark's passage
+            assert kept == [(False, 1), (False, 1), (True, None)]
+        elif name == "no documents":
+            assert kept == []
+        else:
+            assert kept == [(False, 1), (False, 1), (False, 5), (True, None)]

@@ -123,3 +123,10 @@ def test_queries_on_the_whole_table(spark, library):
         assert one[k]["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
         assert one[k]["n_tokens"] == len(ids) == ten[k]["n_tokens"] + 1
         assert ten[k]["n_bytes"] == len(text.encode()) and ten[k]["over_limit"] == (len(ids) > 4097)
+
+
+def test_decoding_in_the_same_trip(spark, docs_of):
+    docs = docs_of(odd_documents())
+    both = {r["doc_id"]: (r["ids"], r["again"]) for r in encode(docs, PATH, end=True, decoded="again").collect()}
+    apart = {r["doc_id"]: (r["ids"], r["decoded"]) for r in decode(encode(docs, PATH, end=True), PATH).collect()}
+    assert both == apart

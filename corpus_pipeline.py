@@ -10,7 +10,7 @@ from quoin.llm.common import carried, table
 from quoin.llm.decontaminate import without_contaminated
 from quoin.llm.languages import identify, profiles
 from quoin.llm.minhash import without_near_duplicates
-from quoin.llm.sentence_pieces import decode, encode
+from quoin.llm.sentence_pieces import encode
 from quoin.llm.suffixes import deduplicated
 from quoin.session import Scratch, durable
 
@@ -48,9 +48,9 @@ def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Token ids of every text with an end id, and whether they decode to it."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     keep = ["doc_id", "lang", "source", "n_chars"]
-    encoded = encode(docs.withColumn("text_sha256", F.sha2("text", 256)), path, keep=[*keep, "text_sha256"], end=True)
-    decoded = decode(encoded.drop("starts", "ends"), path)
-    return decoded.select(*keep, F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+    rows = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    encoded = encode(rows, path, keep=[*keep, "text_sha256"], end=True, decoded="decoded")
+    return encoded.select(*keep, F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
 STAGES = [

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions.geometry import boxes_intersect, with_oriented_box
 from quoin.operators.skew import salted_join
+from quoin.session import durable
 
 # Points of one cell handled by one task; denser cells are split.
 CELL_ROWS = 4096
@@ -82,20 +83,49 @@ def neighbor_edges(
     ``buildings`` has building_id, rect (four corners) and height_m.  Columns: src, dst, distance,
     own_x, own_y (centre of src), rect, box, height, floors (of dst).  A missing neighbour height becomes
     ``default_height``; floors are whole floors of ``floor_height``.
+
+    Where touching pairs are removed, buildings with the same box (eager: one counting job looks for them) stand for
+    one another in the pair step, as they touch, and the edges found are given to each of them afterwards.  So a spot
+    with very many of them costs the edges it has, not the square of its buildings.
     """
     boxed = with_oriented_box(buildings.select("building_id", "rect", "height_m"))
+    if not remove_touching:
+        return _finished(_flat(_pairs(boxed, radius, tolerance)), default_height, floor_height)
+    copies = boxed.where(F.col("box.cx").isNotNull()).groupBy("box").agg(F.min("building_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("box", "_first")
+    if copies.isEmpty():
+        return _finished(_flat(drop_touching(_pairs(boxed, radius, tolerance))), default_height, floor_height)
+    marked = durable(boxed.join(copies, "box", "left"))
+    ones = marked.where(F.col("_first").isNull() | (F.col("_first") == F.col("building_id")))
+    edges = durable(_flat(drop_touching(_pairs(ones.select(*boxed.columns), radius, tolerance))))
+    members = marked.where(F.col("_first").isNotNull()).select("_first", F.col("building_id").alias("_member"), "rect", F.col("height_m").alias("height"))
+    for end in ("dst", "src"):
+        # Members of a box have it in common, but not their rectangle's corners or their height.
+        own = ["rect", "height"] if end == "dst" else []
+        mine = members.select(F.col("_first").alias(end), "_member", *own)
+        each = salted_join(mine, edges.drop(*own), (end,), "_member", CELL_ROWS).withColumn(end, F.col("_member"))
+        alone = edges.join(mine.select(end).distinct(), end, "left_anti")
+        edges = alone.unionByName(each.select(*edges.columns))
+    return _finished(edges, default_height, floor_height)
+
+
+def _pairs(boxed: DataFrame, radius: float, tolerance: float) -> DataFrame:
+    """Pairs of buildings in reach, each with its own box and the neighbour's box, rect and height."""
     points = boxed.withColumns({"x": F.col("box.cx"), "y": F.col("box.cy")})
     payload = F.struct("box", "rect", F.col("height_m").alias("height"))
-    edges = within_distance(points, radius, payload, F.struct("box"), tolerance)
-    if remove_touching:
-        edges = drop_touching(edges)
-    height = F.col("neighbor.height")
-    filled = F.coalesce(F.nanvl(height, F.lit(None).cast("double")), F.lit(float(default_height)))
+    return within_distance(points, radius, payload, F.struct("box"), tolerance)
+
+
+def _flat(edges: DataFrame) -> DataFrame:
     return edges.select(
         "src", "dst", "distance",
         F.col("own.box.cx").alias("own_x"), F.col("own.box.cy").alias("own_y"),
-        F.col("neighbor.rect").alias("rect"), F.col("neighbor.box").alias("box"), filled.alias("height"),
-    ).withColumn("floors", (F.col("height") / floor_height).cast("int"))
+        F.col("neighbor.rect").alias("rect"), F.col("neighbor.box").alias("box"), F.col("neighbor.height").alias("height"),
+    )
+
+
+def _finished(edges: DataFrame, default_height: float, floor_height: float) -> DataFrame:
+    filled = F.coalesce(F.nanvl("height", F.lit(None).cast("double")), F.lit(float(default_height)))
+    return edges.withColumn("height", filled).withColumn("floors", (F.col("height") / floor_height).cast("int"))
 
 
 def gather_neighbors(edges: DataFrame) -> DataFrame:

@@ -294,3 +294,23 @@ def test_rectangles_of_many_rows_at_once():
         assert sides[1] == pytest.approx(e[same].max(), abs=1e-6)
         if sides[0] > 1e-6:
             assert -1e-9 <= math.atan2(*(got[1] - got[0])[::-1]) < math.pi / 2
+
+
+def test_buildings_on_one_spot_cost_their_edges_only(spark, monkeypatch):
+    """Hundreds of buildings with one box, two spots of them: edges as for each building, pairs only between boxes."""
+    spots = [(0.0, 0.0, 400, 6.0), (30.0, 0.0, 3, 9.0), (0.0, 40.0, 1, 12.0), (4.0, 0.0, 1, 7.0), (500.0, 0.0, 2, 5.0)]
+    rows = [(f"{k}-{i}", x, y, h + i / 10) for k, (x, y, n, h) in enumerate(spots) for i in range(n)]
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    df = spark.createDataFrame(rows, "building_id string, x double, y double, height_m double").withColumn("rect", F.array(corner(0, 0), corner(8, 0), corner(8, 5), corner(0, 5)))
+    seen = []
+    real = neighbors.within_distance
+    monkeypatch.setattr(neighbors, "within_distance", lambda points, *a, **k: (seen.append(points.count()), real(points, *a, **k))[1])
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 50)
+    got = {(r["src"], r["dst"], r["height"], r["floors"], r["rect"][0]["x"]) for r in neighbors.neighbor_edges(df, 100.0, 6.0, 3.0).collect()}
+    want = set()
+    for a, ax, ay, _ in rows:
+        for b, bx, by, h in rows:
+            apart = abs(ax - bx) > 8 or abs(ay - by) > 5
+            if a != b and apart and math.hypot(ax - bx, ay - by) <= 100:
+                want.add((a, b, h, int(h / 3.0), bx))
+    assert seen == [5] and got == want and len(want) > 3000

@@ -5,7 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from quoin import FieldSpec, PreprocessConfig
 from quoin.operators import stations as S
+from quoin.plans.preprocess import preprocess
 
 
 def _towns(spark):
@@ -28,3 +30,26 @@ def test_station_search_compares_few_stations_and_finds_what_all_comparisons_fin
     assert found == best
     per_cell = steps[-1].groupBy("bi", "bj").count().agg(F.max("count")).first()[0]
     assert per_cell < 60  # of 1500 places, all of which lie in reach of every cell
+
+
+def _square(x, y, side=12.0):
+    ring = [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
+    return [[[{"x": float(a), "y": float(b)} for a, b in ring]]]
+
+
+STOCK = "building_id string, use string, height double, wwr double, geom array<array<array<struct<x:double,y:double>>>>, geom_type string"
+SITES = "station_id string, x double, y double, source string, path string"
+
+
+def _preprocess(spark, middles, sites, **more):
+    rows = [(str(k), "Office", 6.0, 0.2, _square(x - 6, y - 6), "Polygon") for k, (x, y) in enumerate(middles)]
+    return preprocess(spark.createDataFrame(rows, STOCK), spark.createDataFrame(sites, SITES), PreprocessConfig(), 3857, (FieldSpec("use", ("Office",)),), height_col="height", **more)
+
+
+def test_stations_at_equal_distance_of_a_footprint_go_by_id(spark):
+    """The middle comes from degrees, so it is off by its last digits; that must not choose the station."""
+    middles = [(500_000 + 1000 * k, 200_000 + 7000 * k) for k in range(40)]
+    sites = [(f"{name}{k:02}", x + dx, y + dy, "tmyx", f"{name}{k:02}.zip") for k, (x, y) in enumerate(middles) for name, dx, dy in (("a", 30.0, 40.0), ("b", -50.0, 0.0), ("c", 0.0, -50.0), ("d", -30.0, 40.0))]
+    buildings, _ = _preprocess(spark, middles, sites)
+    found = {r["building_id"]: r["weather_file"].rsplit("/", 1)[1] for r in buildings.select("building_id", "weather_file").collect()}
+    assert found == {str(k): f"a{k:02}.zip" for k in range(40)}

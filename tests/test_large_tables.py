@@ -3,11 +3,14 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quoin import FieldSpec, PreprocessConfig
 from quoin.operators import stations as S
+from quoin.operators.checks import ValidationError
 from quoin.plans.preprocess import preprocess
+from quoin.plans.submission import submission
 
 
 def _towns(spark):
@@ -53,3 +56,14 @@ def test_stations_at_equal_distance_of_a_footprint_go_by_id(spark):
     buildings, _ = _preprocess(spark, middles, sites)
     found = {r["building_id"]: r["weather_file"].rsplit("/", 1)[1] for r in buildings.select("building_id", "weather_file").collect()}
     assert found == {str(k): f"a{k:02}.zip" for k in range(40)}
+
+
+def test_buildings_out_of_reach_are_reported_and_batched_where_weather_is_not_required(spark):
+    middles = [(500_000, 200_000), (500_000, 900_000)]
+    sites = [("a", 500_100.0, 200_000.0, "tmyx", "a.zip")]
+    with pytest.raises(ValidationError, match="in reach"):
+        _preprocess(spark, middles, sites)
+    buildings, report = _preprocess(spark, middles, sites, weather_required=False)
+    assert [r.asDict() for r in report.collect()] == [{"reason": "kept", "n_rows": 2}]
+    batches = submission(buildings, "lib.db", "fields.yml", "map.yml", per_batch=1)
+    assert sorted((r["building_id"], r["weather_file"] is None) for r in batches.select("building_id", "weather_file").collect()) == [("0", False), ("1", True)]

@@ -11,6 +11,7 @@ from quoin.operators import ordering
 from quoin.operators.checks import ValidationError
 from quoin.operators.components import missing_components
 from quoin.operators.specs import building_specs
+from quoin.session import durable
 
 
 def submission(
@@ -40,4 +41,6 @@ def submission(
     specs = building_specs(buildings, db_file, fields_file, component_map_file)
     if per_batch is None:
         return ordering.assign_batches(specs)
+    # Stored, since rows are counted, then numbered.
+    specs = durable(specs)
     return ordering.add_row_index(specs, target="_at").withColumn("batch_id", F.floor(F.col("_at") / per_batch)).drop("_at")

@@ -240,24 +240,33 @@ def wide_name(levels: Sequence[str] = RESULT_LEVELS) -> Column:
     return F.concat_ws(SEPARATOR, *[F.col(c).cast("string") for c in levels])
 
 
-def _only() -> Column:
-    """The value of a cell; two values for one cell stop the job."""
-    clash = F.raise_error(F.lit("two values for one cell: a key is missing")).cast("double")
-    return F.when(F.count("value") > 1, clash).otherwise(F.max("value"))
+def _spread(results: DataFrame, names: Sequence[str], keys: Sequence[str], name: Column) -> DataFrame:
+    """One row per key with the value of each of ``names`` as a column; two values for one cell stop the job.
+
+    A key's cells are gathered as a short list and laid out afterwards, so that no task holds the wide rows of many
+    keys, as a pivot does.
+    """
+    place = F.create_map(*[F.lit(v) for i, n in enumerate(names) for v in (n, i)])
+    cell = F.struct(F.try_element_at(place, name).alias("at"), F.col("value").cast("double").alias("value"))
+    listed = results.select(*keys, cell.alias("_cell")).groupBy(*keys).agg(
+        F.collect_list(F.when(F.col("_cell.at").isNotNull() & F.col("_cell.value").isNotNull(), F.col("_cell"))).alias("_cells")
+    )
+    clash = F.raise_error(F.lit("two values for one cell: a key is missing")).cast("map<int,double>")
+    alone = F.size(F.array_distinct(F.col("_cells.at"))) == F.size("_cells")
+    laid = listed.select(*keys, F.when(alone, F.map_from_entries("_cells")).otherwise(clash).alias("_cells"))
+    return laid.select(*keys, *[F.try_element_at("_cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def long_to_wide(results: DataFrame, names: Sequence[str], keys: Sequence[str] | None = None) -> DataFrame:
     """Rows to the given wide columns, one row per key (by default building and scenario)."""
     keys = _with_scenario(results, "building_id") if keys is None else keys
-    named = results.withColumn("_name", wide_name())
-    return named.groupBy(*keys).pivot("_name", list(names)).agg(_only())
+    return _spread(results, names, keys, wide_name())
 
 
 def month_rows(results: DataFrame, names: Sequence[str], keys: Sequence[str] | None = None) -> DataFrame:
     """Month becomes rows, the other levels become the given columns ``Measurement|Aggregation|Meter``."""
     keys = _with_scenario(results, "building_id") if keys is None else keys
-    named = results.withColumn("_name", wide_name(RESULT_LEVELS[:-1]))
-    return named.groupBy(*keys, "month").pivot("_name", list(names)).agg(_only())
+    return _spread(results, names, [*keys, "month"], wide_name(RESULT_LEVELS[:-1]))
 
 
 def sheet_label() -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quoin import FieldSpec, PreprocessConfig
 from quoin.operators import stations as S
 from quoin.operators.checks import ValidationError
+from quoin.operators.neighbors import within_distance
 from quoin.plans.preprocess import preprocess
 from quoin.plans.submission import submission
 
@@ -67,3 +68,12 @@ def test_buildings_out_of_reach_are_reported_and_batched_where_weather_is_not_re
     assert [r.asDict() for r in report.collect()] == [{"reason": "kept", "n_rows": 2}]
     batches = submission(buildings, "lib.db", "fields.yml", "map.yml", per_batch=1)
     assert sorted((r["building_id"], r["weather_file"] is None) for r in batches.select("building_id", "weather_file").collect()) == [("0", False), ("1", True)]
+
+
+def test_distance_join_sorts_no_copied_points(spark):
+    """Points are copied to nine cells; only the other side, once each, is held by a task."""
+    points = spark.range(50).select(F.col("id").cast("string").alias("building_id"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    pairs = within_distance(points, 2.0)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((int(r["src"]), int(r["dst"])) for r in pairs.collect()) == [(a, b) for a in range(50) for b in range(50) if a != b and abs(a - b) <= 2]

@@ -10,6 +10,7 @@ from quoin import FieldSpec, PreprocessConfig
 from quoin.operators import stations as S
 from quoin.operators.checks import ValidationError
 from quoin.operators.neighbors import within_distance
+from quoin.operators.results import long_to_wide
 from quoin.plans.preprocess import preprocess
 from quoin.plans.submission import submission
 
@@ -77,3 +78,11 @@ def test_distance_join_sorts_no_copied_points(spark):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     assert sorted((int(r["src"]), int(r["dst"])) for r in pairs.collect()) == [(a, b) for a in range(50) for b in range(50) if a != b and abs(a - b) <= 2]
+
+
+def test_wide_rows_are_laid_out_without_a_pivot(spark):
+    """A pivot holds a wide row of nearly every key in each task."""
+    rows = spark.createDataFrame([("1", "E", "U", "Gas", 1, 2.0), ("1", "E", "U", "Gas", 2, None), ("2", "X", "U", "Gas", 1, 5.0)], "building_id string, measurement string, aggregation string, meter string, month int, value double")
+    wide = long_to_wide(rows, ["E|U|Gas|1", "E|U|Gas|2"])
+    assert "pivotfirst" not in wide._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(tuple(r) for r in wide.collect()) == [("1", 2.0, None), ("2", None, None)]

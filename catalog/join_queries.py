@@ -10,6 +10,7 @@ from catalog.registry import query, r6
 from catalog.views import CONFIG, oracle
 from quoin.functions.geometry import boxes_intersect, with_oriented_box
 from quoin.operators import components, neighbors, results, specs, stations
+from quoin.session import durable
 
 # --- neighbours -----------------------------------------------------------------------------
 
@@ -18,6 +19,11 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
     return V.stored(spark, sf).withColumns({"x": F.col("cx"), "y": F.col("cy")})
 
 
+def _places(spark: SparkSession, sf: str) -> DataFrame:
+    """Kept buildings as stored points, with no more columns than the station search needs."""
+    return durable(V.cleaned(spark, sf).select("building_id", F.col("cx").alias("x"), F.col("cy").alias("y"), "weather_file"))
+
+
 @query(oracle("SELECT src, dst, round(distance, 6) AS distance FROM near", "near"))
 def neighbors_within_100m(spark: SparkSession, sf: str) -> DataFrame:
     pairs = neighbors.within_distance(_points(spark, sf).select("building_id", "x", "y"), CONFIG.neighbor_threshold)
@@ -84,7 +90,7 @@ def neighbor_heights_filled(spark: SparkSession, sf: str) -> DataFrame:
 @query(oracle("SELECT building_id, station_id, round(dist, 6) AS distance, path FROM closest", "closest"))
 def nearest_station(spark: SparkSession, sf: str) -> DataFrame:
     sites = stations.valid_stations(V.stations(spark, sf), CONFIG.station_filter)
-    found = stations.nearest_station(_points(spark, sf), sites)
+    found = stations.nearest_station(_places(spark, sf), sites)
     return found.select("building_id", "station_id", r6("distance"), "path")
 
 
@@ -92,7 +98,7 @@ def nearest_station(spark: SparkSession, sf: str) -> DataFrame:
 def nearest_station_in_reach(spark: SparkSession, sf: str) -> DataFrame:
     """A short threshold: buildings without a station strictly inside it do not appear."""
     sites = stations.valid_stations(V.stations(spark, sf), CONFIG.station_filter)
-    found = stations.nearest_station(_points(spark, sf), sites, threshold=150.0, finest=40.0)
+    found = stations.nearest_station(_places(spark, sf), sites, threshold=150.0, finest=40.0)
     return found.select("building_id", "station_id", r6("distance"))
 
 
@@ -100,7 +106,7 @@ def nearest_station_in_reach(spark: SparkSession, sf: str) -> DataFrame:
 FROM cleaned c LEFT JOIN closest n ON n.building_id = c.building_id""", "closest"))
 def weather_assignment(spark: SparkSession, sf: str) -> DataFrame:
     sites = stations.valid_stations(V.stations(spark, sf), CONFIG.station_filter)
-    df = _points(spark, sf)
+    df = _places(spark, sf)
     df = stations.assign_weather(df, df, sites)
     return df.select("building_id", "weather_file")
 

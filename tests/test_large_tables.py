@@ -37,6 +37,34 @@ def test_station_search_compares_few_stations_and_finds_what_all_comparisons_fin
     assert per_cell < 60  # of 1500 places, all of which lie in reach of every cell
 
 
+def test_weather_of_buildings_with_places_is_searched_without_a_join_by_id(spark):
+    """The search reads its points once per level, so a join by id under it would be done again for each."""
+    points, sites, at, of = _towns(spark)
+    buildings = at.withColumn("weather_file", F.when(F.substring("building_id", -1, 1) == "3", F.concat("building_id", F.lit(".epw"))))
+    given = S.assign_weather(buildings, buildings, of, threshold=50_000.0)
+    looked_up = S.assign_weather(buildings, at, of, threshold=50_000.0)
+    best = {b: min((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), s, p) for s, u, v, p in sites) for b, x, y in points}
+    expected = {b: f"{b}.epw" if b.endswith("3") else S.WEATHER_BASE_URL + p if d < 50_000 else None for b, (d, _, p) in best.items()}
+    assert None in expected.values()
+    for df in (given, looked_up):
+        assert {r["building_id"]: r["weather_file"] for r in df.collect()} == expected
+    assert {r["building_id"]: r["weather_file"] for r in S.assign_weather(at, buildings, of, threshold=50_000.0).collect()} == {
+        b: S.WEATHER_BASE_URL + p if d < 50_000 else None for b, (d, _, p) in best.items()
+    }
+    assert "LeftSemi" not in given._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_weather_of_preprocessed_buildings_is_searched_without_a_join_by_id(spark):
+    middles = [(500_000, 200_000), (500_000, 210_000)]
+    sites = [("a", 500_100.0, 200_000.0, "tmyx", "a.zip"), ("b", 500_100.0, 210_000.0, "tmyx", "b.zip")]
+    rows = [(str(k), "Office", 6.0, 0.2, _square(x - 6, y - 6), "Polygon", "own.epw" if k else None) for k, (x, y) in enumerate(middles)]
+    stock = spark.createDataFrame(rows, f"{STOCK}, weather_file string")
+    buildings, _ = preprocess(stock, spark.createDataFrame(sites, SITES), PreprocessConfig(), 3857, (FieldSpec("use", ("Office",)),), height_col="height", weather_required=False)
+    weather = buildings.select("building_id", "weather_file")
+    assert sorted(tuple(r) for r in weather.collect()) == [("0", S.WEATHER_BASE_URL + "a.zip"), ("1", "own.epw")]
+    assert "LeftSemi" not in weather._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _square(x, y, side=12.0):
     ring = [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
     return [[[{"x": float(a), "y": float(b)} for a, b in ring]]]

@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.all import ORACLES
+from catalog.compare import compare
 from quoin import FieldSpec, PreprocessConfig
 from quoin.operators import stations as S
 from quoin.operators.checks import ValidationError
@@ -99,6 +101,39 @@ def test_buildings_out_of_reach_are_reported_and_batched_where_weather_is_not_re
     assert sorted((r["building_id"], r["weather_file"] is None) for r in batches.select("building_id", "weather_file").collect()) == [("0", False), ("1", True)]
 
 
+def test_buildings_out_of_reach_are_left_out_and_counted_where_only_those_in_reach_are_wanted(spark):
+    sites = [("a", 500_000.0, 200_000.0, "tmyx", "a.zip")]
+    middles = [(500_000, 699_980), (500_000, 700_020), (500_000, 900_000)]
+    rows = [(str(k), "Office", 6.0, 0.2, _square(x - 6, y - 6), "Polygon", "own.epw" if k == 2 else None) for k, (x, y) in enumerate(middles)]
+    rows += [("own", "Office", 6.0, 0.2, _square(500_000, 200_000), "Polygon", "own.epw"), ("bad", "Office", 6.0, 2.0, _square(500_000, 900_000), "Polygon", None)]
+    stock = spark.createDataFrame(rows, f"{STOCK}, weather_file string")
+    made = [
+        preprocess(stock, spark.createDataFrame(sites, SITES), PreprocessConfig(), 3857, (FieldSpec("use", ("Office",)),), height_col="height", weather_file=file, only_in_reach=True)
+        for file in (None, "city.epw")
+    ]
+    for (buildings, report), file in zip(made, (S.WEATHER_BASE_URL + "a.zip", "city.epw")):
+        found = {r["building_id"]: (r["weather_file"], [n["building_id"] for n in r["neighbors"]]) for r in buildings.collect()}
+        assert found == {"0": (file, ["1"]), "own": ("own.epw", [])}  # out of reach, 1 still is a neighbour of 0
+        assert {r["reason"]: r["n_rows"] for r in report.collect()} == {"kept": 2, "no_station": 2, "wwr": 1}
+
+
+@pytest.mark.parametrize("name", ["preprocessed_buildings"])
+def test_query_over_a_stock_that_leaves_the_reach_of_the_stations(spark, tmp_path, name):
+    import duckdb
+
+    tables, con = tmp_path / "tables", duckdb.connect()
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    far = customers.withColumn("c_custkey", F.col("c_custkey") + 502_350)  # the reach ends among them
+    customers.unionByName(far).write.parquet(f"{tables}/customer.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").write.parquet(f"{tables}/supplier.parquet")
+    for table in ("customer", "supplier"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tables}/{table}.parquet/*.parquet'")
+    assert compare(spark, con, str(tables), name) == ""
+    kept = con.execute(ORACLES["weather_assignment"]).fetchall()
+    found = {int(b) for (b, *_) in con.execute(f"SELECT building_id FROM ({ORACLES[name]})").fetchall()}
+    assert any(b >= 502_350 for b in found) and len(found) < len(kept)
+
+
 def test_distance_join_sorts_no_copied_points(spark):
     """Points are copied to nine cells; only the other side, once each, is held by a task."""
     points = spark.range(50).select(F.col("id").cast("string").alias("building_id"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))

@@ -36,7 +36,7 @@ class Refreshed:
     version: str
     #: (building_id, change) of rows that are new, changed or gone; None after a full run.
     changed: DataFrame | None
-    #: (building_id) of buildings whose record was made anew; None after a full run.
+    #: (building_id) of buildings that were worked out anew, also those that ``only_in_reach`` leaves out; None after a full run.
     renewed: DataFrame | None
 
 
@@ -89,6 +89,7 @@ def refresh(
     weather_file: str | None = None,
     strict: bool = True,
     stations_srid: int | None = None,
+    only_in_reach: bool = False,
 ) -> Refreshed:
     """Buildings as ``preprocess`` makes them from ``footprints``, reusing the last version below ``path``.
 
@@ -101,7 +102,7 @@ def refresh(
     spark = footprints.sparkSession
     srid = checks.require_srid(srid_of(footprints) if srid is None else srid, config.metric_srid)
     names = [f.name for f in fields]
-    parts = [config.fingerprint(), srid, *fields, columns, scenario, weather_file, strict, stations_srid, table_digest(stations_table), *inputs]
+    parts = [config.fingerprint(), srid, *fields, columns, scenario, weather_file, strict, stations_srid, only_in_reach, table_digest(stations_table), *inputs]
     key = hashlib.sha256("\n".join(map(repr, parts)).encode()).hexdigest()[:16]
     rows = checks.restore_truncated_names(footprints, [*names, *astuple(columns)])
     checks.require_columns(rows, [columns.id])
@@ -110,11 +111,11 @@ def refresh(
     def finish(assessed: DataFrame, buildings: DataFrame, changed: DataFrame | None, renewed: DataFrame | None) -> Refreshed:
         version = runs.publish(spark, path, key, {_ASSESSED: assessed, _BUILDINGS: buildings})
         stored, report = (runs.load_published(spark, path, key, name, version) for name in (_BUILDINGS, _ASSESSED))
-        return Refreshed(stored, clean.drop_report(report), version, changed, renewed)
+        return Refreshed(stored, clean.drop_report(report, stored if only_in_reach else None), version, changed, renewed)
 
     def enriched(cleaned: DataFrame, around: DataFrame | None = None) -> DataFrame:
         cleaned = cleaned.drop("_digest")
-        return enrich(cleaned, config, stations_table, names, weather_file, stations_srid, strict, around)
+        return enrich(cleaned, config, stations_table, names, weather_file, stations_srid, strict, around, only_in_reach)
 
     versions = runs.published_versions(spark, path, key)
     if not versions:

@@ -117,7 +117,7 @@ def test_buildings_out_of_reach_are_left_out_and_counted_where_only_those_in_rea
         assert {r["reason"]: r["n_rows"] for r in report.collect()} == {"kept": 2, "no_station": 2, "wwr": 1}
 
 
-@pytest.mark.parametrize("name", ["preprocessed_buildings", "preprocessed_buildings_utm"])
+@pytest.mark.parametrize("name", ["preprocessed_buildings", "preprocessed_buildings_utm", "refreshed_buildings"])
 def test_query_over_a_stock_that_leaves_the_reach_of_the_stations(spark, tmp_path, name):
     import duckdb
 

@@ -90,6 +90,30 @@ def test_refresh_equals_a_full_run_and_assesses_changed_rows_only(spark, sites,
     assert plain(third.buildings) == plain(want)
 
 
+def test_refresh_of_buildings_in_reach_equals_a_full_run(spark, sites):
+    path, rows = folder(spark), stock(30)
+    edge = 500_000  # of the reach, east of the last station
+    for k, x in (("in", 3000 + edge - 30), ("out", 3000 + edge + 20), ("far", 3000 + edge + 900), ("back", 3000 + edge + 800)):
+        rows[k] = ("Office", 6.0, 0.2, square(x, 495), "Polygon")
+
+    def same(rows, reasons, **more):
+        out = run(spark, path, rows, sites, only_in_reach=True, **more)
+        want, report = preprocess(frame(spark, rows), sites, CONFIG, 3857, FIELDS, columns=Columns(id="osm_id", height="height"), only_in_reach=True, **more)
+        assert plain(out.buildings) == plain(want) and plain(out.report) == plain(report)
+        assert {r["reason"]: r["n_rows"] for r in out.report.collect()} == reasons
+        return {r["building_id"]: [n["building_id"] for n in r["neighbors"]] for r in out.buildings.collect()}
+
+    with pytest.raises(ValidationError, match="in reach"):
+        run(spark, path, rows, sites)
+    first = same(rows, {"kept": 31, "no_station": 3})
+    assert first["in"] == ["out"] and not {"out", "far", "back"} & set(first)
+    rows["back"] = (*rows["back"][:3], square(3000 + edge - 50, 495), "Polygon")  # comes into reach
+    rows["0"] = (*rows["0"][:3], square(3000 + edge + 60, 495), "Polygon")  # leaves it
+    rows["far"] = (rows["far"][0], 9.0, *rows["far"][2:])
+    second = same(rows, {"kept": 31, "no_station": 3})
+    assert second["back"] == ["in"] and second["in"] == ["back", "out"] and not {"0", "out", "far"} & set(second)
+
+
 def test_another_setting_station_or_input_starts_anew(spark, sites):
     path, rows = folder(spark), stock(20)
     keys = lambda: set(runs._names(spark, path))
